@@ -1,0 +1,52 @@
+"""Physical schemas of the domain tables (names are part of the public contract)."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+
+def _schema(**cols: str) -> T.StructType:
+    kinds = {
+        "str": T.StringType(), "date": T.DateType(), "dbl": T.DoubleType(),
+        "long": T.LongType(), "int": T.IntegerType(), "bool": T.BooleanType(),
+    }
+    return T.StructType([T.StructField(name, kinds[kind], True) for name, kind in cols.items()])
+
+
+STOCK_LIST = _schema(
+    Code="str", CompanyName="str", MarketCodeName="str", Sector33CodeName="str",
+    Sector17CodeName="str", ScaleCategory="str", Listing="long",
+)
+STOCK_PRICE = _schema(
+    Date="date", Code="str", Open="dbl", High="dbl", Low="dbl", Close="dbl", Volume="dbl",
+    TurnoverValue="dbl", AdjustmentFactor="dbl", CumulativeAdjustmentFactor="dbl",
+)
+STOCK_FIN = _schema(
+    Date="date", Code="str", TypeOfDocument="str", TypeOfCurrentPeriod="str",
+    CurrentPeriodEndDate="date", CurrentFiscalYearEndDate="date", ForecastEPS="dbl",
+    OutstandingShares="dbl", CurrentFiscalYear="str", ForecastFiscalYearEndDate="str",
+)
+SECTOR_DEFINITION = _schema(Code="str", CompanyName="str", Sector33CodeName="str", Sector="str", Current="bool")
+SECTOR_INDEX = _schema(
+    Date="date", Sector="str", MarketCapOpen="dbl", MarketCapClose="dbl", MarketCapHigh="dbl",
+    MarketCapLow="dbl", OutstandingShares="dbl", CorrectionValue="dbl",
+    **{"1d_return": "dbl", "1d_rate": "dbl"}, Open="dbl", High="dbl", Low="dbl", Close="dbl",
+)
+SECTOR_FIN = _schema(Date="date", Sector="str", MarketCap="dbl", ForecastEPS="dbl")
+ASSET_SERIES = _schema(Name="str", Date="date", Open="dbl", Close="dbl", High="dbl", Low="dbl")
+ASSET_CATALOGUE = _schema(
+    Name="str", Group="str", Path="str", URL="str", AdditionalScrape="str",
+    AdditionalCode="str", is_adopted="bool",
+)
+PREDICTIONS = _schema(Date="date", Sector="str", Target="dbl", Pred="dbl")
+ORDERS = _schema(
+    Code="str", CompanyName="str", Sector="str", Unit="int", EstimatedCost="dbl", TotalCost="dbl",
+    UpperLimitCost="dbl", UpperLimitTotal="dbl", Direction="str", isBorrowingStock="bool",
+)
+TRADE_LEDGER = _schema(
+    Date="date", Side="str", Sector="str", Code="str", CompanyName="str", Shares="long",
+    AcqPrice="dbl", SettlePrice="dbl", AcqAmount="long", SettleAmount="long", Fee="long",
+    Profit="long", Rate="dbl",
+)
+DEPOSITS = _schema(Date="date", Deposit="long")
+BUYING_POWER = _schema(Date="date", BuyingPower="long")
