@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import windows as P
@@ -41,9 +41,12 @@ def snap_to_business_day(shares: DataFrame, days: DataFrame) -> DataFrame:
         F.col("OpenDay").alias("Date"), "Code", "OutstandingShares")
 
 
-def attach_shares(price: DataFrame, fin: DataFrame) -> DataFrame:
-    """Share counts on the first business day after each period end."""
-    shares = snap_to_business_day(shares_at_period_end(fin), price.select("Date"))
+def attach_shares(price: DataFrame, fin: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Share counts on the first business day after each period end.
+
+    ``days`` is the trading calendar; without it the dates of ``price`` serve.
+    """
+    shares = snap_to_business_day(shares_at_period_end(fin), days if days is not None else price.select("Date"))
     shares = shares.filter(F.col("Date").isNotNull())
     # Two period ends can snap to the same business day; the later one would double the price row.
     shares = shares.groupBy("Date", "Code").agg(F.max("OutstandingShares").alias("OutstandingShares"))
@@ -51,35 +54,45 @@ def attach_shares(price: DataFrame, fin: DataFrame) -> DataFrame:
         "isSettlementDay", F.coalesce("isSettlementDay", F.lit(False)))
 
 
-def share_rate_events(with_shares: DataFrame, settlement_only: bool = True) -> DataFrame:
+def _nth_event(value: str, n: int) -> Column:
+    """``value`` of the n-th marked row before (or, negative, after) this one; unmarked rows hold null."""
+    side = "lag" if n > 0 else "lead"
+    return F.expr(f"{side}({value}, {abs(n)}) IGNORE NULLS OVER (PARTITION BY Code ORDER BY Date)")
+
+
+def add_share_rates(
+    with_shares: DataFrame, settlement_only: bool = True, overrides: Sequence[tuple[str, str]] = SHARE_RATE_OVERRIDES,
+) -> DataFrame:
     """Share-count ratios at settlement days, kept only where a split factor lies next to them.
 
-    ``settlement_only=False`` keeps split days as rows of the final shift too.
+    Events are the rows with a share count or a split.  An event's ratio is the next
+    event's count over its own, set to 1 when none of the two events on either side
+    is a split; it takes effect on the row before the following settlement day.
+    Everything is a null-skipping offset on the one (Code, Date) order, so the panel
+    is neither filtered into a second branch nor joined back.
+    ``settlement_only=False`` lets split days carry ratios too.
     """
-    events = with_shares.filter(F.col("OutstandingShares").isNotNull() | (F.col("AdjustmentFactor") != 1)).select(
-        "Date", "Code", "AdjustmentFactor", "isSettlementDay", P.bfill("OutstandingShares", "Code").alias("OutstandingShares"))
-    ratio = F.bround(F.try_divide(P.shift("OutstandingShares", -1, "Code"), F.col("OutstandingShares")), 1)
+    shares, factor = F.col("OutstandingShares"), F.col("AdjustmentFactor")
+    event = shares.isNotNull() | (factor != 1)
+    out = with_shares.withColumn("_count", P.bfill("OutstandingShares", "Code"))
+    # Structs keep an event apart from a row without one even when its value is missing.
+    out = out.withColumns({"_c": F.when(event, F.struct(F.col("_count").alias("v"))), "_f": F.when(event, factor)})
+    out = out.withColumns({f"_f{n}": _nth_event("_f", n) for n in (1, 2, -1, -2)} | {"_next": _nth_event("_c", -1)})
     quiet = F.lit(True)
     for n in (1, 2, -1, -2):
-        quiet = quiet & (F.coalesce(P.shift("AdjustmentFactor", n, "Code"), F.lit(1.0)) == 1)
-    events = events.withColumn("SharesRate", ratio).withColumn("_quiet", quiet)
-    events = events.withColumn("SharesRate", F.when(F.col("_quiet"), 1.0).otherwise(F.col("SharesRate"))).drop("_quiet")
-    if settlement_only:
-        events = events.filter("isSettlementDay")
-    return events.select("Date", "Code", "OutstandingShares", P.shift("SharesRate", 1, "Code").alias("SharesRate"))
-
-
-def add_share_rates(
-    price: DataFrame, events: DataFrame, overrides: Sequence[tuple[str, str]] = SHARE_RATE_OVERRIDES,
-) -> DataFrame:
-    """Ratios back on the price rows, one row earlier, with the known exceptions."""
-    out = price.join(events, ["Date", "Code"], "left")
-    rate = F.coalesce(P.shift("SharesRate", -1, "Code"), F.lit(1.0))
+        quiet = quiet & (F.coalesce(F.col(f"_f{n}"), F.lit(1.0)) == 1)
+    ratio = F.when(quiet, 1.0).otherwise(F.bround(F.try_divide(F.col("_next.v"), F.col("_count")), 1))
+    carrier = F.col("isSettlementDay") if settlement_only else event
+    out = out.withColumn("EventRate", F.when(event, ratio)).withColumn("_r", F.when(carrier, F.struct(F.col("EventRate").alias("v"))))
+    out = out.withColumn("_before", F.when(carrier, _nth_event("_r", 1)))
+    rate = F.coalesce(P.shift(F.col("_before.v"), -1, "Code"), F.lit(1.0))
     out = out.withColumn("SharesRate", rate)
     for code, last_day in overrides:
         hit = (F.col("Code") == code) & (F.col("Date") <= F.lit(last_day).cast("date"))
         out = out.withColumn("SharesRate", F.when(hit, 1.0).otherwise(F.col("SharesRate")))
-    return out
+    counts = shares if settlement_only else F.when(event, F.col("_count"))
+    temporary = [c for c in out.columns if c.startswith("_")]
+    return out.withColumn("OutstandingShares", counts).drop(*temporary)
 
 
 def adjust_shares(df: DataFrame) -> DataFrame:
@@ -101,12 +114,11 @@ def add_correction(df: DataFrame) -> DataFrame:
     return df.withColumn("CorrectionValue", F.col("MarketCapClose") - F.col("Close") * before)
 
 
-def market_caps(price: DataFrame, fin: DataFrame, settlement_only: bool = True) -> DataFrame:
+def market_caps(price: DataFrame, fin: DataFrame, days: DataFrame | None = None, settlement_only: bool = True) -> DataFrame:
     """Daily capitalisation of every stock.
 
     All windows run on (Code, Date); with the panel partitioned by Code once, the
     chain needs no further exchange of the price rows.
     """
-    price = price.repartition("Code")
-    events = share_rate_events(attach_shares(price, fin), settlement_only)
-    return add_correction(add_market_caps(adjust_shares(add_share_rates(price, events))))
+    rates = add_share_rates(attach_shares(price.repartition("Code"), fin, days), settlement_only)
+    return add_correction(add_market_caps(adjust_shares(rates))).drop("isSettlementDay", "EventRate")

@@ -52,9 +52,11 @@ def order_prices(caps: DataFrame) -> DataFrame:
     return caps.select(*ORDER_PRICE)
 
 
-def sector_index(price: DataFrame, fin: DataFrame, definition: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sector_index(
+    price: DataFrame, fin: DataFrame, definition: DataFrame, days: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Sector index and the per-stock table used for order sizing, from one capitalisation plan."""
-    caps = market_caps(price, fin)
+    caps = market_caps(price, fin, days)
     return aggregate_index(attach_sector(caps, definition)), order_prices(caps)
 
 

@@ -176,7 +176,7 @@ class Market:
 
     @cached_property
     def caps(self) -> DataFrame:
-        return MC.market_caps(self.price, self.fin)
+        return MC.market_caps(self.price, self.fin, self.calendar)
 
     @cached_property
     def index(self) -> DataFrame:
