@@ -62,15 +62,20 @@ def to_matrix(rows, k: int) -> np.ndarray:
     return m
 
 
-def moments(df: DataFrame, array_col: str, k: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Count, mean vector and centred scatter matrix of an array column.
+def moments(df: DataFrame, array_col: str, shift: Sequence[float]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, mean vector and centred scatter matrix of an array column in one pass.
 
-    Two passes: the means first, then the products of the centred values.
+    ``shift`` lies near the means, so taking the mean out afterwards loses no digits.
     """
-    stats = df.agg(F.count(array_col).alias("n"), *[F.avg(F.get(F.col(array_col), i)).alias(f"m{i}") for i in range(check_dim(k))]).first()
-    mean = np.array([stats[f"m{i}"] for i in range(k)], dtype=float)
-    centred = df.select(F.zip_with(array_col, F.array(*[F.lit(float(v)) for v in mean]), lambda x, m: x - m).alias("_x"))
-    return float(stats["n"]), mean, to_matrix(gram(centred, "_x", k).collect(), k)
+    k = len(shift)
+    moved = F.zip_with(array_col, F.array(*[F.lit(float(v)) for v in shift]), lambda x, m: x - m)
+    rows = df.filter(F.col(array_col).isNotNull()).select(F.concat(F.array(F.lit(1.0)), moved).alias("_x"))
+    g = to_matrix(gram(rows, "_x", k + 1).collect(), k + 1)
+    n = g[0, 0]
+    if n == 0:
+        return 0.0, np.asarray(shift, dtype=float), np.zeros((k, k))
+    mean = g[0, 1:] / n
+    return float(n), np.asarray(shift, dtype=float) + mean, g[1:, 1:] - n * np.outer(mean, mean)
 
 
 def principal_axes(scatter: np.ndarray, n_components: int) -> tuple[np.ndarray, np.ndarray]:

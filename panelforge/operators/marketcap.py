@@ -50,7 +50,8 @@ def attach_shares(price: DataFrame, fin: DataFrame, days: DataFrame | None = Non
     shares = shares.filter(F.col("Date").isNotNull())
     # Two period ends can snap to the same business day; the later one would double the price row.
     shares = shares.groupBy("Date", "Code").agg(F.max("OutstandingShares").alias("OutstandingShares"))
-    return price.join(shares.withColumn("isSettlementDay", F.lit(True)), ["Date", "Code"], "left").withColumn(
+    # Code first: the merge order of the join is the order of every later window.
+    return price.join(shares.withColumn("isSettlementDay", F.lit(True)), ["Code", "Date"], "left").withColumn(
         "isSettlementDay", F.coalesce("isSettlementDay", F.lit(False)))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.operators import linalg as L
+from panelforge.session import reuse
 
 KEYS = ["Date", "Sector"]
 ALPHA_RANGE = (5e-6, 5e-3)
@@ -67,6 +68,7 @@ def fit_lasso(
     cols = list(columns)
     k = L.check_dim(len(cols) + 2)
     rows = features.join(target.select(*KEYS, "Target").filter(F.col("Target").isNotNull()), KEYS).dropna(subset=cols)
+    rows = reuse(rows.select(*KEYS, "Target", *cols))
     group = F.col(by) if by else F.lit("*")
     # A common shift and scale keeps the cross-products well conditioned.
     pre = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
@@ -128,6 +130,7 @@ def fit_boosted(
 ) -> PipelineModel:
     """Pooled gradient-boosted trees over all sectors."""
     rows = features.join(target.select(*KEYS, "Target").filter(F.col("Target").isNotNull()), KEYS).dropna(subset=list(columns))
+    rows = reuse(rows.select("Target", *columns))
     assemble = VectorAssembler(inputCols=list(columns), outputCol="_features")
     trees = GBTRegressor(featuresCol="_features", labelCol="Target", predictionCol="Pred", maxIter=rounds,
                          maxDepth=depth, stepSize=learning_rate, seed=seed, subsamplingRate=0.8)

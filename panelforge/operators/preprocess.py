@@ -15,21 +15,25 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import windows as P
 from panelforge.operators import linalg as L
+from panelforge.session import reuse
 
 KEYS = ("Date", "Sector")
 
 
 def fit_range(df: DataFrame, start: str | None = None, end: str | None = None, date_col: str = "Date") -> DataFrame:
-    """Rows of the closed fit interval; an empty one is an error."""
+    """Rows of the closed fit interval; each fit refuses an empty one when it sees its counts."""
     if start is not None:
         df = df.filter(F.col(date_col) >= F.lit(start).cast("date"))
     if end is not None:
         df = df.filter(F.col(date_col) <= F.lit(end).cast("date"))
-    if df.isEmpty():
-        raise ValueError("no rows in the fit range")
     return df
 
 
+def require_rows(n: int | float | None) -> None:
+    if not n:
+        raise ValueError("no usable rows in the fit range")
+
+
 def numeric_columns(df: DataFrame, skip: Sequence[str] = KEYS) -> list[str]:
     numeric = ("double", "float", "bigint", "int", "smallint")
     return [f.name for f in df.schema.fields if f.dataType.simpleString() in numeric and f.name not in skip]
@@ -65,7 +69,8 @@ class Standardise(Step):
     def fit(self, df: DataFrame) -> Standardise:
         cols = list(self.columns or numeric_columns(df))
         row = fit_range(df, self.start, self.end).agg(
-            *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+            F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+        require_rows(row["_n"])
         self.stats = {c: (row[f"m_{c}"] if self.with_mean else 0.0, (row[f"s_{c}"] or 1.0) if self.with_std else 1.0) for c in cols}
         return self
 
@@ -101,9 +106,9 @@ class Pca(Step):
         fill = rows.agg(*[F.avg(c).alias(c) for c in cols]).first()
         self.fill = np.array([fill[c] if fill[c] is not None else 0.0 for c in cols])
         complete = rows.dropna(subset=cols).select(L.column_array(cols).alias("_x"))
-        n, self.mean, scatter = L.moments(complete, "_x", len(cols))
-        if n == 0:
-            raise ValueError("every row of the fit range has a missing value")
+        L.check_dim(len(cols))
+        n, self.mean, scatter = L.moments(complete, "_x", self.fill)
+        require_rows(n)
         values, self.axes = L.principal_axes(scatter, min(self.n_components, len(cols), int(n)))
         total = values.sum()
         self.ratios = (values / total if total else values)[: len(self.axes)]
@@ -157,8 +162,9 @@ def stack(wide: DataFrame, names: Sequence[str], value: str = "Target", item: st
 class PanelPca:
     """PCA across the sectors of a long (Date, Sector, value) panel, without widening it.
 
-    The fit collects the sector names and one scatter matrix; the transform adds the
-    loadings per sector and sums scores inside each day, one exchange on Date.
+    The fit collects the sector names with their means and one scatter matrix, two
+    jobs; the transform adds the loadings per sector and sums scores inside each day,
+    one exchange on Date.
     """
 
     n_components: int
@@ -173,15 +179,16 @@ class PanelPca:
 
     def fit(self, dense: DataFrame) -> PanelPca:
         rows = fit_range(dense, self.start, self.end)
-        self.names = [r[0] for r in rows.select(self.item).distinct().orderBy(self.item).limit(L.MAX_DIM + 1).collect()]
+        levels = rows.groupBy(self.item).agg(F.avg(self.value).alias("m")).orderBy(self.item).limit(L.MAX_DIM + 1).collect()
+        self.names = [r[0] for r in levels]
         k = L.check_dim(len(self.names))
-        if k == 0:
-            raise ValueError("no items to fit")
+        require_rows(k)
         per_day = rows.groupBy("Date").agg(
             F.transform(F.sort_array(F.collect_list(F.struct(self.item, self.value))), lambda s: s[self.value]).alias("_x"),
             F.count(self.value).alias("_n"),
         ).filter(F.col("_n") == k)
-        _, self.mean, scatter = L.moments(per_day, "_x", k)
+        n, self.mean, scatter = L.moments(per_day, "_x", [r["m"] or 0.0 for r in levels])
+        require_rows(n)
         values, self.axes = L.principal_axes(scatter, min(self.n_components, k))
         total = values.sum()
         self.ratios = (values / total if total else values)[: len(self.axes)]
@@ -222,7 +229,7 @@ def remove_factors(df: DataFrame, k: int, value: str = "value", item: str = "Cod
     """Residuals after the first ``k`` components over a whole panel; ``k`` 0 is the panel itself."""
     if k <= 0:
         return df
-    dense = dense_matrix(df, value, item)
+    dense = reuse(dense_matrix(df, value, item))
     return PanelPca(k, value, item).fit(dense).residuals(dense)
 
 
@@ -344,5 +351,5 @@ def daytime_target(index: DataFrame) -> DataFrame:
 def pca_residual_target(index: DataFrame, n_components: int, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Daytime return with the common factors removed, and the raw daytime return."""
     raw = daytime_target(index)
-    dense = dense_matrix(raw)
+    dense = reuse(dense_matrix(raw))
     return PanelPca(n_components, start=start, end=end).fit(dense).residuals(dense), raw

@@ -117,7 +117,7 @@ class Market:
         quarter = F.date_trunc("quarter", "Date").cast("date")
         g = self.lines.groupBy("supp", quarter.alias("qs"), "status").agg(
             F.sum("q").alias("sq"), F.sum("num").alias("sn"), F.count(F.lit(1)).alias("n"), F.sum("cents").alias("sc"),
-            F.min("flag").alias("flag"))
+            F.min((F.col("flag") == "R").cast("int")).alias("revision"))
         end = F.last_day(F.add_months("qs", 2))
         period = F.element_at(F.array(*[F.lit(x) for x in ("FY", "1Q", "2Q", "3Q")]), F.quarter("qs"))
         year_end = F.when(F.quarter("qs") == 1, end).otherwise(F.make_date(F.year("qs") + 1, F.lit(3), F.lit(31)))
@@ -128,7 +128,7 @@ class Market:
             text(F.date_add(end, (20 + F.col("sn") % 5).cast("int"))).alias("Date"),
             F.when(F.col("status") == "F", "15:00:00").otherwise("16:30:00").alias("DisclosedTime"),
             as_code(F.col("supp")).alias("Code"),
-            F.when((F.col("flag") == "R"), "EarnForecastRevision").otherwise(F.concat(period, F.lit("FinancialStatements"))).alias("TypeOfDocument"),
+            F.when(F.col("revision") == 1, "EarnForecastRevision").otherwise(F.concat(period, F.lit("FinancialStatements"))).alias("TypeOfDocument"),
             period.alias("TypeOfCurrentPeriod"), text(end).alias("CurrentPeriodEndDate"), text(year_end).alias("CurrentFiscalYearEndDate"),
             text(10000 + F.col("sq")).alias("IssuedShares"),
             F.when(F.col("n") % 5 == 0, "").otherwise(text(F.col("sn"))).alias("TreasuryShares"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -49,3 +50,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="panelforge-ckpt-"))
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a sector-level panel that several jobs of one fit read.
+
+    Blocks spill to disk, and a lost executor's blocks are recomputed from lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -77,6 +77,7 @@ def main() -> int:
                 verdict += " EMPTY"
         except Exception as e:  # report and go on with the next query
             t1, verdict, got = time.time(), f"{type(e).__name__}: {str(e)[:700]}", ()
+        spark.catalog.clearCache()
         if verdict not in ("", "no sql"):
             failed.append(name)
         print(f"{'ok ' if not verdict else verdict if verdict == 'no sql' else 'BAD'} {name} rows={len(got)} spark={t1 - t0:.1f}s sql={time.time() - t1:.1f}s {verdict if verdict != 'no sql' else ''}", flush=True)
