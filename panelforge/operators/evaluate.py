@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalar as S
@@ -16,7 +16,11 @@ from panelforge.sources.readers import between
 
 KEYS = ["Date", "Sector"]
 LEGS = ("Long", "Short", "LS")
-ONE_DAY = Window.partitionBy("Date")
+
+
+def one_day() -> WindowSpec:
+    """All sectors of a day; a function, since a window needs a running session."""
+    return Window.partitionBy("Date")
 
 
 def result_panel(
@@ -42,7 +46,7 @@ def quantile_bin(x: Column, q: int) -> Column:
     """Zero-based bin of ``x`` among ``q`` equal-frequency bins of its day, edges interpolated."""
     if q <= 1:
         return F.lit(0)
-    edges = F.percentile(x, F.array(*[F.lit(i / q) for i in range(1, q)])).over(ONE_DAY)
+    edges = F.percentile(x, F.array(*[F.lit(i / q) for i in range(1, q)])).over(one_day())
     return F.size(F.filter(edges, lambda e: e < x))
 
 
@@ -71,7 +75,7 @@ def leg_weights(rank: Column, best: Column, k: int, top_weight: float) -> Column
 
 def long_short(result: DataFrame, k: int = 3, top_weight: float = 1.0) -> DataFrame:
     """Daily mean return of the k best and the k worst predicted sectors."""
-    ranked = result.withColumns({"_max": F.max("Pred_Rank").over(ONE_DAY), "_min": F.min("Pred_Rank").over(ONE_DAY)})
+    ranked = result.withColumns({"_max": F.max("Pred_Rank").over(one_day()), "_min": F.min("Pred_Rank").over(one_day())})
     rank = F.col("Pred_Rank")
     short = F.when(rank <= k, -F.col("RawTarget") * leg_weights(rank, F.col("_min"), k, top_weight))
     long = F.when(rank > F.col("_max") - k, F.col("RawTarget") * leg_weights(rank, F.col("_max"), k, top_weight))
@@ -229,11 +233,11 @@ def daily_numerai(result: DataFrame) -> DataFrame:
     """Tail-weighted correlation: gaussianised prediction ranks against centred and against gaussianised target ranks."""
     both = result.filter(F.col("Target").isNotNull() & F.col("Pred").isNotNull())
     both = both.select("Date", P.rank_avg("Target", "Date").alias("_t"), P.rank_avg("Pred", "Date").alias("_p"))
-    n = F.count(F.lit(1)).over(ONE_DAY)
+    n = F.count(F.lit(1)).over(one_day())
     gauss = lambda r: S.signed_power(norm_ppf((F.col(r) - 0.5) / n), 1.5)
     shaped = both.select(
         "Date", gauss("_p").alias("_gp"), gauss("_t").alias("_gt"),
-        S.signed_power(F.col("_t") - F.avg("_t").over(ONE_DAY), 1.5).alias("_ct"))
+        S.signed_power(F.col("_t") - F.avg("_t").over(one_day()), 1.5).alias("_ct"))
     return shaped.groupBy("Date").agg(
         correlation(F.col("_gp"), F.col("_ct")).alias("NumeraiCorr"),
         correlation(F.col("_gt"), F.col("_gp")).alias("Rank_NumeraiCorr"))
