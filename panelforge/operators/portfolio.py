@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import scalar as S
 from panelforge.functions import windows as P
+from panelforge.session import reuse
 
 LENDING, STANDARD = "貸借銘柄", "制度信用銘柄"
 NO_ORDERS = "受付不可"
@@ -169,8 +170,7 @@ def reduce_to_budget(units: DataFrame) -> DataFrame:
     Each stock loses at most one lot, so the turn a stock is reached at is decided by
     the running cost of the stocks before it: a window, no loop.
     """
-    totals = units.groupBy(*GROUP).agg(F.sum("TotalCost").alias("_spent"))
-    rows = units.join(totals, GROUP)
+    rows = units.withColumn("_spent", F.sum("TotalCost").over(Window.partitionBy(*GROUP)))
     candidate = (F.col("ReductionRate") >= 1) & (F.col("Unit") > 0)
     order = [F.col("ReductionRate").desc(), F.col("Weight").desc(), F.col("Code")]
     w = Window.partitionBy(*GROUP, "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -207,8 +207,8 @@ def spend_budget(units: DataFrame) -> DataFrame:
     stocks whose lot still fits the remaining budget are sent there, all others keep
     their units and stay in the JVM.
     """
-    free = units.groupBy(*GROUP).agg((F.max("MaxCost") - F.sum("TotalCost")).alias("_free"))
-    rows = units.join(free, GROUP)
+    left = F.col("MaxCost") - F.sum("TotalCost").over(Window.partitionBy(*GROUP))
+    rows = reuse(units.withColumn("_free", left))
     fits = F.coalesce((F.col("EstimatedCost") <= F.col("_free")) & ~F.col("isMaxUnit") & F.col("ReductionRate").isNotNull(), F.lit(False))
     settled = rows.filter(~fits).drop("_free")
     grown = rows.filter(fits).groupBy(*GROUP).applyInPandas(_spend_rest, settled.schema)

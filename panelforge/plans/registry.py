@@ -72,8 +72,9 @@ def with_ctes(body: str) -> str:
         return body
     parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in CTES if n in needed]
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(opening):
+            return opening + ",\n".join(parts) + ",\n" + body[len(opening):]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
