@@ -1,0 +1,62 @@
+"""Incremental acquisition as micro-batches: the batch upserts, applied as new files arrive.
+
+The stored table is rewritten into a new version directory per batch and the
+version is published last, so a failed batch leaves the previous version current.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from panelforge.sources.files import write_parquet
+
+Upsert = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """Highest published version of a table, null before the first batch."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_published")
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
+    versions = [int(n) for n in names if n.isdigit()]
+    return max(versions) if versions else None
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    version = current_version(spark, path)
+    if version is None:
+        raise ValueError(f"nothing published below {path}")
+    return spark.read.parquet(f"{path}/v{version}")
+
+
+def _publish(spark: SparkSession, path: str, version: int) -> None:
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_published/{version}")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.create(marker, True).close()
+
+
+def apply_batch(spark: SparkSession, path: str, batch: DataFrame, version: int, upsert: Upsert) -> None:
+    """Merge one batch; replaying the same version gives the same table."""
+    before = current_version(spark, path)
+    if before is not None and before >= version:
+        return
+    merged = upsert(spark.read.parquet(f"{path}/v{before}"), batch) if before is not None else upsert(batch.limit(0), batch)
+    write_parquet(merged, f"{path}/v{version}")
+    _publish(spark, path, version)
+
+
+def upsert_stream(
+    spark: SparkSession, source: str, schema: T.StructType, path: str, checkpoint: str, upsert: Upsert,
+) -> StreamingQuery:
+    """Read new Parquet files below ``source`` and merge each micro-batch; stops when all are read."""
+    stream = spark.readStream.schema(schema).parquet(source)
+    return (
+        stream.writeStream.foreachBatch(lambda df, epoch: apply_batch(spark, path, df, int(epoch), upsert))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
