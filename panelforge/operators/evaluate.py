@@ -11,6 +11,7 @@ from panelforge.functions import scalar as S
 from panelforge.functions import windows as P
 from panelforge.functions.normal import norm_cdf, norm_ppf
 from panelforge.functions.quantiles import quantile_table
+from panelforge.functions.stats import correlation
 from panelforge.operators import metrics as M
 from panelforge.sources.readers import between
 
@@ -217,12 +218,6 @@ def total_sector_performance(result: DataFrame, k: int = 3) -> DataFrame:
     return out.withColumn("Total_num", F.col("Long_num") + F.col("Short_num")).orderBy(F.desc("Total_num"), "Sector")
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation, null where a side does not vary."""
-    flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
-    return F.when(~flat, F.corr(a, b))
-
-
 def daily_spearman(result: DataFrame) -> DataFrame:
     both = result.filter(F.col("Target").isNotNull() & F.col("Pred").isNotNull())
     both = both.select("Date", P.rank_avg("Target", "Date").alias("_t"), P.rank_avg("Pred", "Date").alias("_p"))
@@ -265,7 +260,7 @@ def strategy_correlation(strategies: DataFrame, names: Sequence[str]) -> DataFra
 def correlation_table(wide: DataFrame, names: Sequence[str]) -> DataFrame:
     """Long correlation matrix of numeric columns from a single aggregate row."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    row = wide.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    row = wide.agg(*[correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     cells = []
     for i, (a, b) in enumerate(pairs):
         cells.append(F.struct(F.lit(a).alias("A"), F.lit(b).alias("B"), F.col(f"c{i}").alias("Corr")))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import windows as P
+from panelforge.functions.stats import correlation
 from panelforge.operators import linalg as L
 from panelforge.session import reuse
 
@@ -286,7 +287,7 @@ class NeutraliseMutually(Step):
         self.columns = cols
         pairs = [(b, a) for i, b in enumerate(cols) for a in cols[:i]]
         if pairs:
-            row = fit_range(df, self.start, self.end).agg(*[F.corr(a, b).alias(f"{i}") for i, (b, a) in enumerate(pairs)]).first()
+            row = fit_range(df, self.start, self.end).agg(*[correlation(a, b).alias(f"{i}") for i, (b, a) in enumerate(pairs)]).first()
             self.correlations = {p: row[i] for i, p in enumerate(pairs)}
         return self
 

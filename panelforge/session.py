@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     # without another exchange.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Brokerage exports come in shift_jis, outside the default list of charsets.
+    "spark.sql.legacy.javaCharsets": "true",
 }
 
 
