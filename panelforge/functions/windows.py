@@ -43,11 +43,25 @@ def shift(x: ColumnLike, n: int, keys, order="Date") -> Column:
     return F.lag(_c(x), n).over(w) if n >= 0 else F.lead(_c(x), -n).over(w)
 
 
+def previous(x: ColumnLike, keys, order="Date") -> Column:
+    """``shift(x, 1)`` on the descending order, for plans whose rows are sorted that way already."""
+    return F.lead(_c(x), 1).over(backwards(keys, order))
+
+
 def ffill(x: ColumnLike, keys, order="Date") -> Column:
     return F.last(_c(x), ignorenulls=True).over(ordered(keys, order).rowsBetween(FIRST, 0))
 
 
 def bfill(x: ColumnLike, keys, order="Date") -> Column:
+    """This value, else the next one in the key.
+
+    A named column uses a null-skipping lead on the ascending order every other
+    helper sorts by, so filling both ways costs no second sort.
+    """
+    if isinstance(x, str) and isinstance(order, str):
+        by = ", ".join(f"`{k}`" for k in ([keys] if isinstance(keys, str) else keys))
+        part = f"PARTITION BY {by} " if by else ""
+        return F.coalesce(F.col(x), F.expr(f"lead(`{x}`, 1) IGNORE NULLS OVER ({part}ORDER BY `{order}`)"))
     return F.last(_c(x), ignorenulls=True).over(backwards(keys, order).rowsBetween(FIRST, 0))
 
 

@@ -98,10 +98,8 @@ def add_share_rates(
 
 def adjust_shares(df: DataFrame) -> DataFrame:
     """Fill share counts both ways and scale them by the ratios still ahead."""
-    return df.withColumns({
-        "CumulativeSharesRate": P.product_from_here("SharesRate", "Code"),
-        "OutstandingShares": P.fill_both("OutstandingShares", "Code"),
-    }).withColumn("OutstandingShares", F.col("OutstandingShares") * F.col("CumulativeSharesRate")).drop(
+    filled = df.withColumn("OutstandingShares", P.fill_both("OutstandingShares", "Code"))
+    return filled.withColumn("CumulativeSharesRate", P.product_from_here("SharesRate", "Code")).withColumn("OutstandingShares", F.col("OutstandingShares") * F.col("CumulativeSharesRate")).drop(
         "SharesRate", "CumulativeSharesRate")
 
 
@@ -111,7 +109,7 @@ def add_market_caps(df: DataFrame) -> DataFrame:
 
 def add_correction(df: DataFrame) -> DataFrame:
     """Part of today's cap that comes from a changed share count (the whole cap on the first row)."""
-    before = F.coalesce(P.shift("OutstandingShares", 1, "Code"), F.lit(0.0))
+    before = F.coalesce(P.previous("OutstandingShares", "Code"), F.lit(0.0))
     return df.withColumn("CorrectionValue", F.col("MarketCapClose") - F.col("Close") * before)
 
 
@@ -119,7 +117,9 @@ def market_caps(price: DataFrame, fin: DataFrame, days: DataFrame | None = None,
     """Daily capitalisation of every stock.
 
     All windows run on (Code, Date); with the panel partitioned by Code once, the
-    chain needs no further exchange of the price rows.
+    chain needs no further exchange of the price rows, and two sorts: the order of
+    the join serves everything up to the share counts, one turn to the descending
+    order serves the cumulative ratio and the correction.
     """
     rates = add_share_rates(attach_shares(price.repartition("Code"), fin, days), settlement_only)
     return add_correction(add_market_caps(adjust_shares(rates))).drop("isSettlementDay", "EventRate")

@@ -209,7 +209,7 @@ def outliers_removed(m: Market):
     UNION ALL SELECT 'target_test', count(*), sum(Target) FROM t WHERE Date BETWEEN DATE '{TEST[0]}' AND DATE '{TEST[1]}'
     UNION ALL SELECT 'features_test', count(*), sum(Pred) FROM a WHERE Date BETWEEN DATE '{TEST[0]}' AND DATE '{TEST[1]}'""", "Total")
 def train_test_sets(m: Market):
-    ds = D.train_test(m.target, m.slow_predictions, TRAIN, TEST, next_calendar(m), outlier_width=2.0)
+    ds = D.train_test(reuse(m.target), reuse(m.slow_predictions), TRAIN, TEST, next_calendar(m), outlier_width=2.0)
     parts = [("target_train", "Target"), ("features_train", "Pred"), ("target_test", "Target"), ("features_test", "Pred")]
     rows = [getattr(ds, n).agg(F.count(F.lit(1)).alias("Rows"), F.sum(c).alias("Total")).select(F.lit(n).alias("Part"), "Rows", "Total") for n, c in parts]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
@@ -271,9 +271,11 @@ def rank_ensemble_dataset(m: Market):
 def model_inputs(m: Market):
     """Yesterday's return, momentum and volatility against today's target, complete rows."""
     from panelforge.operators import features as FE
-    rows = FE.volatility(FE.momentum(m.index), [5])
+    index = reuse(m.index.select("Date", "Sector", "1d_return", "Open", "Close"))
+    target = PP.daytime_target(index).withColumn("Target", F.round("Target", 9))
+    rows = FE.volatility(FE.momentum(index), [5])
     rows = rows.select("Date", "Sector", F.col("1d_return").alias("r1"), F.col("5d_mom").alias("m5"), F.col("21d_mom").alias("m21"), F.col("5d_vola").alias("v5"))
-    return reuse(m.target), reuse(D.lag_features(rows).dropna())
+    return target, D.lag_features(rows).dropna()
 
 
 CTES["x_inputs"] = f"""SELECT * FROM (SELECT Date, Sector, lag(r1) OVER w AS r1, lag(m5) OVER w AS m5, lag(m21) OVER w AS m21, lag(v5) OVER w AS v5 FROM (

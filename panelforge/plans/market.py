@@ -114,7 +114,7 @@ class Market:
     @cached_property
     def raw_fin(self) -> DataFrame:
         """Disclosures as text, one per stock, quarter and line status."""
-        quarter = F.date_trunc("quarter", "Date").cast("date")
+        quarter = F.trunc("Date", "quarter")
         g = self.lines.groupBy("supp", quarter.alias("qs"), "status").agg(
             F.sum("q").alias("sq"), F.sum("num").alias("sn"), F.count(F.lit(1)).alias("n"), F.sum("cents").alias("sc"),
             F.min((F.col("flag") == "R").cast("int")).alias("revision"))
