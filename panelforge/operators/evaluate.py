@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from panelforge.functions import windows as P
 from panelforge.functions.normal import norm_cdf, norm_ppf
 from panelforge.functions.quantiles import quantile_table
 from panelforge.functions.stats import correlation
+from panelforge.operators import linalg as L
 from panelforge.operators import metrics as M
 from panelforge.sources.readers import between
 
@@ -267,3 +269,33 @@ def correlation_table(wide: DataFrame, names: Sequence[str]) -> DataFrame:
         if a != b:
             cells.append(F.struct(F.lit(b).alias("A"), F.lit(a).alias("B"), F.col(f"c{i}").alias("Corr")))
     return row.select(F.inline(F.array(*cells)))
+
+
+def panel_correlation(panel: DataFrame, value: str = "Target", item: str = "Sector") -> DataFrame:
+    """Pairwise-complete correlation matrix of a long (Date, item, value) panel.
+
+    Each day becomes one array of presence marks, values and squares in item order;
+    their summed cross-products hold every pair's count, sums and squares, so no day's
+    pairs are listed and only a matrix of three times the number of items is collected.
+    """
+    levels = panel.groupBy(item).agg(F.avg(value).alias("m")).orderBy(item).limit(L.MAX_DIM + 1).collect()
+    names = [r[0] for r in levels]
+    k = len(names)
+    L.check_dim(3 * k)
+    level = {r[0]: float(r["m"] or 0.0) for r in levels}
+    lookup = lambda d: F.element_at(F.create_map(*[F.lit(v) for kv in d.items() for v in kv]), F.col(item))
+    rows = panel.filter(F.col(value).isNotNull()).select(
+        "Date", lookup({n: i for i, n in enumerate(names)}).alias("_i"), (F.col(value) - lookup(level)).alias("_v"))
+    days = rows.groupBy("Date").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.try_element_at("_m", i))
+    days = days.select(x.alias("_x")).select(F.concat(
+        F.transform("_x", lambda v: v.isNotNull().cast("double")), F.transform("_x", lambda v: F.coalesce(v, F.lit(0.0))),
+        F.transform("_x", lambda v: F.coalesce(v * v, F.lit(0.0)))).alias("_z"))
+    g = L.to_matrix(L.gram(days, "_z", 3 * k).collect(), 3 * k)
+    n, sx, sxy, sxx = g[:k, :k], g[k:2 * k, :k], g[k:2 * k, k:2 * k], g[2 * k:, :k]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = sxy / n - (sx / n) * (sx.T / n)
+        var = sxx / n - (sx / n) ** 2
+        corr = cov / np.sqrt(var * var.T)
+    cells = [(names[i], names[j], float(corr[i, j]) if np.isfinite(corr[i, j]) else None) for i in range(k) for j in range(k)]
+    return panel.sparkSession.createDataFrame(cells, "A string, B string, Corr double")

@@ -181,6 +181,11 @@ def reduce_to_budget(units: DataFrame) -> DataFrame:
     return rows.withColumn("Unit", unit).withColumn("TotalCost", F.col("Unit") * F.col("EstimatedCost")).drop("_c", "_cut", "_spent")
 
 
+def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash the groups over all shuffle partitions; a small input is not folded into few Python workers."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _spend_rest(pdf: pd.DataFrame) -> pd.DataFrame:
     """Add lots one by one to the affordable stock with the smallest reduction rate."""
     pdf = pdf.sort_values(["Weight", "Code"], ascending=[False, True]).reset_index(drop=True)
@@ -211,7 +216,7 @@ def spend_budget(units: DataFrame) -> DataFrame:
     rows = reuse(units.withColumn("_free", left))
     fits = F.coalesce((F.col("EstimatedCost") <= F.col("_free")) & ~F.col("isMaxUnit") & F.col("ReductionRate").isNotNull(), F.lit(False))
     settled = rows.filter(~fits).drop("_free")
-    grown = rows.filter(fits).groupBy(*GROUP).applyInPandas(_spend_rest, settled.schema)
+    grown = _spread(rows.filter(fits), GROUP).groupBy(*GROUP).applyInPandas(_spend_rest, settled.schema)
     return settled.unionByName(grown)
 
 
@@ -281,5 +286,5 @@ def admit_orders(orders: DataFrame, margin: Column | float, existing: DataFrame
             out.append("accepted" if ok else "refused")
         return pdf.assign(Status=out)
 
-    walked = pending.groupBy("Date").applyInPandas(walk, pending.schema)
+    walked = _spread(pending, ["Date"]).groupBy("Date").applyInPandas(walk, pending.schema)
     return decided.unionByName(walked).drop("_margin")

@@ -11,6 +11,7 @@ from panelforge.operators import metrics as ME
 from panelforge.plans.market import Market
 from panelforge.plans.reference_sql import CTES, avg_rank
 from panelforge.plans.registry import query
+from panelforge.session import reuse
 
 RUN = "ROWS UNBOUNDED PRECEDING"
 TAX, LEV = "0.20315", "3.1"
@@ -238,13 +239,9 @@ def strategy_summaries(m: Market):
     return ME.describe(strategies(m), ["Return"], by=["Strategy"], with_sharpe=True)
 
 
-@query("sector_correlation", "D21", """
-    SELECT a.Sector AS A, b.Sector AS B, corr(a.Target, b.Target) AS Corr FROM x_target a JOIN x_target b ON a.Date = b.Date
-    WHERE a.Sector IN ('NATION_1', 'NATION_2', 'NATION_5', 'NATION_7', 'NATION_9') AND b.Sector IN ('NATION_1', 'NATION_2', 'NATION_5', 'NATION_7', 'NATION_9') GROUP BY 1, 2""", "Corr")
+@query("sector_correlation", "D21", "SELECT a.Sector AS A, b.Sector AS B, corr(a.Target, b.Target) AS Corr FROM x_target a JOIN x_target b ON a.Date = b.Date GROUP BY 1, 2", "Corr")
 def sector_correlation(m: Market):
-    from panelforge.operators import preprocess as PP
-    names = ["NATION_1", "NATION_2", "NATION_5", "NATION_7", "NATION_9"]
-    return EV.correlation_table(PP.unstack(m.target, names), names)
+    return EV.panel_correlation(reuse(m.target))
 
 
 CTES["x_returns"] = "SELECT Date, Rate AS Return FROM x_daily"
@@ -301,32 +298,35 @@ def cumulative_return(m: Market):
     return ME.cumulative_return(m.returns)
 
 
-# A sparse series: the quarters' first months of one stock leave empty months behind.
-CTES["x_sparse"] = "SELECT Date, Close / Open - 1 AS Return FROM x_series WHERE Name = 'TOPIX' AND month(Date) % 3 = 1"
-MONTHLY = f"""SELECT c.Date, coalesce(p, 1) - 1 AS Return FROM ({MONTHS.format(t='x_sparse')}) c LEFT JOIN (SELECT last_day(Date) AS Date, product(Return + 1) AS p FROM x_sparse GROUP BY 1) g ON c.Date = g.Date"""
-YEARLY = """SELECT make_date(CAST(year(Date) AS INTEGER), 12, 31) AS Date, product(Return + 1) - 1 AS Return FROM x_sparse GROUP BY 1"""
+# Stocks trade on some days only, so whole months of a stock can be empty.
+CTES["x_sparse"] = "SELECT Code, Date, Close / Open - 1 AS Return FROM x_traded"
+STOCK_MONTHS = """SELECT Code, CAST(last_day(CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE)) AS DATE) AS Date FROM (
+    SELECT Code, date_trunc('month', min(Date)) AS a, date_trunc('month', max(Date)) AS b FROM x_sparse GROUP BY Code)"""
+STOCK_YEARS = """SELECT Code, make_date(CAST(unnest(range(a, b + 1)) AS INTEGER), 12, 31) AS Date FROM (SELECT Code, year(min(Date)) AS a, year(max(Date)) AS b FROM x_sparse GROUP BY Code)"""
+MONTHLY = f"""SELECT c.Code, c.Date, coalesce(p, 1) - 1 AS Return FROM ({STOCK_MONTHS}) c LEFT JOIN (SELECT Code, last_day(Date) AS Date, product(Return + 1) AS p FROM x_sparse GROUP BY 1, 2) g ON c.Date = g.Date AND c.Code = g.Code"""
+YEARLY = f"""SELECT c.Code, c.Date, coalesce(p, 1) - 1 AS Return FROM ({STOCK_YEARS}) c LEFT JOIN (SELECT Code, year(Date) AS y, product(Return + 1) AS p FROM x_sparse GROUP BY 1, 2) g ON year(c.Date) = g.y AND c.Code = g.Code"""
+RUNNING = f"SELECT Code, Date, product(Return + 1) OVER (PARTITION BY Code ORDER BY Date {RUN}) - 1 AS CumulativeReturn FROM "
 
 
 def sparse(m: Market):
-    rows = EV.benchmark_returns(m.series).filter(F.month("Date") % 3 == 1)
-    return rows.select("Date", F.col("Control_daytime").alias("Return"))
+    return m.traded.select("Code", "Date", S.daytime_return(F.col("Open"), F.col("Close")).alias("Return"))
 
 
 @query("monthly_return", "K9", MONTHLY, "Return")
 def monthly_return(m: Market):
-    return ME.compound_by_period(sparse(m))
+    return ME.compound_by_period(sparse(m), by=["Code"])
 
 
 @query("annual_return", "K9", YEARLY, "Return")
 def annual_return(m: Market):
-    return ME.compound_by_period(sparse(m), unit="year")
+    return ME.compound_by_period(sparse(m), by=["Code"], unit="year")
 
 
-@query("monthly_cumulative_return", "K9", f"SELECT Date, product(Return + 1) OVER (ORDER BY Date {RUN}) - 1 AS CumulativeReturn FROM ({MONTHLY})", "CumulativeReturn")
+@query("monthly_cumulative_return", "K9", f"{RUNNING} ({MONTHLY})", "CumulativeReturn")
 def monthly_cumulative_return(m: Market):
-    return ME.cumulative_by_period(sparse(m))
+    return ME.cumulative_by_period(sparse(m), by=["Code"])
 
 
-@query("annual_cumulative_return", "K9", f"SELECT Date, product(Return + 1) OVER (ORDER BY Date {RUN}) - 1 AS CumulativeReturn FROM ({YEARLY})", "CumulativeReturn")
+@query("annual_cumulative_return", "K9", f"{RUNNING} ({YEARLY})", "CumulativeReturn")
 def annual_cumulative_return(m: Market):
-    return ME.cumulative_by_period(sparse(m), unit="year")
+    return ME.cumulative_by_period(sparse(m), by=["Code"], unit="year")

@@ -83,10 +83,9 @@ def adjusted_shares(m: Market):
     return MC.market_caps(m.price, m.volatile_fin, m.calendar).select("Date", "Code", "OutstandingShares")
 
 
-@query("stock_market_caps", "B14 E11", f"SELECT Date, Code, {', '.join(CAPS.split())}, CorrectionValue FROM x_vol_caps WHERE year(Date) = 1999", " ".join(f"{c}:0" for c in (CAPS + " CorrectionValue").split()))
+@query("stock_market_caps", "B14 E11", f"SELECT Date, Code, {', '.join(CAPS.split())}, CorrectionValue FROM x_caps", " ".join(f"{c}:2" for c in (CAPS + " CorrectionValue").split()))
 def stock_market_caps(m: Market):
-    caps = MC.market_caps(m.price, m.volatile_fin, m.calendar)
-    return caps.filter(F.year("Date") == 1999).select("Date", "Code", *CAPS.split(), "CorrectionValue")
+    return m.caps.select("Date", "Code", *CAPS.split(), "CorrectionValue")
 
 
 @query("sector_cap_base", "D1", "SELECT Date, Sector, MarketCapOpen, MarketCapClose, MarketCapHigh, MarketCapLow, OutstandingShares, CorrectionValue FROM x_index_base", "MarketCapOpen:2 MarketCapClose:2 MarketCapHigh:2 MarketCapLow:2 OutstandingShares:2 CorrectionValue:2")
@@ -100,10 +99,10 @@ def sector_index(m: Market):
     return index.select("Date", "Sector", "1d_return", "1d_rate", "Open", "High", "Low", "Close")
 
 
-@query("order_prices", "A6 E29", "SELECT Date, Code, MarketCapClose, Close, Volume FROM x_caps WHERE Date >= DATE '2001-06-01'", "MarketCapClose:2")
+@query("order_prices", "A6 E29", "SELECT Date, Code, MarketCapClose, Close, Volume FROM x_caps", "MarketCapClose:2")
 def order_prices(m: Market):
     _, prices = SI.sector_index(m.price, m.fin, m.definition, m.calendar)
-    return prices.filter(F.col("Date") >= "2001-06-01")
+    return prices
 
 
 @query("size_factor", "D2", "SELECT Date, Sector, avg(MarketCapClose) AS MarketCapAtClose FROM x_caps JOIN x_definition USING (Code) GROUP BY Date, Sector", "MarketCapAtClose:1")

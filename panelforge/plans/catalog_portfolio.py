@@ -112,14 +112,12 @@ def latest_weight_components(m: Market):
     return PO.latest_weight_components(SI.order_prices(m.caps))
 
 
-# Order sizing runs on the last two years, the horizon of the back-test.
 CTES["x_weights"] = """SELECT c.Date, c.Code, CompanyName, Sector, Close * 100 AS EstimatedCost, MarketCapClose / sum(MarketCapClose) OVER (PARTITION BY c.Date, Sector) AS Weight
-  FROM x_caps c JOIN x_definition d ON c.Code = d.Code WHERE c.Date >= DATE '2000-01-01'"""
+  FROM x_caps c JOIN x_definition d ON c.Code = d.Code"""
 
 
 def weights(m: Market):
-    from panelforge.sources.readers import between
-    return PO.sector_weights(PO.weight_components(between(m.caps, "2000-01-01", "2001-12-31")), m.definition)
+    return PO.sector_weights(PO.weight_components(m.caps), m.definition)
 
 
 @query("sector_weights", "E30 L3 C18", "SELECT Date, Code, CompanyName, Sector, EstimatedCost, Weight FROM x_weights", "Weight:9")

@@ -61,8 +61,8 @@ def read_csv_after_marker(
     return body.select(*[F.col(f"_{i}").alias(name) for i, name in enumerate(columns)])
 
 
-def normalise_vendor_series(df: DataFrame) -> DataFrame:
-    """Vendor price export: first five columns by position, thousands separators stripped."""
-    first = df.select(df.columns[:5]).toDF("Date", "Close", "Open", "High", "Low")
+def normalise_vendor_series(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Vendor price export: first five columns by position, thousands separators stripped; ``keep`` columns pass through."""
+    first = df.select(*df.columns[:5], *keep).toDF("Date", "Close", "Open", "High", "Low", *keep)
     number = lambda c: F.regexp_replace(F.col(c).cast("string"), ",", "").try_cast("double").alias(c)
-    return first.select(F.to_date("Date").alias("Date"), *[number(c) for c in ("Close", "Open", "High", "Low")])
+    return first.select(F.to_date("Date").alias("Date"), *[number(c) for c in ("Close", "Open", "High", "Low")], *keep)
