@@ -81,7 +81,9 @@ def cumsum(x: ColumnLike, keys, order="Date") -> Column:
 
 
 def cummax(x: ColumnLike, keys, order="Date") -> Column:
-    return F.max(_c(x)).over(ordered(keys, order).rowsBetween(FIRST, 0))
+    """Running maximum; a null row stays null."""
+    x = _c(x)
+    return F.when(x.isNotNull(), F.max(x).over(ordered(keys, order).rowsBetween(FIRST, 0)))
 
 
 def product_from_here(x: ColumnLike, keys, order="Date") -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,7 +198,7 @@ def _spend_rest(pdf: pd.DataFrame) -> pd.DataFrame:
         open_rows = (cost <= free) & ~full
         if not open_rows.any():
             break
-        i = int(pd.Series(rate).where(open_rows).idxmin())
+        i = int(np.where(open_rows, rate, np.inf).argmin())
         unit[i] += 1
         free -= cost[i]
         rate[i] = abs(ideal[i] - unit[i] * cost[i]) / max(abs(ideal[i] - (unit[i] + 1) * cost[i]), 1e-12)

@@ -175,9 +175,10 @@ CTES["x_result"] = f"""SELECT p.Date, p.Sector, p.Target, p.Pred, t.Target AS Ra
   FROM x_pred p LEFT JOIN x_target t ON p.Date = t.Date AND p.Sector = t.Sector"""
 CTES["x_ls"] = """SELECT *, (Long + Short) / 2 AS LS FROM (SELECT Date, avg(CASE WHEN Pred_Rank > mx - 3 THEN RawTarget END) AS Long, avg(CASE WHEN Pred_Rank <= 3 THEN -RawTarget END) AS Short
   FROM (SELECT *, max(Pred_Rank) OVER (PARTITION BY Date) AS mx FROM x_result) GROUP BY Date)"""
-CTES["x_perf"] = """WITH a AS (SELECT *, product(Long + 1) OVER w - 1 AS L_Cumprod, product(Short + 1) OVER w - 1 AS S_Cumprod, product(LS + 1) OVER w - 1 AS LS_Cumprod
+CTES["x_perf"] = """WITH a AS (SELECT *, CASE WHEN Long IS NOT NULL THEN product(Long + 1) OVER w - 1 END AS L_Cumprod, CASE WHEN Short IS NOT NULL THEN product(Short + 1) OVER w - 1 END AS S_Cumprod,
+    CASE WHEN LS IS NOT NULL THEN product(LS + 1) OVER w - 1 END AS LS_Cumprod
     FROM x_ls WINDOW w AS (ORDER BY Date ROWS UNBOUNDED PRECEDING)),
   b AS (SELECT *, 1 - (LS_Cumprod + 1) / max(LS_Cumprod + 1) OVER (ORDER BY Date ROWS UNBOUNDED PRECEDING) AS DD FROM a),
-  c AS (SELECT *, max(DD) OVER (ORDER BY Date ROWS UNBOUNDED PRECEDING) AS MaxDD, sum(CASE WHEN DD = 0 THEN 1 ELSE 0 END) OVER (ORDER BY Date ROWS UNBOUNDED PRECEDING) AS g FROM b),
+  c AS (SELECT *, CASE WHEN DD IS NOT NULL THEN max(DD) OVER (ORDER BY Date ROWS UNBOUNDED PRECEDING) END AS MaxDD, sum(CASE WHEN DD = 0 THEN 1 ELSE 0 END) OVER (ORDER BY Date ROWS UNBOUNDED PRECEDING) AS g FROM b),
   e AS (SELECT *, CAST(row_number() OVER (PARTITION BY g ORDER BY Date) - 1 AS INTEGER) AS DDdays FROM c)
   SELECT Date, LS, LS_Cumprod, DD, MaxDD, DDdays, max(DDdays) OVER (ORDER BY Date ROWS UNBOUNDED PRECEDING) AS MaxDDdays, Long, Short, L_Cumprod, S_Cumprod FROM e"""
