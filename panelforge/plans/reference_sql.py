@@ -179,6 +179,6 @@ CTES["x_perf"] = """WITH a AS (SELECT *, CASE WHEN Long IS NOT NULL THEN product
     CASE WHEN LS IS NOT NULL THEN product(LS + 1) OVER w - 1 END AS LS_Cumprod
     FROM x_ls WINDOW w AS (ORDER BY Date ROWS UNBOUNDED PRECEDING)),
   b AS (SELECT *, 1 - (LS_Cumprod + 1) / max(LS_Cumprod + 1) OVER (ORDER BY Date ROWS UNBOUNDED PRECEDING) AS DD FROM a),
-  c AS (SELECT *, CASE WHEN DD IS NOT NULL THEN max(DD) OVER (ORDER BY Date ROWS UNBOUNDED PRECEDING) END AS MaxDD, sum(CASE WHEN DD = 0 THEN 1 ELSE 0 END) OVER (ORDER BY Date ROWS UNBOUNDED PRECEDING) AS g FROM b),
+  c AS (SELECT *, CASE WHEN DD IS NOT NULL THEN max(DD) OVER (ORDER BY Date ROWS UNBOUNDED PRECEDING) END AS MaxDD, sum(CASE WHEN round(DD, 12) = 0 THEN 1 ELSE 0 END) OVER (ORDER BY Date ROWS UNBOUNDED PRECEDING) AS g FROM b),
   e AS (SELECT *, CAST(row_number() OVER (PARTITION BY g ORDER BY Date) - 1 AS INTEGER) AS DDdays FROM c)
   SELECT Date, LS, LS_Cumprod, DD, MaxDD, DDdays, max(DDdays) OVER (ORDER BY Date ROWS UNBOUNDED PRECEDING) AS MaxDDdays, Long, Short, L_Cumprod, S_Cumprod FROM e"""
