@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +26,22 @@ RUNTIME_CONF = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings to a session somebody else built."""
+    """Apply the runtime SQL settings to a session somebody else built, and give its workers this package."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once a session: they do not inherit the driver's import path."""
+    root = Path(__file__).resolve().parent
+    if spark.conf.get("panelforge.shipped", None) != str(root):
+        target = Path(tempfile.mkdtemp(prefix="panelforge-")) / "panelforge_sources.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, source.relative_to(root.parent).as_posix())
+        spark.sparkContext.addPyFile(str(target))
+        spark.conf.set("panelforge.shipped", str(root))
     return spark
 
 
@@ -45,13 +61,33 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``checkpoint()`` at the folder the cluster names, or at a scratch one when none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="panelforge-ckpt-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="panelforge-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Point ``checkpoint()`` at the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it again.
+
+    Cuts the lineage: a lost executor costs neither the result nor its inputs.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reuse(df: DataFrame) -> DataFrame:
