@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fold(key: str, folds: int) -> Column:
@@ -50,9 +51,9 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[list[np.ndarray], np.ndarray
 
 def score_documents(docs: DataFrame, score: Callable[[bytes], float]) -> DataFrame:
     """Adds ``score`` to every row of ``docs``; a null text is scored as the empty one. The model travels with the function."""
-    plain = docs.withColumn("_raw", F.col("text").cast("binary")) if "text" in docs.columns else docs
-    rest = [c for c in docs.columns]
-    schema = docs.schema.add("score", "double")
+    plain = docs.withColumn("_raw", F.col("text").cast("binary"))
+    rest = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

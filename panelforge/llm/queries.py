@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm.mixing import op1_temperature_mixing
+from panelforge.llm.packing import op5_best_fit_packing
 from panelforge.llm.quality import op4_quality_nbsvm
 from panelforge.llm.sharding import op9_feistel_sharding
+from panelforge.llm.topk import OP7_SQL, op7_pivot_topk
 from panelforge.llm.toxicity import op2_toxicity_ftrl
 from panelforge.session import ship_package
 
@@ -18,5 +20,5 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op1_temperature_mixing, op2_toxicity_ftrl, op4_quality_nbsvm, op9_feistel_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+    f.__name__: _shipped(f) for f in (op1_temperature_mixing, op2_toxicity_ftrl, op4_quality_nbsvm, op5_best_fit_packing, op7_pivot_topk, op9_feistel_sharding)}
+ORACLE_SQL: dict[str, str] = {"op7_pivot_topk": OP7_SQL}
