@@ -16,13 +16,14 @@ BUCKETS = 4096
 ROUNDS = 6
 
 
-def number_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+def number_rows(df: DataFrame, columns: list[str], buckets: Column | None = None) -> DataFrame:
     """Distinct numbers from 0 without gaps for all rows, in the column ``row``, which depend on the values only.
 
     Equal rows are counted before they are shuffled and numbered as one run, so a row that occurs very often costs one record a
-    task. Nulls are values like others; an empty input gives an empty result.
+    task. Nulls are values like others; an empty input gives an empty result. ``buckets`` replaces the hash that deals rows to
+    buckets, which are numbered in turn.
     """
-    bucket = F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).alias("_bucket")
+    bucket = (F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)) if buckets is None else buckets).alias("_bucket")
     counted = df.groupBy(bucket, *columns).agg(F.count(F.lit(1)).alias("_times"))
     before = F.sum("_times").over(Window.partitionBy("_bucket").orderBy(*columns)) - F.col("_times")
     sums = counted.groupBy("_bucket").agg(F.sum("_times").alias("_sum"))
