@@ -36,11 +36,11 @@ SLOTS, BLOCK = 1 << 20, 1 << 12
 LARGEST_LIGHT = 40
 
 
-def shingles(raw: bytes) -> np.ndarray:
-    """Sorted hashes of the distinct word triples, A-Z lower-cased; of the whole sequence if there are fewer words."""
+def shingles(raw: bytes, width: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct runs of ``width`` words, A-Z lower-cased; of the whole sequence if there are fewer words."""
     words = word_hashes(raw.lower())
-    if len(words) >= SHINGLE:
-        return np.unique(mix(rolled(words, SHINGLE)))
+    if len(words) >= width:
+        return np.unique(mix(rolled(words, width)))
     return mix(rolled(words, len(words)) + np.uint64(len(words))) if len(words) else words
 
 
@@ -95,7 +95,7 @@ def subset_keys(values: np.ndarray, light: int, least: tuple[int, int] = LEAST)
     return keys, roles
 
 
-def set_sizes(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def set_sizes(texts: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, np.ndarray]:
     """``id, n, s1, s2`` (size and digest of the set) of every document, and the sketch of all shingles' frequencies.
 
     The sketch has 2**20 counters whatever the input.
@@ -103,7 +103,7 @@ def set_sizes(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
-            sets = [shingles(raw or b"") for raw in batch.column("raw").to_pylist()]
+            sets = [shingles(raw or b"", width) for raw in batch.column("raw").to_pylist()]
             for found in np.array_split(np.arange(len(sets)), max(1, sum(map(len, sets)) // 1_000_000)):
                 if len(found):
                     counts += np.bincount(slots(np.concatenate([sets[i] for i in found])), minlength=SLOTS)
@@ -130,7 +130,7 @@ def set_sizes(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return found.filter("block is null").select("id", "n", "s1", "s2"), sketch
 
 
-def postings(texts: DataFrame, sketch: np.ndarray, light: int, least: tuple[int, int] = LEAST) -> DataFrame:
+def postings(texts: DataFrame, sketch: np.ndarray, light: int, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:
     """``key, id, n, pos, role``: rarest shingles of heavy sets (role -1, pos from 0) and subsets of light ones.
 
     Of equal sets in one batch only the first is listed. Sets light enough to match a heavy one are listed in both ways.
@@ -143,7 +143,7 @@ def postings(texts: DataFrame, sketch: np.ndarray, light: int, least: tuple[int,
             seen: set[bytes] = set()
             keys, ids, sizes, places, roles = [], [], [], [], []
             for key, raw in sorted(zip(batch.column("id").to_pylist(), batch.column("raw").to_pylist(), strict=True), key=lambda r: r[0]):
-                found = shingles(raw or b"")
+                found = shingles(raw or b"", width)
                 n, digest = len(found), xxhash.xxh3_128_digest(found.tobytes())
                 if not n or digest in seen:
                     continue
@@ -185,7 +185,7 @@ def _may_link(n: str, pos: str, m: str, other: str, least: tuple[int, int]) -> C
     return (down * F.least(n, m) >= up * F.greatest(n, m)) & (F.least(n - pos, m - other) >= overlap(n, m, least))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are similar enough.
 
     Texts that no pair needs are kept out of the shuffle by a filter of 2**20 places; what passes in error is dropped by the joins.
@@ -211,8 +211,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST)
             kept = []
             for i, (key, left, right) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "left", "right")), strict=True)):
                 if key != known:
-                    known, last = key, shingles(left or b"")
-                other = shingles(right or b"")
+                    known, last = key, shingles(left or b"", width)
+                other = shingles(right or b"", width)
                 common = len(np.intersect1d(last, other, assume_unique=True))
                 if down * common >= up * (len(last) + len(other) - common):
                     kept.append(i)
@@ -230,7 +230,7 @@ def _labels(links: DataFrame) -> DataFrame:
     return one.withColumnRenamed("label", "_one").join(two, "a").select(F.col("a").alias("id"), F.least("_one", "label").alias("label"))
 
 
-def heavy_links(listed: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+def heavy_links(listed: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:
     """Links ``a, b`` among sets that share a rare shingle; what is left out lies in one component already."""
     up, down = least
     lists = listed.filter("role = -1")
@@ -240,7 +240,7 @@ def heavy_links(listed: DataFrame, texts: DataFrame, least: tuple[int, int] = LE
     star = several.filter("id <> hid").filter(_may_link("n", "pos", "hn", "hpos", least)).groupBy("id", "hid").agg(F.count(F.lit(1)).alias("_m"))
     turn = Window.partitionBy("id").orderBy(F.desc("_m"), "hid")
     star = stage(star.withColumn("_turn", F.row_number().over(turn)).filter("_turn <= 2").select(F.col("hid").alias("a"), F.col("id").alias("b")), "star-pairs")
-    first = stage(verified(star, texts, least), "star-links")
+    first = stage(verified(star, texts, least, width), "star-links")
     # What is still in several components is compared without regard to the above.
     marked = several.join(_labels(first), "id", "left").select("key", "id", "n", "pos", F.coalesce("label", "id").alias("label"))
     largest = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_m")).groupBy("key").agg(
@@ -254,10 +254,10 @@ def heavy_links(listed: DataFrame, texts: DataFrame, least: tuple[int, int] = LE
     near = pos < n - F.ceil(2 * up * n / F.lit(up + down)) + 1
     rest = x.join(y, "key").filter((F.col("xl") != F.col("yl")) & ((F.col("yl") == F.col("top")) | (F.col("x") < F.col("y"))))
     rest = rest.filter(_may_link("xn", "xp", "yn", "yp", least) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return first.unionByName(verified(stage(rest, "rest-pairs"), texts, least))
+    return first.unionByName(verified(stage(rest, "rest-pairs"), texts, least, width))
 
 
-def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:
     """``docs`` with ``_id``, ``n_shingles`` and ``component``: the smallest ``_id`` reachable by links.
 
     ``_id`` orders documents by doc_id, nulls first (see ``identified``). Null and empty texts, and texts of white space, have no
@@ -265,13 +265,13 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFram
     """
     known = identified(docs)
     texts = known.select(F.col("_id").alias("id"), F.col("text").cast("binary").alias("raw"))
-    sets, sketch = set_sizes(texts)
+    sets, sketch = set_sizes(texts, width)
     sizes = {r.n: r["count"] for r in sets.filter(F.col("n").between(1, LARGEST_LIGHT)).groupBy("n").count().collect()}
-    listed = stage(postings(texts, sketch, boundary(sizes, least), least), "shingle-lists")
+    listed = stage(postings(texts, sketch, boundary(sizes, least), least, width), "shingle-lists")
     full = sets.filter("n > 0")
     first = full.groupBy("n", "s1", "s2").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     equal = full.join(first, ["n", "s1", "s2"]).filter("id <> a").select("a", F.col("id").alias("b"))
-    links = equal.unionByName(light_links(listed)).unionByName(heavy_links(listed, texts, least))
+    links = equal.unionByName(light_links(listed)).unionByName(heavy_links(listed, texts, least, width))
     nodes = sets.dropDuplicates(["id"])
     groups = connected_groups(nodes, links).withColumnRenamed("group", "component")
     wide = nodes.join(groups, "id").select("id", F.col("n").alias("n_shingles"), "component")
