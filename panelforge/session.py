@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+#: Batches of long texts stay small, in the workers as in the executors.
+ARROW_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,6 +22,7 @@ RUNTIME_CONF = {
     # without another exchange.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    **ARROW_CONF,
     # Brokerage exports come in shift_jis, outside the default list of charsets.
     "spark.sql.legacy.javaCharsets": "true",
 }
@@ -34,6 +37,8 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def ship_package(spark: SparkSession) -> SparkSession:
     """Send this package to the Python workers, once a session: they do not inherit the driver's import path."""
+    for key, value in ARROW_CONF.items():
+        spark.conf.set(key, value)
     root = Path(__file__).resolve().parent
     if spark.conf.get("panelforge.shipped", None) != str(root):
         target = Path(tempfile.mkdtemp(prefix="panelforge-")) / "panelforge_sources.zip"
