@@ -5,7 +5,10 @@ Words are the maximal runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``; all f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 #: An odd multiplier for polynomial hashes modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -112,3 +115,10 @@ def phrases(symbols: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.nd
         return none, none, none.astype(np.uint64)
     firsts = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
     return firsts, np.diff(np.append(firsts, len(at))), hashes[at[firsts]]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

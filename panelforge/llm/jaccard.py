@@ -11,6 +11,7 @@ components are compared, all of them, so no link that matters is lost and crowde
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.grams import BASE, mix, rolled, word_hashes
+from panelforge.llm.grams import BASE, mix, rolled, sliced, word_hashes
 from panelforge.llm.repeats import identified
 from panelforge.operators.clustering import connected_groups
 from panelforge.session import stage
@@ -31,7 +32,9 @@ SHINGLE = 3
 #: Similarity as a fraction.
 LEAST = (90, 100)
 #: Counters of the sketch that orders shingles by frequency, and counters sent together.
-SLOTS, BLOCK = 1 << 20, 1 << 12
+SLOTS, BLOCK = 1 << 22, 1 << 14
+#: Places of the filter that keeps texts without a candidate out of the shuffle.
+PLACES = 1 << 20
 #: Sets larger than this are never light.
 LARGEST_LIGHT = 40
 
@@ -45,7 +48,7 @@ def shingles(raw: bytes, width: int = SHINGLE) -> np.ndarray:
 
 
 def slots(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(44)).astype(np.int64)
+    return (values >> np.uint64(42)).astype(np.int64)
 
 
 def overlap(a: Column | int, b: Column | int, least: tuple[int, int] = LEAST):
@@ -98,22 +101,21 @@ def subset_keys(values: np.ndarray, light: int, least: tuple[int, int] = LEAST)
 def set_sizes(texts: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, np.ndarray]:
     """``id, n, s1, s2`` (size and digest of the set) of every document, and the sketch of all shingles' frequencies.
 
-    The sketch has 2**20 counters whatever the input.
+    The sketch has 2**22 counters whatever the input.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, dtype=np.int64)
-        for batch in batches:
+        counts = np.zeros(SLOTS, dtype=np.int32)  # of one task
+        for batch in sliced(batches):
             sets = [shingles(raw or b"", width) for raw in batch.column("raw").to_pylist()]
-            for found in np.array_split(np.arange(len(sets)), max(1, sum(map(len, sets)) // 1_000_000)):
-                if len(found):
-                    counts += np.bincount(slots(np.concatenate([sets[i] for i in found])), minlength=SLOTS)
+            values, times = np.unique(slots(np.concatenate(sets)), return_counts=True)
+            counts[values] += times.astype(np.int32)
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
                  pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], NAMES)
         n = SLOTS // BLOCK
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64())] * 4 + [pa.array(np.arange(n, dtype=np.int32)), pa.array([c.tobytes() for c in counts.reshape(n, BLOCK)], pa.binary())], NAMES)
+            [pa.nulls(n, pa.int64())] * 4 + [pa.array(np.arange(n, dtype=np.int32)), pa.array([zlib.compress(c.tobytes(), 1) for c in counts.reshape(n, BLOCK)], pa.binary())], NAMES)
     NAMES = ["id", "n", "s1", "s2", "block", "counts"]
     found = stage(texts.mapInArrow(run, "id long, n long, s1 long, s2 long, block int, counts binary"), "shingle-sets")
 
@@ -121,12 +123,12 @@ def set_sizes(texts: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, np.nda
         total = np.zeros(BLOCK, dtype=np.int64)
         for frame in frames:
             for c in frame["counts"]:
-                total += np.frombuffer(c, dtype=np.int64)
-        yield pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
+                total += np.frombuffer(zlib.decompress(c), dtype=np.int32)
+        yield pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
     blocks = found.filter("block is not null").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
-    sketch = np.zeros(SLOTS, dtype=np.int64)
+    sketch = np.zeros(SLOTS, dtype=np.uint32)
     for b in blocks:
-        sketch[b.block * BLOCK : (b.block + 1) * BLOCK] = np.frombuffer(b.counts, dtype=np.int64)
+        sketch[b.block * BLOCK : (b.block + 1) * BLOCK] = np.minimum(np.frombuffer(zlib.decompress(b.counts), dtype=np.int64), 2**32 - 1)
     return found.filter("block is null").select("id", "n", "s1", "s2"), sketch
 
 
@@ -136,7 +138,7 @@ def postings(texts: DataFrame, sketch: np.ndarray, light: int, least: tuple[int,
     Of equal sets in one batch only the first is listed. Sets light enough to match a heavy one are listed in both ways.
     """
     low = -(-least[0] * (light + 1) // least[1])
-    rare = np.minimum(sketch, (1 << 24) - 1).astype(np.uint64)
+    rare = np.minimum(sketch, (1 << 24) - 1).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +159,7 @@ def postings(texts: DataFrame, sketch: np.ndarray, light: int, least: tuple[int,
                     sizes.append(np.full(len(k), n))
                 if n >= low:
                     p = prefix(n, least)
-                    order = (rare[slots(found)] << np.uint64(40)) | (found >> np.uint64(24))
+                    order = (rare[slots(found)].astype(np.uint64) << np.uint64(40)) | (found >> np.uint64(24))
                     first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
                     first = first[np.argsort(order[first], kind="stable")]
                     keys.append(found[first].view(np.int64))
@@ -192,10 +194,10 @@ def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST,
     """
     up, down = least
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    spot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    spot = F.pmod(F.xxhash64("id"), F.lit(PLACES))
     needed = ids.select(spot.alias("s")).distinct().select((F.col("s") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(s, 64) as int)) AS m"))
     words = needed.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # 16,384 rows at most
-    mask = np.zeros(SLOTS // 64, dtype=np.int64)
+    mask = np.zeros(PLACES // 64, dtype=np.int64)
     mask[words["w"].to_numpy(dtype=np.int64)] = words["m"].to_numpy(dtype=np.int64)
 
     @F.pandas_udf("boolean")
@@ -207,7 +209,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = None, None
-        for batch in batches:
+        for batch in sliced(batches):
             kept = []
             for i, (key, left, right) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "left", "right")), strict=True)):
                 if key != known:
@@ -230,14 +232,17 @@ def _labels(links: DataFrame) -> DataFrame:
     return one.withColumnRenamed("label", "_one").join(two, "a").select(F.col("a").alias("id"), F.least("_one", "label").alias("label"))
 
 
-def heavy_links(listed: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:
+def heavy_links(listed: DataFrame, sets: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:
     """Links ``a, b`` among sets that share a rare shingle; what is left out lies in one component already."""
     up, down = least
     lists = listed.filter("role = -1")
-    heads = lists.groupBy("key").agg(F.min(F.struct("pos", "n", "id")).alias("head"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    several = stage(lists.join(heads, "key").select(
-        "key", "id", "n", "pos", F.col("head.id").alias("hid"), F.col("head.n").alias("hn"), F.col("head.pos").alias("hpos")), "shared-shingles")
-    star = several.filter("id <> hid").filter(_may_link("n", "pos", "hn", "hpos", least)).groupBy("id", "hid").agg(F.count(F.lit(1)).alias("_m"))
+    heads = lists.groupBy("key").agg(F.min(F.struct("pos", "id")).alias("head"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    several = stage(lists.join(heads, "key").select("key", "id", "n", "pos", F.col("head.id").alias("hid")), "shared-shingles")
+    star = several.filter("id <> hid").groupBy("id", "n", "hid").agg(F.count(F.lit(1)).alias("_m"))
+    star = star.join(sets.select(F.col("id").alias("hid"), F.col("n").alias("hn")).distinct(), "hid")
+    # Of two linked sets one has so many of its rarest members in common with the other.
+    common = overlap(F.col("n"), F.col("hn"), least) - F.ceil(F.lit(up / down) * F.greatest("n", "hn") - 1e-9) + 1
+    star = star.filter((down * F.least("n", "hn") >= up * F.greatest("n", "hn")) & (F.col("_m") >= common))
     turn = Window.partitionBy("id").orderBy(F.desc("_m"), "hid")
     star = stage(star.withColumn("_turn", F.row_number().over(turn)).filter("_turn <= 2").select(F.col("hid").alias("a"), F.col("id").alias("b")), "star-pairs")
     first = stage(verified(star, texts, least, width), "star-links")
@@ -271,7 +276,7 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, width: int
     full = sets.filter("n > 0")
     first = full.groupBy("n", "s1", "s2").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     equal = full.join(first, ["n", "s1", "s2"]).filter("id <> a").select("a", F.col("id").alias("b"))
-    links = equal.unionByName(light_links(listed)).unionByName(heavy_links(listed, texts, least, width))
+    links = equal.unionByName(light_links(listed)).unionByName(heavy_links(listed, sets, texts, least, width))
     nodes = sets.dropDuplicates(["id"])
     groups = connected_groups(nodes, links).withColumnRenamed("group", "component")
     wide = nodes.join(groups, "id").select("id", F.col("n").alias("n_shingles"), "component")

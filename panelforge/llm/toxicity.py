@@ -15,7 +15,7 @@ from panelforge.llm.linear import feature_rows, fit_in_one_task, fold, labelled_
 #: Number of weights.
 DIMENSIONS = 1 << 22
 #: Labelled documents used for training, at most.
-SAMPLE = 16384
+SAMPLE = 12288
 #: Words between the two of a skip-gram, at most.
 SKIP = 2
 
