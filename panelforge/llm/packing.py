@@ -95,10 +95,11 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY, patience: int = 400) -> list[list[int]]:
+def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY, patience: int = 100) -> list[list[int]]:
     """Local search: take weight out of the emptiest bin until it is empty, then go on with the next.
 
-    A step moves one of its pieces to a bin with room, or exchanges one or two of its pieces for a shorter one of a fuller bin.
+    A step moves one of its pieces to a bin with room, or exchanges one or two of its pieces for a shorter one of a fuller bin;
+    failing that, the next emptiest bins exchange among themselves, which gathers their room.
     Every step increases the sum of squared fills, so the search ends; it also ends when the pieces cannot fit into fewer bins,
     or after ``patience`` steps on one bin.
     """
@@ -130,7 +131,12 @@ def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPAC
                     done = True
                     break
             if not done:
-                done = _exchange(bins, size, fill, home, space, e, own)
+                for b in np.flatnonzero(fill > 0)[np.argsort(fill[fill > 0], kind="stable")][:8].tolist():
+                    fuller = np.where(fill >= fill[b], space, -1)
+                    fuller[b] = -1
+                    if _exchange(bins, size, fill, home, fuller, b, sorted(bins[b], key=lambda i: size[i])):
+                        done = True
+                        break
             if not done or not bins[e]:
                 break
         if bins[e]:
