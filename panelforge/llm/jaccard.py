@@ -190,22 +190,11 @@ def _may_link(n: str, pos: str, m: str, other: str, least: tuple[int, int]) -> C
 def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are similar enough.
 
-    Texts that no pair needs are kept out of the shuffle by a filter of 2**20 places; what passes in error is dropped by the joins.
+    Texts that no pair needs are kept out of the shuffle by the places of the needed ids, of which there are 2**20; what passes in error is dropped by the joins.
     """
     up, down = least
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    spot = F.pmod(F.xxhash64("id"), F.lit(PLACES))
-    needed = ids.select(spot.alias("s")).distinct().select((F.col("s") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(s, 64) as int)) AS m"))
-    words = needed.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # 16,384 rows at most
-    mask = np.zeros(PLACES // 64, dtype=np.int64)
-    mask[words["w"].to_numpy(dtype=np.int64)] = words["m"].to_numpy(dtype=np.int64)
-
-    @F.pandas_udf("boolean")
-    def wanted(place: pd.Series) -> pd.Series:
-        p = place.to_numpy()
-        return pd.Series((mask[p >> 6] >> (p & 63)) & 1 == 1)
-
-    few = texts.filter(wanted(spot))
+    places = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(PLACES)).alias("_place")).distinct()
+    few = texts.join(F.broadcast(places), F.pmod(F.xxhash64("id"), F.lit(PLACES)) == F.col("_place"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = None, None

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelforge.llm.grams import sliced
+
 
 def fold(key: str, folds: int) -> Column:
     """Remainder of the checksum of a key's text; null counts as the empty text."""
@@ -56,7 +58,7 @@ def score_documents(docs: DataFrame, score: Callable[[bytes], float]) -> DataFra
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = pa.array([score(t or b"") for t in batch.column("_raw").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [scores], [*rest, "score"])
     return plain.mapInArrow(run, schema)

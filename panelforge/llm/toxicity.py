@@ -15,13 +15,13 @@ from panelforge.llm.linear import feature_rows, fit_in_one_task, fold, labelled_
 #: Number of weights.
 DIMENSIONS = 1 << 22
 #: Labelled documents used for training, at most.
-SAMPLE = 12288
+SAMPLE = 10240
 #: Words between the two of a skip-gram, at most.
-SKIP = 2
+SKIP = 1
 
 
 def gram_features(raw: bytes) -> np.ndarray:
-    """The distinct feature numbers of a text: words, pairs of neighbours, and pairs with one or two words between.
+    """The distinct feature numbers of a text: words, pairs of neighbours, and pairs with one word between.
 
     Words are runs of letters and digits, with A-Z lower-cased; any other byte of ASCII separates.
     """
