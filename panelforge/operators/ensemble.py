@@ -37,10 +37,15 @@ def check_keys(inputs: Weighted) -> None:
 
 
 def _weighted_sum(parts: Sequence[DataFrame]) -> DataFrame:
-    """Sum of ``_v`` over the models in one aggregate, no chain of joins; unmatched keys drop out."""
-    both = reduce(DataFrame.unionByName, parts)
-    total = both.groupBy(*KEYS).agg(F.sum("_v").alias("Pred"), F.count(F.lit(1)).alias("_n"))
-    return total.filter(F.col("_n") == len(parts)).drop("_n")
+    """Sum of ``_v`` over the models in one aggregate, no chain of joins.
+
+    A key that a model lacks, or has twice, fails the query: a mix of fewer models is not the mix asked for.
+    """
+    both = reduce(DataFrame.unionByName, [p.withColumn("_model", F.lit(1 << i)) for i, p in enumerate(parts)])
+    total = both.groupBy(*KEYS).agg(F.sum("_v").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.bit_or("_model").alias("_models"))
+    whole = (F.col("_n") == len(parts)) & (F.col("_models") == (1 << len(parts)) - 1)
+    refused = F.raise_error(F.lit("all predictions must share the same (Date, Sector) keys")).cast("double")
+    return total.select(*KEYS, F.when(whole, F.col("_sum")).otherwise(refused).alias("Pred"))
 
 
 def by_value(inputs: Weighted) -> DataFrame:

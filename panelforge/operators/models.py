@@ -124,19 +124,30 @@ def predict_lasso(models: DataFrame, features: DataFrame, columns: Sequence[str]
     return out.join(target.select(*KEYS, "Target"), KEYS, "left") if target is not None else out
 
 
+def _complete(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Every feature with 0 for null, and next to it whether it was null, so that no row is lost."""
+    out = rows.withColumns({f"_f{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(columns)} | {
+        f"_m{i}": F.col(c).isNull().cast("double") for i, c in enumerate(columns)})
+    return out, [f"_{k}{i}" for i in range(len(columns)) for k in "fm"]
+
+
 def fit_boosted(
     target: DataFrame, features: DataFrame, columns: Sequence[str], rounds: int = 20, depth: int = 3,
-    learning_rate: float = 0.1, seed: int = 42,
+    learning_rate: float = 0.1, seed: int = 42, row_share: float = 1.0,
 ) -> PipelineModel:
-    """Pooled gradient-boosted trees over all sectors."""
-    rows = features.join(target.select(*KEYS, "Target").filter(F.col("Target").isNotNull()), KEYS).dropna(subset=list(columns))
-    rows = reuse(rows.select("Target", *columns))
-    assemble = VectorAssembler(inputCols=list(columns), outputCol="_features")
+    """Pooled gradient-boosted trees over all sectors; null features are a value of their own, ``row_share`` of the rows feed a tree."""
+    rows, inputs = _complete(features.join(target.select(*KEYS, "Target").filter(F.col("Target").isNotNull()), KEYS), columns)
+    rows = reuse(rows.select("Target", *inputs))
+    assemble = VectorAssembler(inputCols=inputs, outputCol="_features")
     trees = GBTRegressor(featuresCol="_features", labelCol="Target", predictionCol="Pred", maxIter=rounds,
-                         maxDepth=depth, stepSize=learning_rate, seed=seed, subsamplingRate=0.8)
-    return Pipeline(stages=[assemble, trees]).fit(rows)
+                         maxDepth=depth, stepSize=learning_rate, seed=seed, subsamplingRate=row_share)
+    try:
+        return Pipeline(stages=[assemble, trees]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict_boosted(model: PipelineModel, features: DataFrame, columns: Sequence[str], target: DataFrame | None = None) -> DataFrame:
-    out = model.transform(features.dropna(subset=list(columns))).select(*KEYS, "Pred")
+    """A prediction for every row of ``features``."""
+    out = model.transform(_complete(features, columns)[0]).select(*KEYS, "Pred")
     return out.join(target.select(*KEYS, "Target"), KEYS, "left") if target is not None else out

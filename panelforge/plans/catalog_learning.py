@@ -230,12 +230,14 @@ CTES["x_two"] = "SELECT a.Date, a.Sector, a.Target, a.Pred AS p1, b.Pred AS p2 F
 
 
 def two_models(m: Market):
-    return m.predictions, m.slow_predictions
+    """Both models on the keys they share; ensembles refuse others."""
+    a, b = m.predictions, m.slow_predictions
+    return a.join(b, ["Date", "Sector"], "left_semi"), b.join(a, ["Date", "Sector"], "left_semi")
 
 
 @query("ensemble_key_check", "J7", "SELECT Date, Sector, CAST(count(*) AS BIGINT) AS Models FROM (SELECT Date, Sector FROM x_pred UNION ALL SELECT Date, Sector FROM x_slow) GROUP BY Date, Sector HAVING count(*) <> 2")
 def ensemble_key_check(m: Market):
-    return EN.unmatched_keys([(df, 1.0) for df in two_models(m)])
+    return EN.unmatched_keys([(m.predictions, 1.0), (m.slow_predictions, 1.0)])
 
 
 @query("ensemble_by_value", "J8 J7", "SELECT Date, Sector, p1 * (6.7 / 8.0) + p2 * (1.3 / 8.0) AS Pred FROM x_two", "Pred")
@@ -244,9 +246,9 @@ def ensemble_by_value(m: Market):
     return EN.by_value([(a, 6.7), (b, 1.3)])
 
 
-# Ranks of a model run over all its own rows of the day.
-CTES["x_ranks"] = f"""SELECT a.Date, a.Sector, a.r AS r1, b.r AS r2 FROM (SELECT Date, Sector, {avg_rank('Pred', desc=True)} AS r FROM x_pred) a
-  JOIN (SELECT Date, Sector, {avg_rank('Pred', desc=True)} AS r FROM x_slow) b ON a.Date = b.Date AND a.Sector = b.Sector"""
+# Ranks of a model run over the rows of the day that both models have.
+CTES["x_ranks"] = f"""SELECT a.Date, a.Sector, a.r AS r1, b.r AS r2 FROM (SELECT Date, Sector, {avg_rank('Pred', desc=True)} AS r FROM x_pred SEMI JOIN x_slow USING (Date, Sector)) a
+  JOIN (SELECT Date, Sector, {avg_rank('Pred', desc=True)} AS r FROM x_slow SEMI JOIN x_pred USING (Date, Sector)) b ON a.Date = b.Date AND a.Sector = b.Sector"""
 BY_RANK = f"SELECT Date, Sector, {avg_rank('s', desc=True)} AS Pred FROM (SELECT Date, Sector, r1 * 0.75 + r2 * 0.25 AS s FROM x_ranks)"
 
 
@@ -262,7 +264,7 @@ def ensemble_by_vote(m: Market):
     return EN.ensemble("by_voting", [(a, 3.0), (b, 1.0)], top_n=5)
 
 
-@query("rank_ensemble_dataset", "J12", f"SELECT e.Date, e.Sector, e.Pred, t.Target FROM ({BY_RANK}) e JOIN (SELECT Date, Sector, {avg_rank('Target')} AS Target FROM x_pred) t ON e.Date = t.Date AND e.Sector = t.Sector")
+@query("rank_ensemble_dataset", "J12", f"SELECT e.Date, e.Sector, e.Pred, t.Target FROM ({BY_RANK}) e JOIN (SELECT Date, Sector, {avg_rank('Target')} AS Target FROM x_pred SEMI JOIN x_slow USING (Date, Sector)) t ON e.Date = t.Date AND e.Sector = t.Sector")
 def rank_ensemble_dataset(m: Market):
     a, b = two_models(m)
     return EN.rank_ensemble_dataset([(a, 3.0), (b, 1.0)])

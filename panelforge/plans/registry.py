@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelforge.plans.market import Market
 from panelforge.plans.reference_sql import CTES
+from panelforge.session import shared_folder
 
 
 @dataclass(frozen=True)
@@ -79,9 +80,5 @@ def with_ctes(body: str) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a round trip: below the shared folder the cluster names, else a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="panelforge-")
-    import uuid
-    return f"{shared.rstrip('/')}/panelforge-{uuid.uuid4().hex}"
+    """A new folder for a round trip, below the folder all executors share."""
+    return f"{shared_folder(spark)}/panelforge-{uuid.uuid4().hex}"

@@ -16,7 +16,6 @@ from panelforge.operators import sector_index as SI
 from panelforge.sources import files as IO
 from panelforge.sources import upserts as U
 from panelforge.sources.bundle import DatasetBundle
-from panelforge.streaming import incremental as INC
 
 DAY = dt.date(2020, 1, 6)
 
@@ -185,19 +184,6 @@ def test_bundle_round_trip(spark, tmp_path):
         DatasetBundle({"other": df})
 
 
-def test_streamed_upsert_equals_the_batch_one(spark, tmp_path):
-    schema = "Date date, Code string, Close double"
-    first = spark.createDataFrame([(DAY, "1", 1.0), (DAY, "2", 2.0)], schema)
-    second = spark.createDataFrame([(DAY, "2", 9.0), (DAY, "3", 3.0)], schema)
-    table, source = str(tmp_path / "t"), str(tmp_path / "in")
-    for part in (first, second):
-        part.coalesce(1).write.mode("append").parquet(source)
-        q = INC.upsert_stream(spark, source, first.schema, table, str(tmp_path / "ckpt"), U.upsert_prices)
-        q.awaitTermination(120)
-    got = sorted((r["Code"], r["Close"]) for r in INC.read_current(spark, table).collect())
-    assert got == [("1", 1.0), ("2", 2.0), ("3", 3.0)]
-
-
 def test_index_level_follows_the_rate(spark):
     rows = [(DAY + dt.timedelta(days=i), "s", float(c)) for i, c in enumerate((100, 110, 99))]
     base = spark.createDataFrame(rows, "Date date, Sector string, MarketCapClose double").withColumns({
