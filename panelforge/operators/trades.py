@@ -28,14 +28,18 @@ def fill_totals(fills: DataFrame) -> DataFrame:
         F.sum("Shares").alias("Shares"), F.sum("Price").alias("Price"), F.sum("Fee").alias("Fee"), F.sum("Tax").alias("Tax"))
 
 
-def pair_fills(totals: DataFrame) -> DataFrame:
-    """Opening and closing fills of a code and day side by side, a missing side counts 0."""
-    opening = totals.filter(F.col("Type").isin(OPEN_BUY, OPEN_SELL)).select(
-        "Date", "Code", "CompanyName", F.when(F.col("Type") == OPEN_SELL, SHORT).otherwise(LONG).alias("Side"),
+def pair_fills(priced: DataFrame) -> DataFrame:
+    """Opening and closing fills (see ``fill_vwap``) of a code, day and side next to each other, a missing one counts 0.
+
+    A short is closed by buying back, so its closing fills never meet the same day's long.
+    """
+    opening = priced.filter(F.col("Type").isin(OPEN_BUY, OPEN_SELL)).select(
+        "Date", "Code", F.when(F.col("Type") == OPEN_SELL, SHORT).otherwise(LONG).alias("Side"), "CompanyName",
         "Shares", F.col("Price").alias("AcqPrice"))
-    closing = totals.filter(F.col("Type").isin(CLOSE_BUY, CLOSE_SELL)).select(
-        "Date", "Code", F.col("Price").alias("SettlePrice"))
-    return opening.join(closing, ["Date", "Code"], "full").withColumns(
+    closing = priced.filter(F.col("Type").isin(CLOSE_BUY, CLOSE_SELL)).select(
+        "Date", "Code", F.when(F.col("Type") == CLOSE_BUY, SHORT).otherwise(LONG).alias("Side"), "CompanyName",
+        F.col("Price").alias("SettlePrice"))
+    return opening.join(closing, ["Date", "Code", "Side", "CompanyName"], "full").withColumns(
         {c: F.coalesce(F.col(c), F.lit(0).cast(t)) for c, t in (("Shares", "long"), ("AcqPrice", "double"), ("SettlePrice", "double"))})
 
 
@@ -150,32 +154,34 @@ def monthly_profit(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def monthly_leveraged(deposits: DataFrame, buying_power: DataFrame, leveraged: DataFrame) -> DataFrame:
-    """Opening buying power plus the month's mean change of the deposits as the capital base."""
+    """Opening buying power plus the month's mean change of the deposits as the capital base; months without a deposit row show 0 days."""
     month = F.last_day("Date").alias("Date")
     power = buying_power.groupBy(month).agg(F.min_by("BuyingPower", F.col("Date")).alias("_power"))
     deposit = deposits.groupBy(month).agg(
         F.avg("Deposit").alias("_mean"), F.min_by("Deposit", F.col("Date")).alias("_first"), F.count("Deposit").alias("Days"))
     profit = leveraged.groupBy(month).agg(F.sum("Profit").alias("Profit"), F.sum("ProfitAfterTax").alias("ProfitAfterTax"))
-    out = deposit.join(power, "Date", "left").join(profit, "Date", "left")
+    out = M.periods(deposits).join(deposit, "Date", "left").join(power, "Date", "left").join(profit, "Date", "left")
     zero = F.lit(0).cast("long")
-    out = out.select("Date", (F.col("_power") + F.col("_mean") - F.col("_first")).alias("MeanDeposit"), "Days",
+    out = out.select("Date", (F.col("_power") + F.col("_mean") - F.col("_first")).alias("MeanDeposit"), F.coalesce("Days", zero).alias("Days"),
                      F.coalesce("Profit", zero).alias("Profit"), F.coalesce("ProfitAfterTax", zero).alias("ProfitAfterTax"))
     return _rates(out, "MeanDeposit")
 
 
 def total_profit(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row over the whole period (per group)."""
+    """One row over the whole period (per group); the mean of the ungrouped row is cut to an integer after the returns."""
     out = daily.groupBy(*by).agg(
         F.avg("AcqAmount").alias("MeanAcqAmount"), F.count("AcqAmount").alias("Days"),
         F.sum("Profit").alias("Profit"), F.sum("ProfitAfterTax").alias("ProfitAfterTax"))
-    return _rates(out, "MeanAcqAmount", ("MeanReturn", "MeanReturnAfterTax"))
+    out = _rates(out, "MeanAcqAmount", ("MeanReturn", "MeanReturnAfterTax"))
+    return out if by else out.withColumn("MeanAcqAmount", S.truncate_long(F.col("MeanAcqAmount")))
 
 
 def total_leveraged(deposits: DataFrame, leveraged: DataFrame) -> DataFrame:
     base = deposits.agg(F.avg("Deposit").alias("MeanDeposit"), F.count("Deposit").alias("Days"))
     sums = leveraged.agg(F.sum("Profit").alias("Profit"), F.sum("ProfitAfterTax").alias("ProfitAfterTax"))
     out = base.withColumns({"Profit": sums.select("Profit").scalar(), "ProfitAfterTax": sums.select("ProfitAfterTax").scalar()})
-    return _rates(out, "MeanDeposit", ("TotalReturn", "TotalReturnAfterTax"))
+    out = _rates(out, "MeanDeposit", ("TotalReturn", "TotalReturnAfterTax"))
+    return out.withColumn("MeanDeposit", S.truncate_long(F.col("MeanDeposit")))
 
 
 def latest_result(ledger: DataFrame) -> DataFrame:

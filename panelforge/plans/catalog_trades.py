@@ -36,21 +36,17 @@ def fill_totals(m: Market):
     return TR.fill_totals(m.fills)
 
 
-PAIRS = """SELECT coalesce(o.Date, c.Date) AS Date, coalesce(o.Code, c.Code) AS Code, o.Side, coalesce(o.Shares, 0) AS Shares, coalesce(o.AcqPrice, 0.0) AS AcqPrice, coalesce(c.SettlePrice, 0.0) AS SettlePrice
-    FROM (SELECT Date, Code, CASE WHEN Type = '信用新規売' THEN '売' ELSE '買' END AS Side, Shares, Price AS AcqPrice FROM x_totals WHERE Type IN ('信用新規買', '信用新規売') AND Date < DATE '2001-01-01') o
-    FULL JOIN (SELECT Date, Code, Price AS SettlePrice FROM x_totals WHERE Type IN ('信用返済買', '信用返済売') AND Date >= DATE '1995-06-01') c ON o.Date = c.Date AND o.Code = c.Code"""
+VWAP = "SELECT Date, Code, CompanyName, Type, CAST(sum(Shares) AS BIGINT) AS Shares, sum(Price * Shares) / sum(Shares) AS Price FROM x_fills GROUP BY ALL"
+PAIRS = f"""WITH v AS ({VWAP}),
+    o AS (SELECT *, CASE WHEN Type = '信用新規売' THEN '売' ELSE '買' END AS Side FROM v WHERE Type IN ('信用新規買', '信用新規売')),
+    c AS (SELECT *, CASE WHEN Type = '信用返済買' THEN '売' ELSE '買' END AS Side FROM v WHERE Type IN ('信用返済買', '信用返済売'))
+    SELECT Date, Code, Side, CompanyName, coalesce(o.Shares, 0) AS Shares, coalesce(o.Price, 0.0) AS AcqPrice, coalesce(c.Price, 0.0) AS SettlePrice
+    FROM o FULL JOIN c USING (Date, Code, Side, CompanyName)"""
 
 
-def late_and_early(m: Market):
-    """Openings end and closings begin at different days, so both sides have unmatched fills."""
-    opening = F.col("Type").isin(TR.OPEN_BUY, TR.OPEN_SELL)
-    kept = (opening & (F.col("Date") < "2001-01-01")) | (~opening & (F.col("Date") >= "1995-06-01"))
-    return TR.fill_totals(m.fills).filter(kept)
-
-
-@query("fills_paired", "C15", PAIRS)
+@query("fills_paired", "C15", PAIRS, "AcqPrice SettlePrice")
 def fills_paired(m: Market):
-    return TR.pair_fills(late_and_early(m)).select("Date", "Code", "Side", "Shares", "AcqPrice", "SettlePrice")
+    return TR.pair_fills(TR.fill_vwap(m.fills)).select("Date", "Code", "Side", "CompanyName", "Shares", "AcqPrice", "SettlePrice")
 
 
 @query("trade_profit", "L11", "SELECT Date, Code, Side, Sector, AcqAmount, SettleAmount, Fee, Profit, Rate FROM x_ledger", "Rate")
@@ -132,32 +128,33 @@ def monthly_profit_by_sector(m: Market):
     return TR.monthly_profit(TR.daily_profit_by_sector(m.ledger), ["Side", "Sector"])
 
 
-@query("monthly_leveraged", "D11", """
-    SELECT d.Date, power + mean - first AS MeanDeposit, d.Days, coalesce(Profit, 0) AS Profit, coalesce(ProfitAfterTax, 0) AS ProfitAfterTax, Profit / (power + mean - first) AS Rate, ProfitAfterTax / (power + mean - first) AS RateAfterTax
-    FROM (SELECT last_day(Date) AS Date, avg(Deposit) AS mean, arg_min(Deposit, Date) AS first, count(*) AS Days FROM x_deposits GROUP BY 1) d
-    LEFT JOIN (SELECT last_day(Date) AS Date, arg_min(Deposit * 2, Date) AS power FROM x_deposits GROUP BY 1) p ON d.Date = p.Date
-    LEFT JOIN (SELECT last_day(Date) AS Date, CAST(sum(Profit) AS BIGINT) AS Profit, CAST(sum(ProfitAfterTax) AS BIGINT) AS ProfitAfterTax FROM x_lev GROUP BY 1) l ON d.Date = l.Date""", "MeanDeposit:2 " + RATES)
+@query("monthly_leveraged", "D11", f"""
+    SELECT m.Date, power + mean - first AS MeanDeposit, coalesce(d.Days, 0) AS Days, coalesce(Profit, 0) AS Profit, coalesce(ProfitAfterTax, 0) AS ProfitAfterTax, Profit / (power + mean - first) AS Rate, ProfitAfterTax / (power + mean - first) AS RateAfterTax
+    FROM ({MONTHS.format(t='x_deposits')}) m
+    LEFT JOIN (SELECT last_day(Date) AS Date, avg(Deposit) AS mean, arg_min(Deposit, Date) AS first, count(*) AS Days FROM x_deposits GROUP BY 1) d ON m.Date = d.Date
+    LEFT JOIN (SELECT last_day(Date) AS Date, arg_min(Deposit * 2, Date) AS power FROM x_deposits GROUP BY 1) p ON m.Date = p.Date
+    LEFT JOIN (SELECT last_day(Date) AS Date, CAST(sum(Profit) AS BIGINT) AS Profit, CAST(sum(ProfitAfterTax) AS BIGINT) AS ProfitAfterTax FROM x_lev GROUP BY 1) l ON m.Date = l.Date""", "MeanDeposit:2 " + RATES)
 def monthly_leveraged(m: Market):
     power = m.deposits.select("Date", (F.col("Deposit") * 2).alias("BuyingPower"))
     return TR.monthly_leveraged(m.deposits, power, leveraged(m))
 
 
-TOTAL = "SELECT {k} avg(AcqAmount) AS MeanAcqAmount, count(*) AS Days, CAST(sum(Profit) AS BIGINT) AS Profit, CAST(sum(ProfitAfterTax) AS BIGINT) AS ProfitAfterTax, sum(Profit) / avg(AcqAmount) AS MeanReturn, sum(ProfitAfterTax) / avg(AcqAmount) AS MeanReturnAfterTax FROM {t} {g}"
+TOTAL = "SELECT {k} {mean} AS MeanAcqAmount, count(*) AS Days, CAST(sum(Profit) AS BIGINT) AS Profit, CAST(sum(ProfitAfterTax) AS BIGINT) AS ProfitAfterTax, sum(Profit) / avg(AcqAmount) AS MeanReturn, sum(ProfitAfterTax) / avg(AcqAmount) AS MeanReturnAfterTax FROM {t} {g}"
 
 
-@query("total_profit", "D12 D20", TOTAL.format(k="", t="x_daily", g=""), "MeanAcqAmount:2 MeanReturn MeanReturnAfterTax")
+@query("total_profit", "D12 D20", TOTAL.format(k="", mean="CAST(trunc(avg(AcqAmount)) AS BIGINT)", t="x_daily", g=""), "MeanReturn MeanReturnAfterTax")
 def total_profit(m: Market):
     return TR.total_profit(daily(m))
 
 
-@query("total_profit_by_sector", "D12", TOTAL.format(k="Side, Sector,", t="x_daily_sector", g="GROUP BY Side, Sector"), "MeanAcqAmount:2 MeanReturn MeanReturnAfterTax")
+@query("total_profit_by_sector", "D12", TOTAL.format(k="Side, Sector,", mean="avg(AcqAmount)", t="x_daily_sector", g="GROUP BY Side, Sector"), "MeanAcqAmount:2 MeanReturn MeanReturnAfterTax")
 def total_profit_by_sector(m: Market):
     return TR.total_profit(TR.daily_profit_by_sector(m.ledger), ["Side", "Sector"])
 
 
 @query("total_leveraged", "D12", """
-    SELECT (SELECT avg(Deposit) FROM x_deposits) AS MeanDeposit, (SELECT count(*) FROM x_deposits) AS Days, CAST(sum(Profit) AS BIGINT) AS Profit, CAST(sum(ProfitAfterTax) AS BIGINT) AS ProfitAfterTax,
-      sum(Profit) / (SELECT avg(Deposit) FROM x_deposits) AS TotalReturn, sum(ProfitAfterTax) / (SELECT avg(Deposit) FROM x_deposits) AS TotalReturnAfterTax FROM x_lev""", "MeanDeposit:2 TotalReturn TotalReturnAfterTax")
+    SELECT (SELECT CAST(trunc(avg(Deposit)) AS BIGINT) FROM x_deposits) AS MeanDeposit, (SELECT count(*) FROM x_deposits) AS Days, CAST(sum(Profit) AS BIGINT) AS Profit, CAST(sum(ProfitAfterTax) AS BIGINT) AS ProfitAfterTax,
+      sum(Profit) / (SELECT avg(Deposit) FROM x_deposits) AS TotalReturn, sum(ProfitAfterTax) / (SELECT avg(Deposit) FROM x_deposits) AS TotalReturnAfterTax FROM x_lev""", "TotalReturn TotalReturnAfterTax")
 def total_leveraged(m: Market):
     return TR.total_leveraged(m.deposits, leveraged(m))
 
