@@ -178,14 +178,16 @@ def synthesise_mergers(
     return untouched.select(*fin.columns).unionByName(merged).unionByName(after)
 
 
-def clean_fundamentals(raw: DataFrame, mergers: DataFrame | Sequence[tuple] = MERGERS) -> DataFrame:
+def clean_fundamentals(
+    raw: DataFrame, mergers: DataFrame | Sequence[tuple] = MERGERS, replacements: Mapping[str, str] = S.CODE_REPLACEMENTS,
+) -> DataFrame:
     """Raw disclosures (text, blanks as missing) to the fundamentals panel."""
     text = raw.select(*[S.blank_to_null(F.col(c).cast("string")).alias(c) for c in raw.columns])
     dates = ("Date", "CurrentPeriodEndDate", "CurrentFiscalYearEndDate")
     numbers = ("IssuedShares", "TreasuryShares", "ForecastEarningsPerShare", "NextYearForecastEarningsPerShare")
     typed = text.withColumns({
         **{c: S.day(F.col(c)) for c in dates}, **{c: F.col(c).try_cast("double") for c in numbers},
-        "Code": S.replace_code(S.normalise_code(F.col("Code"))),
+        "Code": S.replace_code(S.normalise_code(F.col("Code")), replacements),
     })
     fin = add_fundamental_columns(latest_disclosure(typed))
     if isinstance(mergers, DataFrame) or mergers:

@@ -22,8 +22,8 @@ BLOCK_ROWS = 2000
 def agreement_matrix(labels: DataFrame, items: Sequence[str], run: str = "Run", item: str = "Item", label: str = "Label") -> DataFrame:
     """For every two items, in how many runs they carry the same label.
 
-    One row per run with the labels in item order; each Arrow batch adds up its
-    comparison matrices, so neither a join nor a list of pairs is ever built.
+    One row per run with the labels in item order; each task adds up its comparison
+    matrices and emits one, so neither a join nor a list of pairs is ever built.
     """
     items = sorted(items)
     k = L.check_dim(len(items))
@@ -33,13 +33,13 @@ def agreement_matrix(labels: DataFrame, items: Sequence[str], run: str = "Run",
     rows = rows.select(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.try_element_at("_m", i)).alias("_l"))
 
     def count(batches):
+        total = np.zeros((k, k), dtype="int64")
         for pdf in batches:
-            total = np.zeros((k, k), dtype="int64")
             for row in pdf["_l"]:
                 x = np.array([np.nan if v is None else v for v in row], dtype=float)
                 total += x[:, None] == x[None, :]
-            i, j = np.indices((k, k))
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "n": total.ravel()})
+        i, j = np.indices((k, k))
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "n": total.ravel()})
 
     counts = rows.mapInPandas(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("Agreement"))
     names = F.array(*[F.lit(n) for n in items])
@@ -205,7 +205,7 @@ def item_coordinates(panel: DataFrame, k: int, value: str = "Target", item: str
     dense = dense_matrix(panel, value, item)
     per_day = dense.groupBy("Date").agg(
         F.transform(F.sort_array(F.collect_list(F.struct(item, value))), lambda s: s[value]).alias("_x"))
-    g = L.to_matrix(L.gram(per_day, "_x", k).collect(), k)
+    g = L.to_matrix(L.gram(per_day, "_x", k).toPandas(), k)
     centred = g - g.mean(0) - g.mean(1)[:, None] + g.mean()
     values, axes = L.principal_axes(centred, n_components)
     coords = axes * np.sqrt(values[: len(axes)])[:, None]

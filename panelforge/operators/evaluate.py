@@ -291,7 +291,7 @@ def panel_correlation(panel: DataFrame, value: str = "Target", item: str = "Sect
     days = days.select(x.alias("_x")).select(F.concat(
         F.transform("_x", lambda v: v.isNotNull().cast("double")), F.transform("_x", lambda v: F.coalesce(v, F.lit(0.0))),
         F.transform("_x", lambda v: F.coalesce(v * v, F.lit(0.0)))).alias("_z"))
-    g = L.to_matrix(L.gram(days, "_z", 3 * k).collect(), 3 * k)
+    g = L.to_matrix(L.gram(days, "_z", 3 * k).toPandas(), 3 * k)
     n, sx, sxy, sxx = g[:k, :k], g[k:2 * k, :k], g[k:2 * k, k:2 * k], g[2 * k:, :k]
     with np.errstate(divide="ignore", invalid="ignore"):
         cov = sxy / n - (sx / n) * (sx.T / n)

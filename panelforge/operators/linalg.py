@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_DIM = 2000
+#: Numbers a task holds in partial sums.
+HELD = 1 << 24
 
 
 def check_dim(k: int) -> int:
@@ -27,27 +30,37 @@ def column_array(columns: Sequence[str]):
 
 
 def gram(df: DataFrame, array_col: str, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """Sum of x xT over the rows, long form ``(by.., i, j, value)``.
+    """Sum of x xT over the rows, upper triangle in long form ``(by.., i, j, value)`` with i <= j.
 
-    Each Arrow batch is reduced with one matrix product per key, so a task emits at
-    most k*k numbers per key and batch; the partial sums meet in a hash aggregate.
+    A task adds up one matrix per key over all its batches and emits each once (earlier
+    when the matrices held pass ``HELD`` numbers); the partial sums meet in a hash aggregate.
     """
     check_dim(k)
     keys = list(by)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ii, jj = (m.ravel() for m in np.indices((k, k)))
+        upper = np.triu_indices(k)
+        ii, jj = (pa.array(m.astype("int32")) for m in upper)
+        held: dict[tuple, np.ndarray] = {}
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for key, total in held.items():
+                cols = [pa.array([v] * len(ii)) for v in key] + [ii, jj, pa.array(total[upper])]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "i", "j", "value"])
+            held.clear()
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             pdf = batch.to_pandas()
-            groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
+            groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
             for key, part in groups:
                 x = np.stack(part[array_col].to_numpy())
-                out = {"i": ii.astype("int32"), "j": jj.astype("int32"), "value": (x.T @ x).ravel()}
                 key = key if isinstance(key, tuple) else (key,)
-                cols = [pa.array([v] * (k * k)) for v in key] + [pa.array(a) for a in out.values()]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keys, *out])
+                held[key] = held[key] + x.T @ x if key in held else x.T @ x
+            if len(held) * k * k > HELD:
+                yield from emit()
+        yield from emit()
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{c}` {types[c]}" for c in keys] + ["i int", "j int", "value double"])
@@ -55,10 +68,11 @@ def gram(df: DataFrame, array_col: str, k: int, by: Sequence[str] = ()) -> DataF
     return rows.mapInArrow(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("value").alias("value"))
 
 
-def to_matrix(rows, k: int) -> np.ndarray:
+def to_matrix(rows: pd.DataFrame, k: int) -> np.ndarray:
+    """The whole symmetric matrix from its upper triangle."""
     m = np.zeros((k, k))
-    for r in rows:
-        m[r["i"], r["j"]] = r["value"]
+    i, j, value = (rows[c].to_numpy() for c in ("i", "j", "value"))
+    m[i, j] = m[j, i] = value
     return m
 
 
@@ -70,7 +84,7 @@ def moments(df: DataFrame, array_col: str, shift: Sequence[float]) -> tuple[floa
     k = len(shift)
     moved = F.zip_with(array_col, F.array(*[F.lit(float(v)) for v in shift]), lambda x, m: x - m)
     rows = df.filter(F.col(array_col).isNotNull()).select(F.concat(F.array(F.lit(1.0)), moved).alias("_x"))
-    g = to_matrix(gram(rows, "_x", k + 1).collect(), k + 1)
+    g = to_matrix(gram(rows, "_x", k + 1).toPandas(), k + 1)
     n = g[0, 0]
     if n == 0:
         return 0.0, np.asarray(shift, dtype=float), np.zeros((k, k))

@@ -38,7 +38,7 @@ def shares_at_period_end(fin: DataFrame) -> DataFrame:
 def snap_to_business_day(shares: DataFrame, days: DataFrame) -> DataFrame:
     """Forward as-of: null when the calendar has no later business day."""
     return shares.join(business_day_map(days), "Day", "left").select(
-        F.col("OpenDay").alias("Date"), "Code", "OutstandingShares")
+        F.col("OpenDay").alias("Date"), "Code", "OutstandingShares", "Day")
 
 
 def attach_shares(price: DataFrame, fin: DataFrame, days: DataFrame | None = None) -> DataFrame:
@@ -48,8 +48,9 @@ def attach_shares(price: DataFrame, fin: DataFrame, days: DataFrame | None = Non
     """
     shares = snap_to_business_day(shares_at_period_end(fin), days if days is not None else price.select("Date"))
     shares = shares.filter(F.col("Date").isNotNull())
-    # Two period ends can snap to the same business day; the later one would double the price row.
-    shares = shares.groupBy("Date", "Code").agg(F.max("OutstandingShares").alias("OutstandingShares"))
+    # Two period ends can snap to the same business day: the later one with a share count holds.
+    shares = shares.groupBy("Date", "Code").agg(
+        F.max_by("OutstandingShares", F.when(F.col("OutstandingShares").isNotNull(), F.col("Day"))).alias("OutstandingShares"))
     # Code first: the merge order of the join is the order of every later window.
     return price.join(shares.withColumn("isSettlementDay", F.lit(True)), ["Code", "Date"], "left").withColumn(
         "isSettlementDay", F.coalesce("isSettlementDay", F.lit(False)))
@@ -113,7 +114,10 @@ def add_correction(df: DataFrame) -> DataFrame:
     return df.withColumn("CorrectionValue", F.col("MarketCapClose") - F.col("Close") * before)
 
 
-def market_caps(price: DataFrame, fin: DataFrame, days: DataFrame | None = None, settlement_only: bool = True) -> DataFrame:
+def market_caps(
+    price: DataFrame, fin: DataFrame, days: DataFrame | None = None, settlement_only: bool = True,
+    overrides: Sequence[tuple[str, str]] = SHARE_RATE_OVERRIDES,
+) -> DataFrame:
     """Daily capitalisation of every stock.
 
     All windows run on (Code, Date); with the panel partitioned by Code once, the
@@ -121,5 +125,5 @@ def market_caps(price: DataFrame, fin: DataFrame, days: DataFrame | None = None,
     the join serves everything up to the share counts, one turn to the descending
     order serves the cumulative ratio and the correction.
     """
-    rates = add_share_rates(attach_shares(price.repartition("Code"), fin, days), settlement_only)
+    rates = add_share_rates(attach_shares(price.repartition("Code"), fin, days), settlement_only, overrides)
     return add_correction(add_market_caps(adjust_shares(rates))).drop("isSettlementDay", "EventRate")

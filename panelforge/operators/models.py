@@ -62,6 +62,9 @@ def fit_lasso(
 ) -> DataFrame:
     """One model per sector (or one for all) as rows ``(Sector, Intercept, Alpha, Coef, Mean, Scale)``.
 
+    ``Status`` is ``ok``, or says that the optimality conditions are not met to 1e-7 or that no penalty in the range leaves the
+    wanted number of features.
+
     A single pass gives every sector's cross-products of (1, x, y); the solve then
     sees k*k numbers per sector instead of its rows.
     """
@@ -79,8 +82,7 @@ def fit_lasso(
     stats = L.gram(vectors, "_x", k, by=["Sector"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((k, k))
-        m[pdf["i"], pdf["j"]] = pdf["value"]
+        m = L.to_matrix(pdf, k)
         n = m[0, 0]
         mean = m[0] / n
         cov = m / n - np.outer(mean, mean)
@@ -92,14 +94,17 @@ def fit_lasso(
             used, w = search_alpha(gram, xy, min(min_features, len(cols)), max_features)
         else:
             used, w = alpha, lasso_path_point(gram, xy, alpha, np.zeros(len(cols)))
+        rest = float(np.max(np.abs(xy - gram @ w) - used, initial=0.0))
+        kept, wanted = int((w != 0).sum()), (min(min_features, len(cols)), max_features)
+        status = "not converged" if rest > 1e-7 else "ok" if alpha is not None or wanted[0] <= kept <= wanted[1] else "features out of range"
         return pd.DataFrame([{
-            "Sector": pdf["Sector"].iloc[0], "Rows": int(round(n)), "Intercept": float(mean[-1]), "Alpha": float(used),
+            "Sector": pdf["Sector"].iloc[0], "Status": status, "Features": kept, "Rows": int(round(n)), "Intercept": float(mean[-1]), "Alpha": float(used),
             "Coef": [float(v) for v in w],
             "Mean": [float(a + b * c) for a, b, c in zip(shift, mean[1:-1], scale, strict=True)],
             "Scale": [float(a * b) for a, b in zip(sd, scale, strict=True)]}])
 
     return stats.groupBy("Sector").applyInPandas(
-        solve, "Sector string, Rows long, Intercept double, Alpha double, Coef array<double>, Mean array<double>, Scale array<double>")
+        solve, "Sector string, Status string, Features long, Rows long, Intercept double, Alpha double, Coef array<double>, Mean array<double>, Scale array<double>")
 
 
 def feature_importances(models: DataFrame, columns: Sequence[str]) -> DataFrame:

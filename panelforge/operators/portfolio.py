@@ -127,7 +127,8 @@ def hedge_rows(selected: DataFrame, etf_prices: DataFrame) -> DataFrame:
     """Index-fund positions that even out the number of long and short sectors of a day.
 
     Each missing sector becomes a row of its own with a sector of its own, weight 1
-    on the long side and one half for the double-inverse fund on the short side.
+    on the long side and one half for the double-inverse fund on the short side. A day
+    without a quote of the fund keeps its rows, with no cost.
     """
     counts = selected.groupBy("Date").agg(
         F.sum((F.col("Direction") == "Long").cast("int")).alias("_l"), F.sum((F.col("Direction") == "Short").cast("int")).alias("_s"))
@@ -137,7 +138,7 @@ def hedge_rows(selected: DataFrame, etf_prices: DataFrame) -> DataFrame:
         "Date", F.when(gap > 0, spec("Long", HEDGE_LONG)).otherwise(spec("Short", HEDGE_SHORT)).alias("_h"),
         F.explode(F.sequence(F.lit(0), F.abs(gap) - 1)).alias("_i"))
     rows = rows.select("Date", "_h.*", F.concat(F.lit("ETF"), F.col("_i")).alias("Sector"))
-    return rows.join(etf_prices.select("Date", "Code", (F.col("Close") * HEDGE_LOT).alias("EstimatedCost")), ["Date", "Code"])
+    return rows.join(etf_prices.select("Date", "Code", (F.col("Close") * HEDGE_LOT).alias("EstimatedCost")), ["Date", "Code"], "left")
 
 
 def sector_budgets(selected: DataFrame, margin: float) -> DataFrame:

@@ -260,7 +260,7 @@ class NeutraliseOn(Step):
                 terms = [c - m for c, m in zip(terms, centre, strict=True)]
             else:
                 centre = [0.0] * len(cols)
-            m = L.to_matrix(L.gram(clean.select(F.array(*terms).alias("_x")), "_x", len(cols)).collect(), len(cols))
+            m = L.to_matrix(L.gram(clean.select(F.array(*terms).alias("_x")), "_x", len(cols)).toPandas(), len(cols))
             coef = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
             intercept = centre[-1] - float(coef @ np.array(centre[:-1])) if self.fit_intercept else 0.0
             self.models[t] = (xs, coef, intercept)

@@ -46,7 +46,7 @@ def shares_at_period_end(m: Market):
 @query("business_day_snap", "C3", "SELECT Date, Code, OutstandingShares FROM x_shares")
 def business_day_snap(m: Market):
     snapped = MC.snap_to_business_day(MC.shares_at_period_end(m.fin), m.calendar)
-    return snapped.filter("Date is not null")
+    return snapped.filter("Date is not null").select("Date", "Code", "OutstandingShares")
 
 
 @query("price_with_shares", "C4", "SELECT p.Date, p.Code, p.Close, s.OutstandingShares, s.Date IS NOT NULL AS isSettlementDay FROM x_traded p LEFT JOIN x_shares s ON p.Date = s.Date AND p.Code = s.Code")
@@ -80,7 +80,7 @@ def share_rate_overrides(m: Market):
 
 @query("adjusted_shares", "E9 E10", "SELECT Date, Code, OutstandingShares FROM x_vol_caps", "OutstandingShares:2")
 def adjusted_shares(m: Market):
-    return MC.market_caps(m.price, m.volatile_fin, m.calendar).select("Date", "Code", "OutstandingShares")
+    return MC.market_caps(m.price, m.volatile_fin, m.calendar, overrides=()).select("Date", "Code", "OutstandingShares")
 
 
 @query("stock_market_caps", "B14 E11", f"SELECT Date, Code, {', '.join(CAPS.split())}, CorrectionValue FROM x_caps", " ".join(f"{c}:2" for c in (CAPS + " CorrectionValue").split()))
@@ -138,9 +138,9 @@ def sector_eps_factor(m: Market):
 
 
 @query("series_selection", "B18", """
-    SELECT Name, "Group", CASE Name WHEN 'NK225' THEN true WHEN 'Gold' THEN false ELSE CASE "Group" WHEN 'bond' THEN false ELSE is_adopted END END AS is_adopted FROM x_catalogue""")
+    SELECT Name, "Group", CASE Name WHEN 'NK225' THEN true WHEN 'Gold' THEN false ELSE CASE "Group" WHEN 'bond' THEN false ELSE is_adopted END END AS is_adopted FROM x_catalogue SEMI JOIN x_series USING (Name)""")
 def series_selection(m: Market):
-    return FE.select_series(m.catalogue, {"bond": False}, {"NK225": True, "Gold": False})
+    return FE.select_series(m.catalogue.join(m.series.select("Name").distinct(), "Name"), {"bond": False}, {"NK225": True, "Gold": False})
 
 
 X_RET = """SELECT s.Name, c."Group", Date, CASE WHEN c."Group" = 'bond' THEN Close - lag(Close) OVER (PARTITION BY s.Name ORDER BY Date)

@@ -163,10 +163,16 @@ def pca_loadings(m: Market):
     return table.select("Component", "Sector", (F.col("Loading") * F.col("Loading")).alias("SquaredLoading"))
 
 
-@query("factors_removed", "I10", "SELECT Date, Sector, Target FROM x_target", "Target")
+# The same over all days.
+CTES["x_centred_all"] = "SELECT Date, Sector, Target - avg(Target) OVER (PARTITION BY Sector) AS c FROM x_dense"
+CTES["x_cov_all"] = "SELECT a.Sector AS i, b.Sector AS j, sum(a.c * b.c) AS v FROM x_centred_all a JOIN x_centred_all b ON a.Date = b.Date GROUP BY 1, 2"
+PALL = _projector("x_pall", "x_cov_all")
+
+
+@query("factors_removed", "I10", f"""SELECT c.Date, c.Sector, c.c - f.fit AS Target FROM x_centred_all c
+    JOIN (SELECT b.Date, p.i, sum(p.v * b.c) AS fit FROM x_centred_all b JOIN {PALL} p ON p.j = b.Sector GROUP BY 1, 2) f ON f.Date = c.Date AND f.i = c.Sector""", "Target")
 def factors_removed(m: Market):
-    """No component removed: the panel itself."""
-    return PP.remove_factors(m.target, 0, "Target", "Sector")
+    return PP.remove_factors(m.target, 1, "Target", "Sector")
 
 
 NEXT = "(SELECT max(Date) + 1 FROM x_target)"
@@ -291,7 +297,7 @@ CTES["x_inputs"] = f"""SELECT * FROM (SELECT Date, Sector, lag(r1) OVER w AS r1,
 def sector_model_statistics(m: Market):
     """Scaling and intercept each sector's model was fitted with."""
     target, features = model_inputs(m)
-    models = MO.fit_lasso(target, features, FEATURES, min_features=1, max_features=2)
+    models = MO.fit_lasso(target, features, FEATURES)
     return models.select("Sector", "Rows", "Intercept", F.get("Mean", 0).alias("MeanR1"), F.get("Scale", 0).alias("ScaleR1"))
 
 
@@ -319,14 +325,14 @@ def pooled_single_feature_model(m: Market):
 @query("sector_lasso_importances", "J3 J4")
 def sector_lasso_importances(m: Market):
     target, features = model_inputs(m)
-    return MO.feature_importances(MO.fit_lasso(target, features, FEATURES, min_features=1, max_features=2), FEATURES)
+    return MO.feature_importances(MO.fit_lasso(target, features, FEATURES), FEATURES)
 
 
 @query("sector_lasso_predictions", "J3 J6")
 def sector_lasso_predictions(m: Market):
     target, features = model_inputs(m)
     ds = D.train_test(target, features, TRAIN, TEST, keep=FEATURES)
-    models = MO.fit_lasso(ds.target_train, ds.features_train, FEATURES, min_features=1, max_features=2)
+    models = MO.fit_lasso(ds.target_train, ds.features_train, FEATURES)
     return MO.predict_lasso(models, ds.features_test, FEATURES, ds.target_test)
 
 
@@ -335,7 +341,7 @@ def boosted_tree_predictions(m: Market):
     """The linear model's prediction enters the pooled trees as a feature of the same day."""
     target, features = model_inputs(m)
     ds = D.train_test(target, features, TRAIN, TEST, keep=FEATURES)
-    linear = MO.fit_lasso(ds.target_train, ds.features_train, FEATURES, min_features=1, max_features=2)
+    linear = MO.fit_lasso(ds.target_train, ds.features_train, FEATURES)
     stacked = [D.append_model_output(f, MO.predict_lasso(linear, f, FEATURES), "linear") for f in (ds.features_train, ds.features_test)]
-    model = MO.fit_boosted(ds.target_train, stacked[0], [*FEATURES, "linear"], rounds=5)
+    model = MO.fit_boosted(ds.target_train, stacked[0], [*FEATURES, "linear"])
     return MO.predict_boosted(model, stacked[1], [*FEATURES, "linear"], ds.target_test)

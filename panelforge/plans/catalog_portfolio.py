@@ -144,7 +144,7 @@ CTES["x_gap"] = "SELECT Date, sum(CASE WHEN Direction = 'Short' THEN 1 ELSE -1 E
 
 @query("hedge_rows", "L4", """
     SELECT g.Date, CASE WHEN gap > 0 THEN 'Long' ELSE 'Short' END AS Direction, CASE WHEN gap > 0 THEN '1308' ELSE '1356' END AS Code, 'ETF' || CAST(i AS VARCHAR) AS Sector, CASE WHEN gap > 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS Weight, Close * 10 AS EstimatedCost
-    FROM (SELECT Date, gap, unnest(range(CAST(abs(gap) AS BIGINT))) AS i FROM x_gap WHERE gap <> 0) g JOIN x_series s ON g.Date = s.Date AND s.Name = CASE WHEN gap > 0 THEN 'TOPIX' ELSE 'NK225' END""")
+    FROM (SELECT Date, gap, unnest(range(CAST(abs(gap) AS BIGINT))) AS i FROM x_gap WHERE gap <> 0) g LEFT JOIN x_series s ON g.Date = s.Date AND s.Name = CASE WHEN gap > 0 THEN 'TOPIX' ELSE 'NK225' END""")
 def hedge_rows(m: Market):
     etf = m.series.filter(F.col("Name").isin("TOPIX", "NK225")).select("Date", F.when(F.col("Name") == "TOPIX", "1308").otherwise("1356").alias("Code"), "Close")
     return PO.hedge_rows(PO.select_sectors(tradable_predictions(m, "isBorrowingStock"), 3, 3), etf).select("Date", "Direction", "Code", "Sector", "Weight", "EstimatedCost")

@@ -193,7 +193,7 @@ def suspension_fill(m: Market):
     SELECT Date, Code, Open * f AS Open, Close * f AS Close, Volume * f AS Volume, f AS CumulativeAdjustmentFactor, TurnoverValue FROM (
       SELECT *, {FACTOR} AS f FROM x_traded WHERE Date <> DATE '2020-10-01')""", "Open Close Volume")
 def clean_prices_chain(m: Market):
-    return C.clean_prices(m.raw_price).select("Date", "Code", "Open", "Close", "Volume", "CumulativeAdjustmentFactor", "TurnoverValue")
+    return C.clean_prices(m.raw_price, replacements={}, manual=()).select("Date", "Code", "Open", "Close", "Volume", "CumulativeAdjustmentFactor", "TurnoverValue")
 
 
 @query("rename_and_cast", "B1 B4 B5", """

@@ -6,6 +6,7 @@ exact in doubles, so results do not depend on the order of summation.
 * stock = supplier, sector = nation, business day = ship date;
 * a line opens at (100 - discount%) * 104 and closes at (100 - discount%) * (100 + tax%);
 * a day's quote is the quantity-weighted mean over its lines, rounded down to a yen;
+* codes are made from keys, so no table of code changes, splits or exceptions applies to them;
 * cross-asset series come from (line number, line status), fundamentals from
   (supplier, quarter, line status), cash flows and orders from the orders table.
 """
@@ -140,12 +141,12 @@ class Market:
         """Fundamentals whose share counts move enough to need rescaling around splits."""
         lively = F.when(F.col("IssuedShares") != "", (F.col("IssuedShares").cast("long") - 10000) * 20 + 1000)
         from panelforge.operators import cleaning as C
-        return C.clean_fundamentals(self.raw_fin.withColumn("IssuedShares", lively.cast("string")), mergers=())
+        return C.clean_fundamentals(self.raw_fin.withColumn("IssuedShares", lively.cast("string")), mergers=(), replacements={})
 
     @cached_property
     def fin(self) -> DataFrame:
         from panelforge.operators import cleaning as C
-        return C.clean_fundamentals(self.raw_fin, mergers=())
+        return C.clean_fundamentals(self.raw_fin, mergers=(), replacements={})
 
     @cached_property
     def listing(self) -> DataFrame:
@@ -176,7 +177,7 @@ class Market:
 
     @cached_property
     def caps(self) -> DataFrame:
-        return MC.market_caps(self.price, self.fin, self.calendar)
+        return MC.market_caps(self.price, self.fin, self.calendar, overrides=())
 
     @cached_property
     def index(self) -> DataFrame:

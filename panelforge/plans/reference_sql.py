@@ -89,7 +89,7 @@ CTES["x_daymap"] = """SELECT CAST(unnest(generate_series(coalesce(prev + 1, Date
 
 
 def _shares(fin: str) -> str:
-    return f"""SELECT OpenDay AS Date, Code, max(OutstandingShares) AS OutstandingShares FROM (
+    return f"""SELECT OpenDay AS Date, Code, arg_max(OutstandingShares, Day) AS OutstandingShares FROM (
     SELECT Code, OutstandingShares, CurrentPeriodEndDate + 1 AS Day FROM {fin}
     QUALIFY row_number() OVER (PARTITION BY CurrentPeriodEndDate, Code ORDER BY Date DESC, OutstandingShares) = 1)
   JOIN x_daymap USING (Day) GROUP BY 1, 2"""

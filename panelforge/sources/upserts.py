@@ -52,11 +52,13 @@ PRICE_COLUMNS = ("Open", "Close", "High", "Low")
 def upsert_series(
     old: DataFrame, new: DataFrame, keys: Sequence[str] = ("Name", "Date"), numeric: Sequence[str] = PRICE_COLUMNS,
 ) -> DataFrame:
-    """Dates present in the new extract replace stored ones; text numbers are coerced.
+    """Dates present in the new extract replace stored ones; text numbers are coerced; columns left without a value go.
 
-    Within the new extract the last row of a date wins, in (``_seq`` if given, else total) order.
+    A new row without a value replaces nothing. Within the new extract the row with the largest ``_seq`` wins; without
+    ``_seq`` rows have no order and the first in total order is taken.
     """
     keys = list(keys)
+    new = new.dropna(how="all", subset=[c for c in new.columns if c not in keys and c != "_seq"])
     both = old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
     values = [c for c in both.columns if c not in keys and c != "_seq"]
     both = both.dropna(how="all", subset=values)
@@ -64,7 +66,7 @@ def upsert_series(
         if c in both.columns:
             both = both.withColumn(c, F.regexp_replace(F.col(c).cast("string"), ",", "").try_cast("double"))
     order = [F.col("_seq").desc_nulls_last()] if "_seq" in both.columns else []
-    return keep_one(both, keys, order + total_order(both, skip=(*keys, "_seq")))
+    return drop_empty_columns(keep_one(both, keys, order + total_order(both, skip=(*keys, "_seq"))), (*keys, "_seq"))
 
 
 def append_latest(history: DataFrame, latest: DataFrame, keys: Sequence[str] = ("Name", "Date")) -> DataFrame:

@@ -8,11 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.operators import cleaning as C
 from panelforge.operators import clustering as CL
+from panelforge.operators import linalg as L
 from panelforge.operators import models as MO
 from panelforge.operators import portfolio as PO
 from panelforge.operators import preprocess as PP
 from panelforge.operators import sector_index as SI
+from panelforge.operators import trades as TR
 from panelforge.sources import files as IO
 from panelforge.sources import upserts as U
 from panelforge.sources.bundle import DatasetBundle
@@ -100,6 +103,9 @@ def test_lasso_satisfies_the_optimality_conditions(spark):
     assert np.allclose(grad[w != 0], 0.002 * np.sign(w[w != 0]), atol=1e-7)
     searched = MO.fit_lasso(df.select("Date", "Sector", "Target"), df.drop("Target"), cols, min_features=3, max_features=5).first()
     assert 3 <= sum(v != 0 for v in searched["Coef"]) <= 5
+    assert row["Status"] == searched["Status"] == "ok"
+    beyond = MO.fit_lasso(df.select("Date", "Sector", "Target"), df.drop("Target"), cols, min_features=0, max_features=0).first()
+    assert beyond["Status"] == "features out of range"
 
 
 def test_pca_residuals_are_orthogonal_to_the_component_over_the_fit_range(spark):
@@ -175,6 +181,47 @@ def test_series_upsert_coerces_and_drops_empty(spark):
     assert "Empty" not in U.drop_empty_columns(out).columns
 
 
+def test_an_empty_new_row_replaces_nothing(spark):
+    schema = "Name string, Date date, Close string"
+    out = U.upsert_series(spark.createDataFrame([("a", DAY, "1")], schema), spark.createDataFrame([("a", DAY, None)], schema))
+    assert [r["Close"] for r in out.collect()] == [1.0]
+
+
+def test_fills_of_both_sides_of_a_day_stay_apart(spark):
+    rows = [(DAY, TR.OPEN_BUY, "1", "x", 100, 10.0), (DAY, TR.OPEN_BUY, "1", "x", 300, 20.0), (DAY, TR.CLOSE_SELL, "1", "x", 400, 18.0),
+            (DAY, TR.OPEN_SELL, "1", "x", 50, 11.0), (DAY, TR.CLOSE_BUY, "1", "x", 50, 9.0), (DAY, TR.CLOSE_BUY, "2", "y", 70, 5.0)]
+    fills = spark.createDataFrame(rows, "Date date, Type string, Code string, CompanyName string, Shares long, Price double")
+    got = {(r.Code, r.Side): (r.CompanyName, r.Shares, r.AcqPrice, r.SettlePrice) for r in TR.pair_fills(TR.fill_vwap(fills)).collect()}
+    assert got == {("1", TR.LONG): ("x", 400, 17.5, 18.0), ("1", TR.SHORT): ("x", 50, 11.0, 9.0), ("2", TR.SHORT): ("y", 0, 0.0, 5.0)}
+
+
+def test_leveraged_months_follow_the_calendar(spark):
+    march = dt.date(2020, 3, 2)
+    deposits = spark.createDataFrame([(DAY, 100), (march, 300)], "Date date, Deposit long")
+    profit = spark.createDataFrame([(DAY, 10, 8), (march, 20, 16)], "Date date, Profit long, ProfitAfterTax long")
+    got = TR.monthly_leveraged(deposits, deposits.withColumnRenamed("Deposit", "BuyingPower"), profit).orderBy("Date").collect()
+    assert [(r.Date.month, r.MeanDeposit, r.Days, r.Profit, r.Rate) for r in got] == [(1, 100.0, 1, 10, 0.1), (2, None, 0, 0, None), (3, 300.0, 1, 20, 20 / 300)]
+
+
+def test_made_up_codes_meet_no_code_change(spark):
+    """A company per key, also where the key equals a code that was changed; the rule's own map is the default."""
+    codes = [f"{i}0" for i in range(1300, 1400)]
+    rows = [(DAY, c, 1.0, 1.0, 1.0, 1.0, 10.0, 5.0, 1.0) for c in codes]
+    raw = spark.createDataFrame(rows, "Date date, Code string, Open double, High double, Low double, Close double, Volume double, TurnoverValue double, AdjustmentFactor double")
+    assert C.clean_prices(raw, replacements={}, manual=()).select("Code").distinct().count() == 100
+    assert C.clean_prices(raw).select("Code").distinct().count() == 99
+
+
+@pytest.mark.parametrize("held", [1 << 24, 1])
+def test_cross_products_do_not_depend_on_batches(spark, monkeypatch, held):
+    monkeypatch.setattr(L, "HELD", held)
+    x = np.random.default_rng(5).normal(size=(3000, 4))
+    df = spark.createDataFrame([("ab"[i % 2], [float(v) for v in r]) for i, r in enumerate(x)], "k string, x array<double>").repartition(3)
+    for j, key in enumerate("ab"):
+        rows = L.gram(df, "x", 4, by=["k"]).filter(F.col("k") == key).toPandas()
+        assert len(rows) == 10 and np.allclose(L.to_matrix(rows, 4), x[j::2].T @ x[j::2])
+
+
 def test_bundle_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.0)], "a int, b double")
     DatasetBundle({"raw_returns": df}, {"k": 3}).save(spark, str(tmp_path / "b"))
