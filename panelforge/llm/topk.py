@@ -2,8 +2,8 @@
 
 Vectors get one more coordinate that brings them all to the same length, so the largest inner product is the nearest neighbour.
 Each vector is keyed by its nearest pivot and the ring of its distance to it. A query first looks into the ring it falls into
-itself; the k-th best score found bounds the distance of all that can still enter, and the triangle inequality leaves, for each
-pivot, a range of rings, which are searched from the nearest outwards until no ring can hold a better row.
+itself; the k-th best score found bounds the distance of all that can still enter. All rings are then sorted by the least distance
+the triangle inequality allows, and searched outwards in three rounds, until no ring can hold a better row.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from panelforge.session import stage
 PIVOTS = 32
 #: Rings for each pivot, between its smallest and largest distance over all vectors.
 RINGS = 8
+#: How many rings, nearest first, are searched after each round; the bounds are drawn tighter in between.
+REACH = (1, 16, 64, PIVOTS * RINGS)
 #: Vectors in a block of a ring, and queries in a bundle, at most.
 BLOCK, BUNDLE = 2048, 256
 
@@ -152,35 +154,41 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return int(p * RINGS + there[np.argmin(np.abs(there - g))])
 
     start = stage(asked.mapInArrow(nearest_cell, "query_id long, v array<long>, cell int"), "topk-start")
-    first = stage(ranked(visit(start)).select("query_id", "vec_id", "score"), "topk-first")
-    bound = first.groupBy("query_id").agg(F.min("score").alias("_worst"), F.count(F.lit(1)).alias("_n"))
-    bounded = start.join(bound, "query_id", "left").withColumn("worst", F.when(F.col("_n") >= k, F.col("_worst"))).select("query_id", "v", "cell", "worst")
+    best_yet = stage(ranked(visit(start)).select("query_id", "vec_id", "score"), "topk-first")
 
-    def rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other cells that the triangle inequality leaves open for each query."""
+    def annuli(nearest: int, furthest: int) -> DataFrame:
+        """The cells of these places in each query's order of distance that the triangle inequality leaves open."""
         edge_lo = low[:, None] + width[:, None] * np.arange(RINGS) - slack
         edge_hi = low[:, None] + width[:, None] * (np.arange(RINGS) + 1) + slack
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = _matrix(batch.column("v"))
-            square = (q**2).sum(axis=1)
-            # The query lies in the plane where the extra coordinate is 0.
-            inner = q @ pivots[:, :-1].T
-            d = np.sqrt(np.maximum(square[:, None] + longest - 2 * inner, 0.0))
-            worst = batch.column("worst").to_numpy(zero_copy_only=False).astype(float)
-            radius = np.where(np.isnan(worst), np.inf, np.sqrt(np.maximum(square + longest - 2 * worst, 0.0))) + slack
-            open_ = filled & (edge_lo[None] <= (d + radius[:, None])[:, :, None]) & (edge_hi[None] >= (d - radius[:, None])[:, :, None])
-            i, p, g = np.nonzero(open_)
-            cell = p * RINGS + g
-            other = cell != batch.column("cell").to_numpy()[i]
-            i, cell = i[other], cell[other]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("query_id").take(pa.array(i)), batch.column("v").take(pa.array(i)), pa.array(cell.astype(np.int32))], ["query_id", "v", "cell"])
-
-    wider = bounded.mapInArrow(rings, "query_id long, v array<long>, cell int")
-    result = ranked(visit(wider).unionByName(first))
-    return result.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                q = _matrix(batch.column("v"))
+                square = (q**2).sum(axis=1)
+                # The query lies in the plane where the extra coordinate is 0.
+                inner = q @ pivots[:, :-1].T
+                d = np.sqrt(np.maximum(square[:, None] + longest - 2 * inner, 0.0))[:, :, None]
+                gap = np.where(filled[None], np.maximum(np.maximum(edge_lo[None] - d, d - edge_hi[None]), 0.0), np.inf).reshape(len(q), -1)
+                gap[np.arange(len(q)), batch.column("cell").to_numpy()] = -1.0  # searched already
+                order = np.argsort(gap, axis=1, kind="stable")[:, nearest:furthest]
+                worst = batch.column("worst").to_numpy(zero_copy_only=False).astype(float)
+                radius = np.where(np.isnan(worst), np.inf, np.sqrt(np.maximum(square + longest - 2 * worst, 0.0))) + slack
+                reached = np.take_along_axis(gap, order, axis=1)
+                i, at = np.nonzero(np.isfinite(reached) & (reached <= radius[:, None]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("query_id").take(pa.array(i)), batch.column("v").take(pa.array(i)), pa.array(order[i, at].astype(np.int32))], ["query_id", "v", "cell"])
+        bound = best_yet.groupBy("query_id").agg(F.min("score").alias("_worst"), F.count(F.lit(1)).alias("_n"))
+        bounded = start.join(bound, "query_id", "left").withColumn("worst", F.when(F.col("_n") >= k, F.col("_worst"))).select("query_id", "v", "cell", "worst")
+        return bounded.mapInArrow(run, "query_id long, v array<long>, cell int")
+
+    for nearest, furthest in zip(REACH[:-1], REACH[1:], strict=True):
+        wider = stage(annuli(nearest, furthest), "topk-annuli")
+        if not wider.limit(1).count():
+            break  # what lies further out is closed as well
+        best_yet = stage(ranked(visit(wider).unionByName(best_yet)).select("query_id", "vec_id", "score"), "topk-best")
+    return ranked(best_yet).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
