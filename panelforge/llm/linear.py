@@ -23,11 +23,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     """``text`` and ``y`` of at most ``limit`` labelled documents, those with the smallest hashed id among all that ``keep`` allows.
 
     Rows without id or label are left out; contradicting labels of one id count as their larger one. The chosen labels are few
-    by construction, so the documents are not shuffled.
+    by construction, so the documents are not shuffled. Of several rows of one id the smallest text counts, so the bound holds
+    however often an id is repeated.
     """
     chosen = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(keep)
               .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def feature_rows(sample: DataFrame, features: Callable[[bytes], np.ndarray]) -> DataFrame:

@@ -254,3 +254,26 @@ def test_empty_tables(spark, docs):
     assert mixing.temperature_mix(none.withColumn("tokens", mixing.word_count(none.text)), max_repetition=2.0).count() == 0
     empty = topk.scaled_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(empty, empty).count() == 0
+
+
+def test_training_sample_is_bounded_under_repeated_ids(spark):
+    from panelforge.llm.linear import fold, labelled_sample
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, None)] * 50 + [(2, "c"), (None, "d")], "doc_id long, text string")
+    truth = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, 1)], "doc_id long, toxic int")
+    got = labelled_sample(rows, truth, "toxic", fold("doc_id", 1) == 0, 5).collect()
+    assert sorted((r.doc_id, r.text, r.y) for r in got) == [(1, "a", 1), (2, "c", 0)]
+
+
+def test_top_k_stops_at_closed_rings(spark, monkeypatch):
+    """Two far clusters: bounds close rings, and results stay exact whatever the rounds."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4) + (40 if i % 2 else -40)]) for i in range(400)]
+    vectors = topk.scaled_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    held = {r.vec_id: np.array(r.v) for r in vectors.collect()}
+    queries = vectors.filter("vec_id % 100 = 0")
+    for reach in (topk.REACH, (1, topk.PIVOTS * topk.RINGS)):
+        monkeypatch.setattr(topk, "REACH", reach)
+        got = topk.top_k(vectors, queries, 5).collect()
+        for q in (0, 100, 200, 300):
+            want = sorted((-int(v @ held[q]), i) for i, v in held.items() if i != q)[:5]
+            assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
