@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators import linalg as L
-from panelforge.session import ensure_checkpoint_dir
+from panelforge.session import ensure_checkpoint_dir, stage
 
 BLOCK_ROWS = 2000
 
@@ -62,28 +62,26 @@ def distinct_vectors(items: DataFrame, vec: str = "vector", key: str = "id") ->
 def pairs_within(items: DataFrame, threshold: float, vec: str = "vector", key: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs of vectors at Euclidean distance up to ``threshold``.
 
-    Rows are cut into equal blocks along one coordinate direction.  Two rows within
-    the threshold differ by no more than it in that coordinate, so block pairs whose
-    ranges lie further apart are never formed; the others are compared as matrices.
-    Blocks are equal in rows whatever the data look like, so a dense spot means more
-    block pairs, not a larger one.
+    Spark's range partitioning cuts the rows into blocks of about ``block_rows`` along
+    one coordinate direction.  Two rows within the threshold differ by no more than it
+    in that coordinate, so a block meets the blocks after it only as far as the
+    threshold reaches; the pairs of blocks are a table, found by one pass over the
+    blocks' ends, and nothing of them passes through the driver.  A dense spot means
+    more block pairs, not a larger one.
     """
     rows = items.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).withColumn("p", F.get("v", 0))
-    total = rows.count()
-    n_blocks = max(1, math.ceil(total / block_rows))
-    cuts = sorted(set(rows.approxQuantile("p", [i / n_blocks for i in range(1, n_blocks)], 0.001 / n_blocks))) if n_blocks > 1 else []
-    # A value shared by many rows is one cut; its rows are spread over salts of the same range.
-    edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    ranged = rows.withColumn("r", F.size(F.filter(edges, lambda e: e < F.col("p"))))
-    sizes = ranged.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")).collect()
-    salts = {s["r"]: max(1, math.ceil(s["n"] / block_rows)) for s in sizes}
-    salt_of = F.element_at(F.create_map(*[F.lit(v) for kv in salts.items() for v in kv]), F.col("r")) if salts else F.lit(1)
-    ranged = ranged.withColumn("b", F.concat_ws("/", F.col("r"), F.pmod(F.xxhash64("id"), salt_of)))
-    blocks = [(f"{s['r']}/{i}", s["lo"], s["hi"]) for s in sorted(sizes, key=lambda s: s["lo"]) for i in range(salts[s["r"]])]
-    near = [(a[0], b[0]) for i, a in enumerate(blocks) for b in blocks[i:] if b[1] - a[2] <= threshold]
-    plan = items.sparkSession.createDataFrame(
-        [(side, blk, f"{a}|{b}") for a, b in near for side, blk in ((0, a), (1, b)) if side == 0 or a != b],
-        "side int, b string, pair string")
+    n_blocks = max(1, math.ceil(rows.count() / block_rows))
+    # Stored, so that every later read sees the same blocks.
+    ranged = stage(rows.repartitionByRange(n_blocks, "p", "id").withColumn("b", F.spark_partition_id()), "distance-blocks")
+    spans = ranged.groupBy("b").agg(F.min("p").alias("lo"), (F.max("p") + F.lit(float(threshold) * (1 + 1e-9) + 1e-9)).alias("hi"))
+    ends = spans.select(F.inline(F.array(
+        F.struct(F.col("lo").alias("at"), F.lit(0).alias("end"), "b"), F.struct(F.col("hi").alias("at"), F.lit(1).alias("end"), "b"))))
+    # Two rows a block: the window is a block_rows-th of the items.
+    last = F.max(F.when(F.col("end") == 0, F.col("b"))).over(Window.orderBy("at", "end").rowsBetween(Window.unboundedPreceding, 0))
+    near = ends.withColumn("last", last).filter("end = 1").select(F.col("b").alias("x"), F.explode(F.sequence("b", "last")).alias("y"))
+    near = near.join(spans.select(F.col("b").alias("y")), "y", "left_semi")
+    sides = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("b")), F.struct(F.lit(1).alias("side"), F.col("y").alias("b"))))
+    plan = near.select("x", "y", F.concat_ws("|", "x", "y").alias("pair"), sides).filter("side = 0 or x <> y").drop("x", "y")
     routed = ranged.select("id", "v", "b").join(plan, "b")
     limit = float(threshold)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions import windows as P
@@ -25,14 +25,14 @@ def attach_sector_groups(panel: DataFrame, groups: Mapping[str, Sequence[str]])
     return panel.join(panel.sparkSession.createDataFrame(rows, "Code string, Sector string"), "Code")
 
 
-def aggregate_index(sector_panel: DataFrame) -> DataFrame:
-    """Index level and OHLC per (Date, Sector).
+def aggregate_index(sector_panel: DataFrame, *also: Column) -> DataFrame:
+    """Index level and OHLC per (Date, Sector), with further aggregates of the members on demand.
 
     The stock rows collapse in a map-side partial sum; the windows see one row per
     sector and day.
     """
     base = sector_panel.filter(F.col("Sector").isNotNull()).groupBy("Date", "Sector").agg(
-        *[F.sum(c).alias(c) for c in SUMMED])
+        *[F.sum(c).alias(c) for c in SUMMED], *also)
     return index_from_base(base)
 
 

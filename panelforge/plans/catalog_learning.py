@@ -8,19 +8,20 @@ from panelforge.operators import dataset as D
 from panelforge.operators import ensemble as EN
 from panelforge.operators import models as MO
 from panelforge.operators import preprocess as PP
-from panelforge.plans.market import TEST, TRAIN, Market
+from panelforge.plans.market import SERIES_NAMES, TEST, TRAIN, Market
 from panelforge.plans.reference_sql import CTES, avg_rank, band
 from panelforge.plans.registry import query
 from panelforge.session import reuse
 
-WIDE = ["TOPIX", "WTI", "Gold", "USDJPY"]
+WIDE = SERIES_NAMES
 IN_TRAIN = f"Date BETWEEN DATE '{TRAIN[0]}' AND DATE '{TRAIN[1]}'"
 UP, DOWN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
 FEATURES = ["r1", "m5", "m21", "v5"]
 
-# One value per series and day, days on which every series traded.
-CTES["x_wide"] = "SELECT Date, " + ", ".join(f"max(Close) FILTER (Name = '{n}') / 10000 AS {n}" for n in WIDE) + \
-    " FROM x_series WHERE Name IN ('TOPIX', 'WTI', 'Gold', 'USDJPY') GROUP BY Date HAVING count(*) = 4"
+# One value per series and day, carried forward, from the first day on which every series has one.
+CTES["x_wide_days"] = "SELECT Date, " + ", ".join(f"max(Close) FILTER (Name = '{n}') / 10000 AS {n}" for n in WIDE) + " FROM x_series GROUP BY Date"
+CTES["x_wide"] = "SELECT * FROM (SELECT Date, " + ", ".join(f"last_value({n} IGNORE NULLS) OVER (ORDER BY Date {UP}) AS {n}" for n in WIDE) + \
+    " FROM x_wide_days) WHERE " + " AND ".join(f"{n} IS NOT NULL" for n in WIDE)
 CTES["x_dense"] = f"""SELECT Date, Sector, coalesce(last_value(Target IGNORE NULLS) OVER (PARTITION BY Sector ORDER BY Date {UP}),
     first_value(Target IGNORE NULLS) OVER (PARTITION BY Sector ORDER BY Date {DOWN})) AS Target
   FROM (SELECT d.Date, s.Sector, t.Target FROM (SELECT DISTINCT Date FROM x_target) d CROSS JOIN (SELECT DISTINCT Sector FROM x_target) s
@@ -48,8 +49,9 @@ CTES["x_resid1"] = f"SELECT c.Date, c.Sector, c.c - f.fit AS Target FROM x_centr
 
 
 def wide(m: Market):
-    rows = m.series.filter(F.col("Name").isin(WIDE)).groupBy("Date").pivot("Name", WIDE).agg(F.max(F.col("Close") / 10000))
-    return reuse(rows.dropna())
+    from panelforge.operators import features as FE
+    rows = FE.widen_series(m.series.select("Date", "Name", (F.col("Close") / 10000).alias("value")), WIDE)
+    return reuse(rows.toDF("Date", *WIDE).dropna())
 
 
 def dense_target(m: Market):
@@ -62,47 +64,57 @@ def standardised_series(m: Market):
     return PP.Standardise(WIDE, start=TRAIN[0], end=TRAIN[1]).fit_transform(wide(m))
 
 
-@query("standardise_inverse", "I2", "SELECT Date, TOPIX, Gold FROM x_wide", "TOPIX Gold")
+@query("standardise_inverse", "I2", "SELECT * FROM x_wide", " ".join(WIDE))
 def standardise_inverse(m: Market):
     rows = wide(m)
     step = PP.Standardise(WIDE, start=TRAIN[0], end=TRAIN[1]).fit(rows)
-    return step.inverse_transform(step.transform(rows)).select("Date", "TOPIX", "Gold")
+    return step.inverse_transform(step.transform(rows)).select("Date", *WIDE)
+
+
+PAIR = ["USDJPY", "WTI"]
+REST = [n for n in WIDE if n not in PAIR]
+NOT_OIL = [n for n in WIDE if n != "WTI"]
 
 
 @query("neutralised_on_columns", "I7", f"""
-    WITH s AS (SELECT sum(USDJPY * USDJPY) AS aa, sum(USDJPY * WTI) AS ab, sum(WTI * WTI) AS bb, sum(USDJPY * TOPIX) AS ay, sum(WTI * TOPIX) AS wy, sum(USDJPY * Gold) AS ag, sum(WTI * Gold) AS wg FROM x_wide WHERE {IN_TRAIN})
-    SELECT Date, USDJPY, WTI, TOPIX - (USDJPY * (ay * bb - ab * wy) + WTI * (aa * wy - ab * ay)) / (aa * bb - ab * ab) AS TOPIX,
-      Gold - (USDJPY * (ag * bb - ab * wg) + WTI * (aa * wg - ab * ag)) / (aa * bb - ab * ab) AS Gold FROM x_wide, s""", " ".join(WIDE))
+    WITH s AS (SELECT sum(USDJPY * USDJPY) AS aa, sum(USDJPY * WTI) AS ab, sum(WTI * WTI) AS bb, {", ".join(f"sum(USDJPY * {n}) AS a_{n}, sum(WTI * {n}) AS b_{n}" for n in REST)} FROM x_wide WHERE {IN_TRAIN})
+    SELECT Date, USDJPY, WTI, {", ".join(f"{n} - (USDJPY * (a_{n} * bb - ab * b_{n}) + WTI * (aa * b_{n} - ab * a_{n})) / (aa * bb - ab * ab) AS {n}" for n in REST)} FROM x_wide, s""", " ".join(WIDE))
 def neutralised_on_columns(m: Market):
-    return PP.NeutraliseOn(["TOPIX", "Gold"], ["USDJPY", "WTI"], start=TRAIN[0], end=TRAIN[1]).fit_transform(wide(m))
+    return PP.NeutraliseOn(REST, PAIR, start=TRAIN[0], end=TRAIN[1]).fit_transform(wide(m))
 
 
-@query("neutralised_with_intercept", "I7", "SELECT Date, TOPIX - (SELECT regr_intercept(TOPIX, WTI) FROM x_wide) - WTI * (SELECT regr_slope(TOPIX, WTI) FROM x_wide) AS TOPIX FROM x_wide", "TOPIX")
+@query("neutralised_with_intercept", "I7", "SELECT Date, WTI, " + ", ".join(
+    f"{n} - (SELECT regr_intercept({n}, WTI) FROM x_wide) - WTI * (SELECT regr_slope({n}, WTI) FROM x_wide) AS {n}" for n in NOT_OIL) + " FROM x_wide", " ".join(WIDE))
 def neutralised_with_intercept(m: Market):
-    return PP.NeutraliseOn(["TOPIX"], ["WTI"], fit_intercept=True).fit_transform(wide(m)).select("Date", "TOPIX")
+    return PP.NeutraliseOn(NOT_OIL, ["WTI"], fit_intercept=True).fit_transform(wide(m))
+
+
+# Every series gives up its correlation with each series before it, in turn.
+_TURN = [f"{n}" + "".join(f" - c{i}_{j} * n{j}" for j in range(i)) + f" AS n{i}" for i, n in enumerate(WIDE)]
 
 
 @query("neutralised_mutually", "I8", f"""
-    WITH r AS (SELECT corr(WTI, TOPIX) AS a, corr(Gold, TOPIX) AS b, corr(Gold, WTI) AS c FROM x_wide WHERE {IN_TRAIN})
-    SELECT Date, TOPIX, WTI - a * TOPIX AS WTI, Gold - b * TOPIX - c * (WTI - a * TOPIX) AS Gold FROM x_wide, r""", "TOPIX WTI Gold")
+    WITH r AS (SELECT {", ".join(f"corr({WIDE[i]}, {WIDE[j]}) AS c{i}_{j}" for i in range(len(WIDE)) for j in range(i))} FROM x_wide WHERE {IN_TRAIN}),
+    t AS (SELECT Date, {", ".join(_TURN)} FROM x_wide, r) SELECT Date, {", ".join(f"n{i} AS {n}" for i, n in enumerate(WIDE))} FROM t""", " ".join(WIDE))
 def neutralised_mutually(m: Market):
-    return PP.NeutraliseMutually(["TOPIX", "WTI", "Gold"], start=TRAIN[0], end=TRAIN[1]).fit_transform(wide(m)).select("Date", "TOPIX", "WTI", "Gold")
+    return PP.NeutraliseMutually(WIDE, start=TRAIN[0], end=TRAIN[1]).fit_transform(wide(m)).select("Date", *WIDE)
 
 
-@query("neutralisation_from_spec", "I12 I7", "SELECT Date, TOPIX, TOPIX - WTI * (SELECT sum(TOPIX * WTI) / sum(WTI * WTI) FROM x_wide) AS TOPIX_n FROM x_wide", "TOPIX TOPIX_n")
+@query("neutralisation_from_spec", "I12 I7", "SELECT Date, WTI, " + ", ".join(
+    f"{n} - WTI * (SELECT sum({n} * WTI) / sum(WTI * WTI) FROM x_wide) AS {n}_n" for n in NOT_OIL) + " FROM x_wide", " ".join(["WTI", *(f"{n}_n" for n in NOT_OIL)]))
 def neutralisation_from_spec(m: Market):
-    spec = m.spark.createDataFrame([("TOPIX", "WTI", "TOPIX_n")], "to_neutralize string, `by` string, neutralized string")
-    return PP.neutralisation_steps(spec).fit_transform(wide(m)).select("Date", "TOPIX", "TOPIX_n")
+    spec = m.spark.createDataFrame([(n, "WTI", f"{n}_n") for n in NOT_OIL], "to_neutralize string, `by` string, neutralized string")
+    return PP.neutralisation_steps(spec).fit_transform(wide(m)).select("Date", "WTI", *(f"{n}_n" for n in NOT_OIL))
 
 
 Z = ", ".join(f"({n} - (SELECT avg({n}) FROM x_wide)) / (SELECT stddev_pop({n}) FROM x_wide) AS {n}" for n in WIDE)
 
 
 @query("preprocessing_chain", "I9 I2 I7", f"""
-    WITH z AS (SELECT Date, {Z} FROM x_wide) SELECT Date, TOPIX - WTI * (SELECT sum(TOPIX * WTI) / sum(WTI * WTI) FROM z) AS TOPIX, WTI FROM z""", "TOPIX WTI")
+    WITH z AS (SELECT Date, {Z} FROM x_wide) SELECT Date, WTI, {", ".join(f"{n} - WTI * (SELECT sum({n} * WTI) / sum(WTI * WTI) FROM z) AS {n}" for n in NOT_OIL)} FROM z""", " ".join(WIDE))
 def preprocessing_chain(m: Market):
-    chain = PP.Chain([("scale", PP.Standardise(WIDE)), ("neutralise", PP.NeutraliseOn(["TOPIX"], ["WTI"]))])
-    return chain.fit_transform(wide(m)).select("Date", "TOPIX", "WTI")
+    chain = PP.Chain([("scale", PP.Standardise(WIDE)), ("neutralise", PP.NeutraliseOn(NOT_OIL, ["WTI"]))])
+    return chain.fit_transform(wide(m)).select("Date", *WIDE)
 
 
 CTES["x_wlong"] = " UNION ALL ".join(f"SELECT Date, '{n}' AS n, {n} - (SELECT avg({n}) FROM x_wide WHERE {IN_TRAIN}) AS c FROM x_wide" for n in WIDE)
@@ -215,7 +227,7 @@ def outliers_removed(m: Market):
     UNION ALL SELECT 'target_test', count(*), sum(Target) FROM t WHERE Date BETWEEN DATE '{TEST[0]}' AND DATE '{TEST[1]}'
     UNION ALL SELECT 'features_test', count(*), sum(Pred) FROM a WHERE Date BETWEEN DATE '{TEST[0]}' AND DATE '{TEST[1]}'""", "Total")
 def train_test_sets(m: Market):
-    ds = D.train_test(reuse(m.target), reuse(m.slow_predictions), TRAIN, TEST, next_calendar(m), outlier_width=2.0)
+    ds = D.train_test(m.target, m.slow_predictions, TRAIN, TEST, next_calendar(m), outlier_width=2.0)
     parts = [("target_train", "Target"), ("features_train", "Pred"), ("target_test", "Target"), ("features_test", "Pred")]
     rows = [getattr(ds, n).agg(F.count(F.lit(1)).alias("Rows"), F.sum(c).alias("Total")).select(F.lit(n).alias("Part"), "Rows", "Total") for n, c in parts]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
@@ -279,7 +291,7 @@ def rank_ensemble_dataset(m: Market):
 def model_inputs(m: Market):
     """Yesterday's return, momentum and volatility against today's target, complete rows."""
     from panelforge.operators import features as FE
-    index = reuse(m.index.select("Date", "Sector", "1d_return", "Open", "Close"))
+    index = m.index.select("Date", "Sector", "1d_return", "Open", "Close")
     target = PP.daytime_target(index).withColumn("Target", F.round("Target", 9))
     rows = FE.volatility(FE.momentum(index), [5])
     rows = rows.select("Date", "Sector", F.col("1d_return").alias("r1"), F.col("5d_mom").alias("m5"), F.col("21d_mom").alias("m21"), F.col("5d_vola").alias("v5"))

@@ -38,6 +38,19 @@ def sector_partition_sink(m: Market):
     return IO.read_parquet(m.spark, path).groupBy("Sector").agg(F.count(F.lit(1)).alias("Days"), F.max("Date").alias("LastDay"))
 
 
+@query("csv_after_free_text", "A5", "SELECT Code, CompanyName FROM x_definition")
+def csv_after_free_text(m: Market):
+    """Exports in shift_jis, one a sector, with free text above the header."""
+    path = f"{scratch(m.spark)}/export"
+    stocks = m.definition.select("Sector", F.lit(2).alias("line"), "Code", "CompanyName")
+    above = m.definition.select("Sector").distinct().select("Sector", F.inline(F.array(
+        F.struct(F.lit(0).alias("line"), F.lit("信用取引 取扱銘柄一覧").alias("Code"), F.lit("現在").alias("CompanyName")),
+        F.struct(F.lit(1).alias("line"), F.lit("コード").alias("Code"), F.lit("銘柄名").alias("CompanyName")))))
+    rows = stocks.unionByName(above).repartition("Sector").sortWithinPartitions("Sector", "line", "Code")
+    rows.select("Code", "CompanyName", "Sector").write.option("encoding", "shift_jis").partitionBy("Sector").csv(path)
+    return IO.read_csv_after_marker(m.spark, path, ["Code", "CompanyName"], "コード")
+
+
 @query("csv_round_trip", "A4 A6", "SELECT Code, CompanyName, Sector FROM x_definition")
 def csv_round_trip(m: Market):
     path = scratch(m.spark) + "/definition"

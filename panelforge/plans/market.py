@@ -23,7 +23,7 @@ from panelforge.operators import features as FE
 from panelforge.operators import marketcap as MC
 from panelforge.operators import preprocess as PP
 from panelforge.operators import sector_index as SI
-from panelforge.session import tune
+from panelforge.session import reuse, tune
 
 # Names of the cross-asset series, by line number and line status.
 SERIES = {
@@ -95,7 +95,8 @@ class Market:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return self.lines.select("Date").distinct()
+        """Business days: a few thousand rows, found once."""
+        return reuse(self.lines.select("Date").distinct())
 
     @cached_property
     def price(self) -> DataFrame:
@@ -179,9 +180,15 @@ class Market:
     def caps(self) -> DataFrame:
         return MC.market_caps(self.price, self.fin, self.calendar, overrides=())
 
+    @cached_property
+    def _index_and_size(self) -> DataFrame:
+        """One row per sector and day; kept, as target, predictions and features all start from it."""
+        members = SI.attach_sector(self.caps, self.definition)
+        return reuse(SI.aggregate_index(members, F.avg("MarketCapClose").alias("MarketCapAtClose")))
+
     @cached_property
     def index(self) -> DataFrame:
-        return SI.aggregate_index(SI.attach_sector(self.caps, self.definition))
+        return self._index_and_size.drop("MarketCapAtClose")
 
     @cached_property
     def target(self) -> DataFrame:
@@ -264,7 +271,7 @@ class Market:
     @cached_property
     def features(self) -> DataFrame:
         return FE.price_features(
-            self.index, SI.size_factor(self.caps, self.definition), SI.eps_factor(self.price, self.fin, self.definition))
+            self.index, self._index_and_size.select("Date", "Sector", "MarketCapAtClose"), SI.eps_factor(self.price, self.fin, self.definition))
 
     @cached_property
     def quotas(self) -> DataFrame:
