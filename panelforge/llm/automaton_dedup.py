@@ -80,9 +80,14 @@ class SuffixAutomaton:
 
 
 def settle_words(part: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray, bodies: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that an earlier passage of the same trigger has; the passages of a trigger come together and in order."""
+    """Windows that an earlier passage of the same trigger has; the passages of a trigger come together and in order.
+
+    A document of several rows sends each of its passages once a row; only the first of them counts.
+    """
     found_ids, found_starts, shard = [], [], SuffixAutomaton()
     for k, body in enumerate(bodies):
+        if k and part[k] == part[k - 1] and ids[k] == ids[k - 1] and start[k] == start[k - 1]:
+            continue
         alone = k + 1 == len(bodies) or part[k + 1] != part[k]
         if k and part[k] != part[k - 1]:
             shard = SuffixAutomaton()

@@ -83,6 +83,32 @@ def test_words_against_brute_force(docs, monkeypatch, share, group):
         assert r.score == 0.5
 
 
+@pytest.mark.parametrize("group", [4096, 1])
+def test_words_of_repeated_rows_against_brute_force(spark, docs, monkeypatch, group):
+    """Rows of one id and text, also of a null id, are one document; near copies share their triggers."""
+    from panelforge.llm import repeats
+    monkeypatch.setattr(repeats, "LARGEST_GROUP", group)
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    near = lambda *at: " ".join("new" + w if i in at else w for i, w in enumerate(base))
+    rows = [(5, near()), (5, near()), (5, near()), (9, near(60, 200, 333)), (9, near(60, 200, 333)), (12, near(100)), (7, near(17, 250))]
+    rows += [(None, near(40, 300)), (None, near(40, 300))]
+    table = spark.createDataFrame([(i, t, None, None, len(t), 0.5) for i, t in rows], DOCS).repartition(3)
+    seen, want = set(), {}
+    for key, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        words = text.split()
+        gone = set()
+        for i in range(len(words) - 19):
+            window = tuple(words[i : i + 20])
+            if window in seen:
+                gone.update(range(i, i + 20))
+            seen.add(window)
+        want[key] = (len(words), len(gone), hashlib.sha256(" ".join(w for i, w in enumerate(words) if i not in gone).encode()).hexdigest())
+    got = automaton_dedup.remove_repeated_windows(table).collect()
+    assert sorted((str(r.doc_id), (r.n_words, r.n_removed, r.kept_sha256)) for r in got) == sorted((str(k), want[k]) for k, _ in rows)
+    assert want[None][1] == 0 and want[9][1] > 300
+
+
 def test_components_against_brute_force(docs):
     def grams(text):
         w = text.encode().lower().split()
