@@ -32,22 +32,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
-def feature_rows(sample: DataFrame, features: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """``y`` and the feature numbers of each sampled document."""
+def int_bytes(features: np.ndarray) -> bytes:
+    return features.astype(np.int32).tobytes()
+
+
+def feature_rows(sample: DataFrame, features: Callable[[bytes], np.ndarray], pack: Callable[[np.ndarray], bytes] = int_bytes,
+                 slice_rows: int | None = None) -> DataFrame:
+    """``y`` and the feature numbers of each sampled document, as bytes; ``slice_rows`` texts are Python objects at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features(t or b"").astype(np.int32).tobytes() for t in batch.column("text").to_pylist()]
+        for batch in sliced(batches, slice_rows) if slice_rows else batches:
+            found = [pack(features(t or b"")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "features"])
     return sample.select("doc_id", F.col("text").cast("binary").alias("text"), "y").mapInArrow(
         run, "doc_id long, y int, features binary")
 
 
-def fit_in_one_task(rows: DataFrame, fit: Callable[[list[np.ndarray], np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+def fit_in_one_task(rows: DataFrame, fit: Callable[[list[np.ndarray], np.ndarray], dict[str, np.ndarray]],
+                    kind: type = np.int32) -> dict[str, np.ndarray]:
     """Train on the bounded sample in one task; only the arrays of the model come back."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id"], kind="stable")
-        model = fit([np.frombuffer(b, np.int32) for b in frame.features], frame.y.to_numpy())
+        model = fit([np.frombuffer(b, kind) for b in frame.features], frame.y.to_numpy())
         return pd.DataFrame({"name": list(model), "kind": [str(v.dtype) for v in model.values()], "value": [v.tobytes() for v in model.values()]})
     got = rows.groupBy().applyInPandas(run, "name string, kind string, value binary").collect()
     return {r.name: np.frombuffer(r.value, r.kind) for r in got}

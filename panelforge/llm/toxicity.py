@@ -17,11 +17,11 @@ DIMENSIONS = 1 << 22
 #: Labelled documents used for training, at most.
 SAMPLE = 10240
 #: Words between the two of a skip-gram, at most.
-SKIP = 1
+SKIP = 2
 
 
 def gram_features(raw: bytes) -> np.ndarray:
-    """The distinct feature numbers of a text: words, pairs of neighbours, and pairs with one word between.
+    """The distinct feature numbers of a text: words, pairs of neighbours, and pairs with one or two words between.
 
     Words are runs of letters and digits, with A-Z lower-cased; any other byte of ASCII separates.
     """
@@ -33,15 +33,30 @@ def gram_features(raw: bytes) -> np.ndarray:
     return np.unique((np.concatenate(grams) >> np.uint64(42)).astype(np.int32))
 
 
+def packed(features: np.ndarray) -> bytes:
+    """Feature numbers in three bytes each."""
+    return features.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    """Feature numbers from the bytes of ``packed``."""
+    wide = np.zeros((len(raw) // 3, 4), dtype=np.uint8)
+    wide[:, :3] = raw.reshape(-1, 3)
+    return wide.view("<i4").ravel()
+
+
 def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0,
          epochs: int = 5) -> dict[str, np.ndarray]:
-    """FTRL-proximal on presence features, one document at a time; returns the weights other than zero and the intercept."""
+    """FTRL-proximal on presence features, one document at a time; returns the weights other than zero and the intercept.
+
+    The rows are as ``packed`` makes them, as the sample is held whole.
+    """
     z, n = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
     bias, order = 0.0, np.random.default_rng(0)
     base = np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(y) else 0.0
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            at = rows[i]
+            at = unpacked(rows[i])
             zi, ni = z[at], n[at]
             w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
             p = 1 / (1 + np.exp(-np.clip(base + bias + w.sum(), -35, 35)))
@@ -60,7 +75,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> di
     Without a labelled document every text gets the score 0.5.
     """
     chosen = labelled_sample(docs, labels, "toxic", fold("doc_id", 5) != 0, sample)
-    return fit_in_one_task(feature_rows(chosen, gram_features), ftrl)
+    return fit_in_one_task(feature_rows(chosen, gram_features, packed, slice_rows=64), ftrl, np.uint8)
 
 
 def toxicity_scores(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:

@@ -260,6 +260,15 @@ def test_classifiers_learn(spark):
         assert {r.score for r in score(odd_texts, none).collect()} == {0.5}
 
 
+def test_skip_grams_reach_over_two_words():
+    """Two texts of the same words differ in what stands three apart alone."""
+    grams = lambda text: set(toxicity.gram_features(text).tolist())
+    assert len(grams(b"one two three four")) == 4 + 3 + 2 + 1
+    assert len(grams(b"one x y four") & grams(b"one p q four")) == 3
+    found = toxicity.gram_features(b"one two three four")
+    assert toxicity.unpacked(np.frombuffer(toxicity.packed(found), np.uint8)).tolist() == found.tolist()
+
+
 def test_odd_ids_and_extra_columns(odd):
     n = odd.count()
     assert suffix_dedup.remove_repeated_strings(odd).count() == n
