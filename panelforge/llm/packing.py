@@ -95,82 +95,63 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY, patience: int = 100) -> list[list[int]]:
+def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """Local search: take weight out of the emptiest bin until it is empty, then go on with the next.
 
-    A step moves one of its pieces to a bin with room, or exchanges one or two of its pieces for a shorter one of a fuller bin;
-    failing that, the next emptiest bins exchange among themselves, which gathers their room.
-    Every step increases the sum of squared fills, so the search ends; it also ends when the pieces cannot fit into fewer bins,
-    or after ``patience`` steps on one bin.
+    A step moves a piece to a bin with room, or exchanges one or two pieces of a bin for a shorter one elsewhere; the emptiest bin
+    that has such a step takes it, which gathers the room. Every step increases the sum of squared fills, so the search ends: when
+    no step of any bin increases it, or when the pieces cannot fit into fewer bins.
     """
     bins = [list(b) for b in bins]
     size = np.asarray(lengths)
-    fill = np.array([int(size[b].sum()) for b in bins])
+    fill = np.array([int(size[b].sum()) for b in bins], dtype=np.int64)
     least = -(-int(size.sum()) // capacity)
-    alive = len(bins)
-    home = np.full(len(size), -1)
-    for b, members in enumerate(bins):
-        home[members] = b
-    while alive > least:
-        live = np.flatnonzero(fill > 0)
-        e = int(live[np.argmin(fill[live])])
-        for _ in range(patience):
-            space = np.where(fill > 0, capacity - fill, -1)
-            space[e] = -1
-            own = sorted(bins[e], key=lambda i: size[i])
-            done = False
-            for i in reversed(own):  # the longest piece that fits somewhere, into the tightest place
-                room = np.where(space >= size[i], space, capacity + 1)
-                b = int(np.argmin(room))
-                if room[b] <= capacity:
-                    bins[e].remove(i)
-                    bins[b].append(i)
-                    home[i] = b
-                    fill[e] -= size[i]
-                    fill[b] += size[i]
-                    done = True
-                    break
-            if not done:
-                for b in np.flatnonzero(fill > 0)[np.argsort(fill[fill > 0], kind="stable")][:8].tolist():
-                    fuller = np.where(fill >= fill[b], space, -1)
-                    fuller[b] = -1
-                    if _exchange(bins, size, fill, home, fuller, b, sorted(bins[b], key=lambda i: size[i])):
-                        done = True
-                        break
-            if not done or not bins[e]:
-                break
-        if bins[e]:
-            break
-        alive -= 1
+    while int((fill > 0).sum()) > least and _step(bins, size, fill, capacity):
+        pass
     return [b for b in bins if b]
 
 
-def _exchange(bins: list[list[int]], size: np.ndarray, fill: np.ndarray, home: np.ndarray, space: np.ndarray, e: int, own: list[int]) -> bool:
-    """The exchange of one or two pieces of bin ``e`` for a shorter one elsewhere that takes most weight out of ``e``."""
-    room = space[home]
-    best = (0, (), -1)
-    offers = [(i,) for i in own] + [(own[i], own[j]) for i in range(min(len(own), 12)) for j in range(i)]
-    for offer in offers:
-        gain = sum(int(size[i]) for i in offer) - size
-        usable = (gain > 0) & (gain <= room) & (room >= 0)
-        if usable.any():
-            at = int(np.argmax(np.where(usable, gain, -1)))
-            if gain[at] > best[0]:
-                best = (int(gain[at]), offer, at)
-    gain, offer, other = best
-    if not gain:
+def _step(bins: list[list[int]], size: np.ndarray, fill: np.ndarray, capacity: int) -> bool:
+    """One move or exchange that increases the sum of squared fills; full bins can have no part in one."""
+    bare = np.flatnonzero((fill > 0) & (fill < capacity))
+    bare = bare[np.argsort(fill[bare], kind="stable")]
+    if not len(bare):
         return False
-    b = int(home[other])
-    for i in offer:
+    held = np.concatenate([np.asarray(bins[b]) for b in bare])
+    home = np.repeat(bare, [len(bins[b]) for b in bare])
+    width, room, level = size[held], capacity - fill[home], fill[home]
+    for e in bare.tolist():
+        kinds, at, often = np.unique(size[bins[e]], return_index=True, return_counts=True)
+        places = [[i for i in bins[e] if size[i] == v][:2] for v in kinds[often > 1]]
+        for i in (bins[e][k] for k in at[::-1]):  # the longest piece that fits somewhere, into the tightest place
+            fits = bare[(capacity - fill[bare] >= size[i]) & (fill[bare] + size[i] > fill[e]) & (bare != e)]
+            if len(fits):
+                _exchange(bins, size, fill, e, int(fits[-1]), [i])
+                return True
+        # Equal pieces stand for each other, so a bin has few offers: at most 63 lengths, and their pairs.
+        offers = [(bins[e][k],) for k in at] + [(bins[e][at[i]], bins[e][at[j]]) for i in range(len(at)) for j in range(i)] + [tuple(p) for p in places]
+        weights, which = np.unique([sum(int(size[i]) for i in offer) for offer in offers], return_index=True)
+        heaviest = np.searchsorted(weights, width + room, "right") - 1
+        gain = np.where(heaviest >= 0, weights[heaviest], 0) - width
+        gain[(home == e) | (level + gain <= fill[e])] = 0
+        best = int(np.argmax(gain))
+        if gain[best] > 0:
+            _exchange(bins, size, fill, e, int(home[best]), list(offers[which[heaviest[best]]]), int(held[best]))
+            return True
+    return False
+
+
+def _exchange(bins: list[list[int]], size: np.ndarray, fill: np.ndarray, e: int, b: int, given: list[int], taken: int | None = None) -> None:
+    """Pieces of bin ``e`` go to bin ``b``, at most one comes back."""
+    for i in given:
         bins[e].remove(i)
         bins[b].append(i)
-        home[i] = b
-    bins[b].remove(other)
-    bins[e].append(other)
-    home[other] = e
+    if taken is not None:
+        bins[b].remove(taken)
+        bins[e].append(taken)
+    gain = sum(int(size[i]) for i in given) - (int(size[taken]) if taken is not None else 0)
     fill[e] -= gain
     fill[b] += gain
-    return True
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

@@ -185,6 +185,28 @@ def test_local_search_empties_a_bin():
     assert packing.cut(1) == [(0, 1)] and packing.cut(4096) == [(0, 2048), (2048, 2048)] and packing.cut(2049) == [(0, 1), (1, 2048)]
 
 
+@pytest.mark.parametrize("low,high,n", [(25, 50, 60), (2, 60, 45), (30, 37, 80)])
+def test_local_search_ends_where_no_exchange_raises_squared_fill(low, high, n):
+    from itertools import combinations
+    stuck = 0
+    for seed in range(6):
+        sizes = np.random.default_rng(seed).integers(low, high, n)
+        bins = packing.empty_bins(packing.best_fit(sizes, 100), sizes, 100)
+        assert sorted(i for b in bins for i in b) == list(range(n))
+        fill = [int(sizes[b].sum()) for b in bins]
+        assert max(fill) <= 100
+        if len(bins) == -(-int(sizes.sum()) // 100):
+            continue
+        stuck += 1
+        for a, own in enumerate(bins):
+            gives = [int(sizes[i]) for i in own] + [int(sizes[i] + sizes[j]) for i, j in combinations(own, 2)]
+            for b, others in enumerate(bins):
+                if a != b:
+                    gains = [g - t for g in gives for t in (0, *(int(sizes[i]) for i in others)) if g > t]
+                    assert not any(fill[b] + g <= 100 and fill[b] + g > fill[a] for g in gains)
+    assert stuck or low == 2
+
+
 def test_special_strings_are_encoded_as_the_tokenizer_does():
     paths = packing.public_vocabulary()
     for text in ("a <|endoftext|> b", "plain text  with\n\nspaces", ""):
