@@ -115,7 +115,7 @@ def feature_importances(models: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def predict_lasso(models: DataFrame, features: DataFrame, columns: Sequence[str], target: DataFrame | None = None, pooled: bool = False) -> DataFrame:
-    """Scale, weigh and sum inside the projection after a join on Sector."""
+    """Scale, weigh and sum inside the projection after a join on Sector; a null feature gives a null prediction."""
     small = models.select("Sector", "Intercept", "Coef", "Mean", "Scale")
     rows = features.select(*KEYS, *columns)
     if pooled:

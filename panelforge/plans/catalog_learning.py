@@ -289,13 +289,19 @@ def rank_ensemble_dataset(m: Market):
 
 
 def model_inputs(m: Market):
-    """Yesterday's return, momentum and volatility against today's target, complete rows."""
+    """Yesterday's return, momentum and volatility against today's target, null where they are not known."""
     from panelforge.operators import features as FE
     index = m.index.select("Date", "Sector", "1d_return", "Open", "Close")
     target = PP.daytime_target(index).withColumn("Target", F.round("Target", 9))
     rows = FE.volatility(FE.momentum(index), [5])
     rows = rows.select("Date", "Sector", F.col("1d_return").alias("r1"), F.col("5d_mom").alias("m5"), F.col("21d_mom").alias("m21"), F.col("5d_vola").alias("v5"))
-    return target, D.lag_features(rows).dropna()
+    return target, D.lag_features(rows)
+
+
+def complete_inputs(m: Market):
+    """The inputs of days on which all features are known, as ``x_inputs`` has them."""
+    target, features = model_inputs(m)
+    return target, features.dropna()
 
 
 CTES["x_inputs"] = f"""SELECT * FROM (SELECT Date, Sector, lag(r1) OVER w AS r1, lag(m5) OVER w AS m5, lag(m21) OVER w AS m21, lag(v5) OVER w AS v5 FROM (
@@ -308,7 +314,7 @@ CTES["x_inputs"] = f"""SELECT * FROM (SELECT Date, Sector, lag(r1) OVER w AS r1,
     WHERE Target IS NOT NULL GROUP BY i.Sector""", "Intercept MeanR1 ScaleR1")
 def sector_model_statistics(m: Market):
     """Scaling and intercept each sector's model was fitted with."""
-    target, features = model_inputs(m)
+    target, features = complete_inputs(m)
     models = MO.fit_lasso(target, features, FEATURES)
     return models.select("Sector", "Rows", "Intercept", F.get("Mean", 0).alias("MeanR1"), F.get("Scale", 0).alias("ScaleR1"))
 
@@ -319,7 +325,7 @@ def sector_model_statistics(m: Market):
     SELECT d.Date, d.Sector, my + (r1 - mx) / sx * sign(c) * greatest(abs(c) - 0.0001, 0) AS Pred, Target FROM d JOIN s ON d.Sector = s.Sector""", "Pred Target")
 def sector_single_feature_models(m: Market):
     """With one scaled feature the penalised solution has a closed form: soft thresholding."""
-    target, features = model_inputs(m)
+    target, features = complete_inputs(m)
     models = MO.fit_lasso(target, features, ["r1"], alpha=0.0001)
     return MO.predict_lasso(models, features, ["r1"], target).filter("Target is not null")
 
@@ -329,7 +335,7 @@ def sector_single_feature_models(m: Market):
     s AS (SELECT avg(m5) AS mx, stddev_pop(m5) AS sx, avg(Target) AS my, covar_pop(m5, Target) / stddev_pop(m5) AS c FROM d)
     SELECT d.Date, d.Sector, my + (m5 - mx) / sx * sign(c) * greatest(abs(c) - 0.00001, 0) AS Pred FROM d, s""", "Pred")
 def pooled_single_feature_model(m: Market):
-    target, features = model_inputs(m)
+    target, features = complete_inputs(m)
     models = MO.fit_lasso(target, features, ["m5"], by=None, alpha=0.00001)
     return MO.predict_lasso(models, features, ["m5"], target, pooled=True).filter("Target is not null").drop("Target")
 
@@ -342,6 +348,7 @@ def sector_lasso_importances(m: Market):
 
 @query("sector_lasso_predictions", "J3 J6")
 def sector_lasso_predictions(m: Market):
+    """A row for every sector and day; the prediction is null where a feature is."""
     target, features = model_inputs(m)
     ds = D.train_test(target, features, TRAIN, TEST, keep=FEATURES)
     models = MO.fit_lasso(ds.target_train, ds.features_train, FEATURES)

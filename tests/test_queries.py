@@ -48,3 +48,22 @@ def test_every_query_names_what_it_covers():
 def test_latest_row_per_key_is_trimmed_before_the_shuffle(spark):
     plan = QUERIES["full_disclosures_latest"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_days_with_null_features_keep_their_prediction_row(spark):
+    import datetime as dt
+    import random
+    from types import SimpleNamespace
+
+    from panelforge.plans import catalog_learning as CL
+    rng = random.Random(3)
+    days = [dt.date(1999, 10, 1) + dt.timedelta(days=i) for i in range(140)]
+    rows = [(d, s, None if s == "A" and d == dt.date(2000, 1, 20) else rng.gauss(0, 0.01), 100.0, 100.0 + rng.gauss(0, 1)) for d in days for s in ("A", "B")]
+    market = SimpleNamespace(index=spark.createDataFrame(rows, "Date date, Sector string, `1d_return` double, Open double, Close double"))
+    keys = {(d, s) for d in days for s in ("A", "B") if d >= dt.date(2000, 1, 1)}
+    linear = {(r.Date, r.Sector): r.Pred for r in CL.sector_lasso_predictions(market).collect()}
+    trees = {(r.Date, r.Sector): r.Pred for r in CL.boosted_tree_predictions(market).collect()}
+    assert set(linear) == keys and set(trees) == keys
+    assert linear[dt.date(2000, 1, 21), "A"] is None and linear[dt.date(2000, 1, 21), "B"] is not None
+    assert None not in trees.values()
+    assert CL.complete_inputs(market)[1].filter("Date = '2000-01-21'").count() == 1
