@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.grams import BASE, mix, rolled, sliced, word_hashes
 from panelforge.llm.repeats import identified
-from panelforge.operators.clustering import connected_groups
+from panelforge.llm.spread import components, heavy_limit, join_spread
 from panelforge.session import stage
 
 SHINGLE = 3
@@ -175,9 +175,9 @@ def postings(texts: DataFrame, sketch: np.ndarray, light: int, least: tuple[int,
 def light_links(listed: DataFrame) -> DataFrame:
     """``a, b``: every light set with the first partner of its subset; sets that share a subset of the needed size are linked."""
     light = listed.filter("role >= 0")
-    first = light.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("id"))).alias(f"_{r}") for r in range(3)])
+    first = light.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("id"))).alias(f"_{r}") for r in range(3)], F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     mate = F.when(F.col("role") == 0, F.col("_1")).when(F.col("role") == 1, F.col("_0")).otherwise(F.col("_2"))
-    return light.join(first, "key").select(F.col("id").alias("a"), mate.alias("b")).filter("b is not null and a <> b")
+    return join_spread(light, first, ["key"], light.count()).select(F.col("id").alias("a"), mate.alias("b")).filter("b is not null and a <> b")
 
 
 def _may_link(n: str, pos: str, m: str, other: str, least: tuple[int, int]) -> Column:
@@ -188,29 +188,37 @@ def _may_link(n: str, pos: str, m: str, other: str, least: tuple[int, int]) -> C
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar enough.
+    """The pairs ``a, b`` whose whole sets are similar enough; ``pairs`` is a stored table and ``texts`` has one row an id.
 
-    Texts that no pair needs are kept out of the shuffle by the places of the needed ids, of which there are 2**20; what passes in error is dropped by the joins.
+    Texts that no pair needs are kept out of the shuffle by the places of the needed ids, of which there are 2**20; what passes in
+    error is dropped by the joins. The pairs of an ``a`` with many come in parts of a few hundred, each with the text once more. The
+    last join sorts by ``a``, so a set is made once a run.
     """
     up, down = least
     places = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(PLACES)).alias("_place")).distinct()
-    few = texts.join(F.broadcast(places), F.pmod(F.xxhash64("id"), F.lit(PLACES)) == F.col("_place"), "left_semi")
+    needed = texts.join(F.broadcast(places), F.pmod(F.xxhash64("id"), F.lit(PLACES)) == F.col("_place"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = None, None
-        for batch in sliced(batches):
+        for batch in sliced(batches, 64):
             kept = []
-            for i, (key, left, right) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "left", "right")), strict=True)):
-                if key != known:
-                    known, last = key, shingles(left or b"", width)
-                other = shingles(right or b"", width)
+            for i, (key, left, right) in enumerate(zip(*(batch.column(c) for c in ("a", "left", "right")), strict=True)):
+                if key.as_py() != known:
+                    known, last = key.as_py(), shingles(left.as_py() or b"", width)
+                other = shingles(right.as_py() or b"", width)
                 common = len(np.intersect1d(last, other, assume_unique=True))
                 if down * common >= up * (len(last) + len(other) - common):
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(kept, pa.int64())), batch.column("b").take(pa.array(kept, pa.int64()))], ["a", "b"])
-    left = few.select(F.col("id").alias("a"), F.col("raw").alias("left"))
-    right = few.select(F.col("id").alias("b"), F.col("raw").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    limit = heavy_limit(pairs.count())
+    hubs = F.broadcast(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)  # 2**12 at most
+                       .select("a", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = needed.select(F.col("id").alias("a"), F.col("raw").alias("left")).join(hubs, "a", "left").select(
+        "a", "left", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    right = needed.select(F.col("id").alias("b"), F.col("raw").alias("right"))
+    split = pairs.select("a", "b").join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("_part"))
+    return split.join(right, "b").join(left, ["a", "_part"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -226,7 +234,7 @@ def heavy_links(listed: DataFrame, sets: DataFrame, texts: DataFrame, least: tup
     up, down = least
     lists = listed.filter("role = -1")
     heads = lists.groupBy("key").agg(F.min(F.struct("pos", "id")).alias("head"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    several = stage(lists.join(heads, "key").select("key", "id", "n", "pos", F.col("head.id").alias("hid")), "shared-shingles")
+    several = stage(join_spread(lists, heads, ["key"], lists.count()).select("key", "id", "n", "pos", F.col("head.id").alias("hid")), "shared-shingles")
     star = several.filter("id <> hid").groupBy("id", "n", "hid").agg(F.count(F.lit(1)).alias("_m"))
     star = star.join(sets.select(F.col("id").alias("hid"), F.col("n").alias("hn")).distinct(), "hid")
     # Of two linked sets one has so many of its rarest members in common with the other.
@@ -255,21 +263,24 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, width: int
     """``docs`` with ``_id``, ``n_shingles`` and ``component``: the smallest ``_id`` reachable by links.
 
     ``_id`` orders documents by doc_id, nulls first (see ``identified``). Null and empty texts, and texts of white space, have no
-    shingle and no link. Rows equal in doc_id and text are one document. Other columns stay.
+    shingle and no link. Rows equal in doc_id and text are one document. An empty table gives an empty result. Other columns stay,
+    whatever their names; a column that has one of the three names is replaced.
     """
+    docs = docs.drop("_id", "n_shingles", "component")
     known = identified(docs)
     texts = known.select(F.col("_id").alias("id"), F.col("text").cast("binary").alias("raw"))
     sets, sketch = set_sizes(texts, width)
+    held = sets.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids")).first()
+    if held.rows > held.ids:  # repeated rows
+        texts, sets = texts.groupBy("id").agg(F.first("raw").alias("raw")), sets.dropDuplicates(["id"])
     sizes = {r.n: r["count"] for r in sets.filter(F.col("n").between(1, LARGEST_LIGHT)).groupBy("n").count().collect()}
     listed = stage(postings(texts, sketch, boundary(sizes, least), least, width), "shingle-lists")
     full = sets.filter("n > 0")
     first = full.groupBy("n", "s1", "s2").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    equal = full.join(first, ["n", "s1", "s2"]).filter("id <> a").select("a", F.col("id").alias("b"))
+    equal = join_spread(full, first, ["n", "s1", "s2"], held.ids).filter("id <> a").select("a", F.col("id").alias("b"))
     links = equal.unionByName(light_links(listed)).unionByName(heavy_links(listed, sets, texts, least, width))
-    nodes = sets.dropDuplicates(["id"])
-    groups = connected_groups(nodes, links).withColumnRenamed("group", "component")
-    wide = nodes.join(groups, "id").select("id", F.col("n").alias("n_shingles"), "component")
-    return known.join(wide, known["_id"] == wide["id"]).drop("id")
+    wide = sets.join(components(sets, links), "id").select(F.col("id").alias("_of"), F.col("n").alias("n_shingles"), "component")
+    return known.join(wide, known["_id"] == wide["_of"]).drop("_of")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
