@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators import linalg as L
@@ -107,6 +107,94 @@ def fit_lasso(
         solve, "Sector string, Status string, Features long, Rows long, Intercept double, Alpha double, Coef array<double>, Mean array<double>, Scale array<double>")
 
 
+def _standardised(m: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """Cross-products of (1, x, y) after x has been moved by ``mean`` and divided by ``sd``."""
+    k = len(mean)
+    t = np.eye(k + 2)
+    t[1:-1, 0], t[1:-1, 1:-1] = -mean / sd, np.diag(1 / sd)
+    return t @ m @ t.T
+
+
+def _centred(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means of (x, y), and their covariances, from cross-products of (1, x, y)."""
+    mean = m[0, 1:] / m[0, 0]
+    return mean, m[1:, 1:] / m[0, 0] - np.outer(mean, mean)
+
+
+def lasso_path(m: np.ndarray, penalties: Sequence[float]) -> list[tuple[float, np.ndarray]]:
+    """Intercept and coefficients for each penalty, largest first, each started from the one before."""
+    mean, cov = _centred(m)
+    w, out = np.zeros(len(mean) - 1), []
+    for alpha in penalties:
+        w = lasso_path_point(cov[:-1, :-1], cov[:-1, -1], alpha, w, tol=1e-13)
+        out.append((float(mean[-1] - mean[:-1] @ w), w.copy()))
+    return out
+
+
+def unexplained(m: np.ndarray, intercept: float, w: np.ndarray) -> float:
+    """Squared error of a model over the rows behind a matrix, as a share of their spread around their mean."""
+    q = np.concatenate([[-intercept], -w, [1.0]])
+    spread = m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
+    return float(q @ m @ q / spread) if spread > 0 else float("nan")
+
+
+def penalty_grid(n: int = 12, bounds: tuple[float, float] = ALPHA_RANGE) -> list[float]:
+    """Penalties in equal ratios, largest first."""
+    low, high = bounds
+    return [high * (low / high) ** (i / (n - 1)) for i in range(n)]
+
+
+def fit_lasso_validated(
+    target: DataFrame, features: DataFrame, columns: Sequence[str], by: str | None = "Sector", penalties: Sequence[float] | None = None,
+    folds: int = 5, min_features: int = 3, max_features: int = 5,
+) -> DataFrame:
+    """One model per sector (or one for all), with the penalty that predicts held-out days best.
+
+    Of the penalties that leave ``min_features`` to ``max_features`` coefficients in the model of all days, the one with the least
+    ``Loss`` is taken: the mean over the folds of the squared error there as a share of the fold's spread. Folds are runs of days. If no
+    penalty leaves that many, the nearest number counts and ``Status`` says so. Ties go to the larger penalty.
+
+    One pass sums cross-products by sector and fold. A fold's training matrix is the total less the fold's, and the error on a fold is a
+    quadratic form of its matrix, so neither folds nor penalties read a row again.
+    """
+    cols, grid = list(columns), sorted(penalties or penalty_grid(), reverse=True)
+    k = L.check_dim(len(cols) + 2)
+    rows = features.select(*KEYS, *cols).join(target.select(*KEYS, "Target").filter(F.col("Target").isNotNull()), KEYS).dropna(subset=cols)
+    group = F.col(by) if by else F.lit("*")
+    if by:
+        rows = rows.withColumn("_fold", F.ntile(folds).over(Window.partitionBy(by).orderBy("Date")))
+    else:  # a row a day
+        days = rows.select("Date").distinct().withColumn("_fold", F.ntile(folds).over(Window.orderBy("Date")))
+        rows = rows.join(days, "Date")
+    vectors = rows.select(group.alias("Sector"), "_fold", F.array(F.lit(1.0), *[F.col(c).cast("double") for c in cols], F.col("Target")).alias("_x"))
+    stats = L.gram(vectors, "_x", k, by=["Sector", "_fold"])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        raw = {f: L.to_matrix(part, k) for f, part in pdf.groupby("_fold")}
+        total = sum(raw.values())
+        mean, cov = _centred(total)
+        sd = np.sqrt(np.clip(np.diag(cov)[:-1], 0, None))
+        sd = np.where(sd > 1e-12 * np.maximum(np.abs(mean[:-1]), 1e-300), sd, 1.0)
+        parts = {f: _standardised(m, mean[:-1], sd) for f, m in raw.items()}
+        whole = sum(parts.values())
+        models = lasso_path(whole, grid)
+        losses = np.mean([[unexplained(m, b, w) for b, w in lasso_path(whole - m, grid)] for m in parts.values()], axis=0) if len(parts) > 1 else np.full(len(grid), np.nan)
+        kept = np.array([int((w != 0).sum()) for _, w in models])
+        low, high = min(min_features, len(cols)), max_features
+        miss = np.maximum(np.maximum(low - kept, kept - high), 0)
+        best = min(range(len(grid)), key=lambda i: (miss[i], np.inf if np.isnan(losses[i]) else losses[i], i))
+        intercept, w = models[best]
+        _, c = _centred(whole)
+        rest = float(np.max(np.abs(c[:-1, -1] - c[:-1, :-1] @ w) - grid[best], initial=0.0))
+        status = "not converged" if rest > 1e-7 else "features out of range" if miss[best] else "ok"
+        return pd.DataFrame([{
+            "Sector": pdf["Sector"].iloc[0], "Status": status, "Features": int(kept[best]), "Rows": int(round(total[0, 0])), "Intercept": float(intercept),
+            "Alpha": float(grid[best]), "Loss": float(losses[best]), "Coef": [float(v) for v in w], "Mean": [float(v) for v in mean[:-1]], "Scale": [float(v) for v in sd]}])
+
+    return stats.groupBy("Sector").applyInPandas(
+        solve, "Sector string, Status string, Features long, Rows long, Intercept double, Alpha double, Loss double, Coef array<double>, Mean array<double>, Scale array<double>")
+
+
 def feature_importances(models: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Non-zero coefficients, largest first within each sector."""
     names = F.array(*[F.lit(c) for c in columns])
@@ -114,14 +202,21 @@ def feature_importances(models: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select("Sector", "z.Feature", "z.FI").filter("FI <> 0").orderBy("Sector", F.abs("FI").desc(), "Feature")
 
 
-def predict_lasso(models: DataFrame, features: DataFrame, columns: Sequence[str], target: DataFrame | None = None, pooled: bool = False) -> DataFrame:
-    """Scale, weigh and sum inside the projection after a join on Sector; a null feature gives a null prediction."""
-    small = models.select("Sector", "Intercept", "Coef", "Mean", "Scale")
+def predict_lasso(models: DataFrame, features: DataFrame, columns: Sequence[str], target: DataFrame | None = None, pooled: bool = False, usable: Sequence[str] | None = None) -> DataFrame:
+    """Scale, weigh and sum inside the projection: a row for every row of ``features``.
+
+    The prediction is null where a feature is, where the sector has no model, and where the model's ``Status`` is none of ``usable``.
+    A pooled model is one row and enters as literals.
+    """
+    small = models.filter(F.col("Status").isin(*usable)) if usable else models
+    small = small.select("Sector", "Intercept", "Coef", "Mean", "Scale")
     rows = features.select(*KEYS, *columns)
     if pooled:
-        rows = rows.withColumn("_m", F.lit("*")).join(small.withColumnRenamed("Sector", "_m"), "_m")
+        only = small.first()
+        names = ("Intercept", "Coef", "Mean", "Scale")
+        rows = rows.withColumns({c: F.lit(only[c] if only else None).cast("double" if c == "Intercept" else "array<double>") for c in names})
     else:
-        rows = rows.join(small, "Sector")
+        rows = rows.join(small, "Sector", "left")
     total = F.col("Intercept")
     for i, c in enumerate(columns):
         total = total + (F.col(c) - F.get("Mean", i)) / F.get("Scale", i) * F.get("Coef", i)

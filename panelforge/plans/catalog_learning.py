@@ -258,7 +258,7 @@ def ensemble_key_check(m: Market):
     return EN.unmatched_keys([(m.predictions, 1.0), (m.slow_predictions, 1.0)])
 
 
-@query("ensemble_by_value", "J8 J7", "SELECT Date, Sector, p1 * (6.7 / 8.0) + p2 * (1.3 / 8.0) AS Pred FROM x_two", "Pred")
+@query("ensemble_by_value", "J8 J7", "SELECT Date, Sector, p1 * (6.7 / 8.0) + p2 * (1.3 / 8.0) AS Pred FROM x_two", "Pred:12")
 def ensemble_by_value(m: Market):
     a, b = two_models(m)
     return EN.by_value([(a, 6.7), (b, 1.3)])
@@ -290,12 +290,7 @@ def rank_ensemble_dataset(m: Market):
 
 def model_inputs(m: Market):
     """Yesterday's return, momentum and volatility against today's target, null where they are not known."""
-    from panelforge.operators import features as FE
-    index = m.index.select("Date", "Sector", "1d_return", "Open", "Close")
-    target = PP.daytime_target(index).withColumn("Target", F.round("Target", 9))
-    rows = FE.volatility(FE.momentum(index), [5])
-    rows = rows.select("Date", "Sector", F.col("1d_return").alias("r1"), F.col("5d_mom").alias("m5"), F.col("21d_mom").alias("m21"), F.col("5d_vola").alias("v5"))
-    return target, D.lag_features(rows)
+    return m.target, m.model_features
 
 
 def complete_inputs(m: Market):
@@ -304,9 +299,7 @@ def complete_inputs(m: Market):
     return target, features.dropna()
 
 
-CTES["x_inputs"] = f"""SELECT * FROM (SELECT Date, Sector, lag(r1) OVER w AS r1, lag(m5) OVER w AS m5, lag(m21) OVER w AS m21, lag(v5) OVER w AS v5 FROM (
-    SELECT Date, Sector, "1d_return" AS r1, {band('avg', '"1d_return"', 4, 1)} AS m5, {band('avg', '"1d_return"', 16, 5)} AS m21, {band('stddev_samp', '"1d_return"', 4, 1)} AS v5 FROM x_index)
-    WINDOW w AS (PARTITION BY Sector ORDER BY Date)) WHERE r1 IS NOT NULL AND m5 IS NOT NULL AND m21 IS NOT NULL AND v5 IS NOT NULL"""
+CTES["x_inputs"] = "SELECT * FROM x_feat WHERE r1 IS NOT NULL AND m5 IS NOT NULL AND m21 IS NOT NULL AND v5 IS NOT NULL"
 
 
 @query("sector_model_statistics", "J2", """
@@ -340,19 +333,85 @@ def pooled_single_feature_model(m: Market):
     return MO.predict_lasso(models, features, ["m5"], target, pooled=True).filter("Target is not null").drop("Target")
 
 
-@query("sector_lasso_importances", "J3 J4")
+# The sparse models: cross-products by sector and fold, coordinate descent as a recursion over sweeps, the penalty by held-out error.
+CANDIDATES = ["r1", "m5", "m21", "v5", *SERIES_NAMES]
+K, FOLDS, SWEEPS = len(CANDIDATES), 5, 120
+PENALTIES = MO.penalty_grid(24)
+CTES["x_all_returns"] = """SELECT s.Name, Date, CASE WHEN c."Group" = 'bond' THEN Close - lag(Close) OVER (PARTITION BY s.Name ORDER BY Date)
+    ELSE Close / nullif(lag(Close) OVER (PARTITION BY s.Name ORDER BY Date), 0) - 1 END AS value FROM x_series s JOIN x_catalogue c ON s.Name = c.Name"""
+CTES["x_all_wide"] = "SELECT Date, " + ", ".join(f"last_value(max(value) FILTER (Name = '{n}') IGNORE NULLS) OVER (ORDER BY Date {UP}) AS {n}" for n in SERIES_NAMES) + " FROM x_all_returns GROUP BY Date"
+CTES["x_candidates"] = "SELECT Date, Sector, " + ", ".join(f"lag({n}) OVER (PARTITION BY Sector ORDER BY Date) AS {n}" for n in CANDIDATES) + f""" FROM (
+    SELECT p.Date, p.Sector, {", ".join(f"last_value({n} IGNORE NULLS) OVER w AS {n}" for n in CANDIDATES)} FROM (
+      SELECT Date, Sector, "1d_return" AS r1, {band('avg', '"1d_return"', 4, 1)} AS m5, {band('avg', '"1d_return"', 16, 5)} AS m21, {band('stddev_samp', '"1d_return"', 4, 1)} AS v5 FROM x_index) p
+    LEFT JOIN x_all_wide a ON p.Date = a.Date WINDOW w AS (PARTITION BY p.Sector ORDER BY p.Date {UP}))"""
+_whole = " AND ".join(f"{n} IS NOT NULL" for n in CANDIDATES)
+CTES["x_lasso_rows"] = f"""SELECT c.*, Target AS y, ntile({FOLDS}) OVER (PARTITION BY c.Sector ORDER BY c.Date) AS fold FROM x_candidates c
+    JOIN x_residual t ON c.Date = t.Date AND c.Sector = t.Sector WHERE c.{IN_TRAIN} AND Target IS NOT NULL AND {_whole}"""
+CTES["x_lasso_scale"] = "SELECT Sector, " + ", ".join(f"avg({n}) AS mu{i}, CASE WHEN stddev_pop({n}) > 0 THEN stddev_pop({n}) ELSE 1 END AS sd{i}" for i, n in enumerate(CANDIDATES)) + " FROM x_lasso_rows GROUP BY Sector"
+CTES["x_lasso_z"] = "SELECT r.Sector, fold, y, " + ", ".join(f"({n} - mu{i}) / sd{i} AS z{i}" for i, n in enumerate(CANDIDATES)) + " FROM x_lasso_rows r JOIN x_lasso_scale s ON r.Sector = s.Sector"
+_sums = {"n": "1.0", "y": "y", "yy": "y * y"} | {f"a{i}": f"z{i}" for i in range(K)} | {f"c{i}": f"z{i} * y" for i in range(K)} | {f"g{i}_{j}": f"z{i} * z{j}" for i in range(K) for j in range(i, K)}
+CTES["x_lasso_folds"] = "SELECT Sector, fold, " + ", ".join(f"sum({v}) AS {n}" for n, v in _sums.items()) + " FROM x_lasso_z GROUP BY Sector, fold"
+# Sums over all folds but one; fold 0 leaves out none.
+CTES["x_lasso_left"] = "SELECT t.Sector, o.fold, " + ", ".join(f"sum(t.{n}) AS {n}" for n in _sums) + f""" FROM x_lasso_folds t, (SELECT unnest(range({FOLDS + 1})) AS fold) o
+    WHERE t.fold <> o.fold GROUP BY t.Sector, o.fold"""
+CTES["x_lasso_cov"] = "SELECT Sector, fold, n, y / n AS my, " + ", ".join(f"a{i} / n AS a{i}, c{i} / n - (a{i} / n) * (y / n) AS c{i}" for i in range(K)) + ", " + ", ".join(
+    f"g{i}_{j} / n - (a{i} / n) * (a{j} / n) AS g{i}_{j}" for i in range(K) for j in range(i, K)) + " FROM x_lasso_left"
+CTES["x_penalties"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {a!r}::DOUBLE)" for i, a in enumerate(PENALTIES)) + ") AS v(p, alpha)"
+
+
+def _g(i: int, j: int) -> str:
+    return f"g{min(i, j)}_{max(i, j)}"
+
+
+def _sweep() -> str:
+    """One turn of coordinate descent: each level replaces one coefficient, given those before it."""
+    level = "(SELECT b.Sector AS s, b.fold AS f, b.p AS q, b.step, alpha, " + ", ".join(f"b{i}" for i in range(K)) + ", g.* FROM x_lasso_b b JOIN x_lasso_cov g ON b.Sector = g.Sector AND b.fold = g.fold JOIN x_penalties w ON b.p = w.p WHERE b.step < " + str(SWEEPS) + ")"
+    for i in range(K):
+        rho = f"(c{i} - (" + " + ".join(f"{_g(i, j)} * b{j}" for j in range(K) if j != i) + "))"
+        level = f"(SELECT * REPLACE (sign(r) * greatest(abs(r) - alpha, 0) / d AS b{i}) FROM (SELECT * EXCLUDE (r, d), {rho} AS r, CASE WHEN {_g(i, i)} > 0 THEN {_g(i, i)} ELSE 1 END AS d FROM {level if i else level.replace('g.*', 'g.*, 0.0::DOUBLE AS r, 0.0::DOUBLE AS d')}))"
+    return f"SELECT s, f, q, step + 1, {', '.join(f'b{i}' for i in range(K))} FROM {level}"
+
+
+CTES["x_lasso_b"] = f"""SELECT c.Sector, c.fold, p, 0 AS step, {", ".join(f"0.0::DOUBLE AS b{i}" for i in range(K))} FROM x_lasso_cov c, x_penalties UNION ALL {_sweep()}"""
+_error = "yy - 2 * (" + " + ".join(["i0 * y", *(f"b{i} * c{i}" for i in range(K))]) + ") + n * i0 * i0 + 2 * i0 * (" + " + ".join(f"b{i} * a{i}" for i in range(K)) + ") + " + " + ".join(
+    f"{'' if i == j else '2 * '}b{i} * b{j} * g{i}_{j}" for i in range(K) for j in range(i, K))
+CTES["x_lasso_fit"] = "SELECT b.*, my - (" + " + ".join(f"a{i} * b{i}" for i in range(K)) + f") AS i0, {' + '.join(f'CAST(b{i} <> 0 AS INTEGER)' for i in range(K))} AS kept FROM x_lasso_b b JOIN x_lasso_cov g ON b.Sector = g.Sector AND b.fold = g.fold WHERE step = {SWEEPS}"
+CTES["x_lasso_loss"] = f"""SELECT Sector, p, avg(e / v) AS loss FROM (SELECT b.Sector, p, {_error} AS e, yy - y * y / n AS v
+    FROM x_lasso_fit b JOIN x_lasso_folds t ON b.Sector = t.Sector AND b.fold = t.fold) GROUP BY Sector, p"""
+CTES["x_lasso"] = """SELECT f.*, alpha, loss FROM x_lasso_fit f JOIN x_lasso_loss l ON f.Sector = l.Sector AND f.p = l.p JOIN x_penalties w ON f.p = w.p WHERE f.fold = 0
+    QUALIFY row_number() OVER (PARTITION BY f.Sector ORDER BY greatest(3 - kept, kept - 5, 0), loss, f.p) = 1"""
+CTES["x_lasso_coef"] = " UNION ALL ".join(f"SELECT Sector, '{n}' AS Feature, b{i} AS FI FROM x_lasso WHERE b{i} <> 0" for i, n in enumerate(CANDIDATES))
+
+
+def validated_models(m: Market):
+    from panelforge.sources.readers import between
+    return MO.fit_lasso_validated(between(m.model_target, *TRAIN), m.candidates, CANDIDATES, penalties=PENALTIES, folds=FOLDS)
+
+
+@query("sector_penalties", "J3", "SELECT Sector, alpha * 1e6 AS Micro, CAST(kept AS BIGINT) AS Features, loss AS Loss, kept BETWEEN 3 AND 5 AS InRange, (SELECT string_agg(Feature, ' ' ORDER BY Feature) FROM x_lasso_coef c WHERE c.Sector = x_lasso.Sector) AS Kept FROM x_lasso", "Micro:3 Loss:5")
+def sector_penalties(m: Market):
+    """Each sector's penalty, the features it keeps out of all candidates, and its held-out error."""
+    models = validated_models(m)
+    names = F.array(*[F.lit(c) for c in CANDIDATES])
+    kept = F.array_sort(F.transform(F.filter(F.arrays_zip(names.alias("n"), F.col("Coef").alias("c")), lambda z: z["c"] != 0), lambda z: z["n"]))
+    return models.select("Sector", (F.col("Alpha") * 1e6).alias("Micro"), "Features", "Loss", (F.col("Status") == "ok").alias("InRange"), F.when(F.size(kept) > 0, F.array_join(kept, " ")).alias("Kept"))
+
+
+@query("sector_lasso_importances", "J3 J4", "SELECT Sector, Feature, FI * 1e4 AS FI FROM x_lasso_coef", "FI:4")
 def sector_lasso_importances(m: Market):
-    target, features = model_inputs(m)
-    return MO.feature_importances(MO.fit_lasso(target, features, FEATURES), FEATURES)
+    """Coefficients that are not zero, in units of 1e-4 of return for a standard deviation."""
+    return MO.feature_importances(validated_models(m), CANDIDATES).withColumn("FI", F.col("FI") * 1e4)
 
 
-@query("sector_lasso_predictions", "J3 J6")
+@query("sector_lasso_predictions", "J3 J6", f"""
+    SELECT c.Date, c.Sector, (i0 + {" + ".join(f"({n} - mu{i}) / sd{i} * b{i}" for i, n in enumerate(CANDIDATES))}) * 1e4 AS Pred, Target
+    FROM x_candidates c LEFT JOIN x_lasso l ON c.Sector = l.Sector LEFT JOIN x_lasso_scale s ON c.Sector = s.Sector LEFT JOIN x_residual t ON c.Date = t.Date AND c.Sector = t.Sector
+    WHERE c.Date BETWEEN DATE '{TEST[0]}' AND DATE '{TEST[1]}'""", "Pred:2 Target:7")
 def sector_lasso_predictions(m: Market):
-    """A row for every sector and day; the prediction is null where a feature is."""
-    target, features = model_inputs(m)
-    ds = D.train_test(target, features, TRAIN, TEST, keep=FEATURES)
-    models = MO.fit_lasso(ds.target_train, ds.features_train, FEATURES)
-    return MO.predict_lasso(models, ds.features_test, FEATURES, ds.target_test)
+    """A row for every sector and day of the test range, in units of 1e-4; the prediction is null where a feature is."""
+    from panelforge.sources.readers import between
+    found = MO.predict_lasso(validated_models(m), between(m.candidates, *TEST), CANDIDATES, m.model_target)
+    return found.withColumn("Pred", F.col("Pred") * 1e4)
 
 
 @query("boosted_tree_predictions", "J5 J13")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import windows as P
@@ -23,6 +23,7 @@ from panelforge.operators import features as FE
 from panelforge.operators import marketcap as MC
 from panelforge.operators import preprocess as PP
 from panelforge.operators import sector_index as SI
+from panelforge.operators import walkforward as WF
 from panelforge.session import reuse, tune
 
 # Names of the cross-asset series, by line number and line status.
@@ -195,18 +196,36 @@ class Market:
         """Sector daytime return on a 1e-9 grid, so that quiet days tie exactly."""
         return PP.daytime_target(self.index).withColumn("Target", F.round("Target", 9))
 
+    @cached_property
+    def model_target(self) -> DataFrame:
+        """What models learn: the target less the day's mean over all sectors, from whole numbers of 1e-9, so it is exact."""
+        day = Window.partitionBy("Date")
+        units = F.round(F.col("Target") * 1e9).cast("long")
+        n = F.count(units).over(day)
+        return self.target.select("Date", "Sector", ((n * units - F.sum(units).over(day)).cast("double") / (n * 1e9)).alias("Target"))
+
+    @cached_property
+    def model_features(self) -> DataFrame:
+        """Yesterday's return, momentum and volatility of a sector, null where they are not known."""
+        from panelforge.operators import dataset as D
+        rows = FE.volatility(FE.momentum(self.index.select("Date", "Sector", "1d_return")), [5])
+        return reuse(D.lag_features(rows.select(
+            "Date", "Sector", F.col("1d_return").alias("r1"), F.col("5d_mom").alias("m5"), F.col("21d_mom").alias("m21"), F.col("5d_vola").alias("v5"))))
+
+    def _walked(self, columns: list[str], months: int | None) -> DataFrame:
+        """Predictions of linear models that are refitted every month on the past, on a 1e-7 grid."""
+        out = WF.walk_forward_predictions(self.model_target, self.model_features, columns, months)
+        return out.withColumn("Pred", F.round("Pred", 7)).filter(F.col("Pred").isNotNull())
+
     @cached_property
     def predictions(self) -> DataFrame:
-        """Momentum as a prediction of the day's sector return."""
-        out = self.index.select(
-            "Date", "Sector", F.round(F.try_divide(F.col("Close"), F.col("Open")) - 1, 9).alias("Target"),
-            F.round(P.rolling_mean("1d_return", 5, "Sector", lag=1), 9).alias("Pred"))
-        return out.filter(F.col("Pred").isNotNull())
+        """The model on return and week's momentum over all of the past, next to what it learns."""
+        return self._walked(["r1", "m5"], None).join(self.model_target, ["Date", "Sector"], "left").select("Date", "Sector", "Target", "Pred")
 
     @cached_property
     def slow_predictions(self) -> DataFrame:
-        out = self.index.select("Date", "Sector", F.round(P.rolling_mean("1d_return", 21, "Sector", lag=1), 9).alias("Pred"))
-        return out.filter(F.col("Pred").isNotNull())
+        """The model on month's momentum and volatility over the last 24 months."""
+        return self._walked(["m21", "v5"], 24)
 
     @cached_property
     def series(self) -> DataFrame:
@@ -220,6 +239,16 @@ class Market:
         rows = [(name, group, name != "NK225") for name, group in SERIES.values()]
         return self.spark.createDataFrame(rows, "Name string, Group string, is_adopted boolean")
 
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """What the sparse models choose from: yesterday's price features and the last known return of every series."""
+        from panelforge.operators import dataset as D
+        everything = self.catalogue.withColumn("is_adopted", F.lit(True))
+        wide = FE.widen_series(FE.series_returns(self.series, everything), SERIES_NAMES)
+        rows = FE.volatility(FE.momentum(self.index.select("Date", "Sector", "1d_return")), [5])
+        rows = rows.select("Date", "Sector", F.col("1d_return").alias("r1"), F.col("5d_mom").alias("m5"), F.col("21d_mom").alias("m21"), F.col("5d_vola").alias("v5"))
+        return reuse(D.lag_features(FE.merge_features(wide.withColumnsRenamed({n + FE.SUFFIX: n for n in SERIES_NAMES}), rows)))
+
     @cached_property
     def fills(self) -> DataFrame:
         """Brokerage fills: each line opens a position, and closes it the same day."""

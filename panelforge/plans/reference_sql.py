@@ -134,8 +134,29 @@ INDEX_FROM_BASE = """SELECT *, coalesce(Close * MarketCapOpen / nullif(MarketCap
     SELECT *, MarketCapClose / nullif(lag(MarketCapClose) OVER (PARTITION BY Sector ORDER BY Date) + CorrectionValue, 0) - 1 AS "1d_return" FROM {base})))"""
 CTES["x_index"] = INDEX_FROM_BASE.format(base="x_index_base")
 CTES["x_target"] = "SELECT Date, Sector, round(Close / nullif(Open, 0) - 1, 9) + 0.0 AS Target FROM x_index"
-CTES["x_pred"] = f"""SELECT * FROM (SELECT Date, Sector, round(Close / nullif(Open, 0) - 1, 9) + 0.0 AS Target, round({band('avg', '"1d_return"', 5, 1)}, 9) + 0.0 AS Pred FROM x_index) WHERE Pred IS NOT NULL"""
-CTES["x_slow"] = f"""SELECT * FROM (SELECT Date, Sector, round({band('avg', '"1d_return"', 21, 1)}, 9) + 0.0 AS Pred FROM x_index) WHERE Pred IS NOT NULL"""
+CTES["x_feat"] = f"""SELECT Date, Sector, lag(r1) OVER w AS r1, lag(m5) OVER w AS m5, lag(m21) OVER w AS m21, lag(v5) OVER w AS v5 FROM (
+    SELECT Date, Sector, "1d_return" AS r1, {band('avg', '"1d_return"', 4, 1)} AS m5, {band('avg', '"1d_return"', 16, 5)} AS m21, {band('stddev_samp', '"1d_return"', 4, 1)} AS v5 FROM x_index)
+    WINDOW w AS (PARTITION BY Sector ORDER BY Date)"""
+CTES["x_residual"] = """SELECT Date, Sector, CAST(count(u) OVER d * u - sum(u) OVER d AS DOUBLE) / (count(u) OVER d * 1e9) AS Target
+  FROM (SELECT Date, Sector, CAST(round(Target * 1e9) AS BIGINT) AS u FROM x_target) WINDOW d AS (PARTITION BY Date)"""
+
+
+def _walked(x1: str, x2: str, frame: str) -> str:
+    """Two-feature least squares in closed form, refitted every month on the months of the frame."""
+    sums = {"n": "1.0", "a": "a", "b": "b", "y": "y", "aa": "a * a", "ab": "a * b", "bb": "b * b", "ay": "a * y", "b_y": "b * y"}
+    return f"""WITH j AS (SELECT f.Date, f.Sector, year(f.Date) * 12 + month(f.Date) - 1 AS Month, {x1} AS a, {x2} AS b, t.Target AS y
+    FROM x_feat f LEFT JOIN x_residual t ON f.Date = t.Date AND f.Sector = t.Sector),
+  m AS (SELECT Sector, Month, {", ".join(f"coalesce(sum({v}) FILTER (a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL), 0) AS s_{k}" for k, v in sums.items())} FROM j GROUP BY Sector, Month),
+  p AS (SELECT Sector, Month, {", ".join(f"sum(s_{k}) OVER w AS {k}" for k in sums)} FROM m WINDOW w AS (PARTITION BY Sector ORDER BY Month RANGE BETWEEN {frame} PRECEDING AND 1 PRECEDING)),
+  c AS (SELECT Sector, Month, a / n AS ma, b / n AS mb, y / n AS my, aa / n - (a / n) * (a / n) AS caa, ab / n - (a / n) * (b / n) AS cab, bb / n - (b / n) * (b / n) AS cbb,
+      ay / n - (a / n) * (y / n) AS cay, b_y / n - (b / n) * (y / n) AS cby FROM p WHERE n >= 60),
+  k AS (SELECT *, caa > 0 AND cbb > 0 AND 1 - cab * cab / nullif(caa * cbb, 0) > 1e-10 AS regular, caa * cbb - cab * cab AS det FROM c),
+  w AS (SELECT Sector, Month, ma, mb, my, CASE WHEN regular THEN (cay * cbb - cby * cab) / det ELSE 0 END AS wa, CASE WHEN regular THEN (caa * cby - cab * cay) / det ELSE 0 END AS wb FROM k)
+  SELECT * FROM (SELECT j.Date, j.Sector, y AS Target, round(my + (a - ma) * wa + (b - mb) * wb, 7) + 0.0 AS Pred FROM j JOIN w ON j.Sector = w.Sector AND j.Month = w.Month) WHERE Pred IS NOT NULL"""
+
+
+CTES["x_pred"] = _walked("r1", "m5", "UNBOUNDED")
+CTES["x_slow"] = f"SELECT Date, Sector, Pred FROM ({_walked('m21', 'v5', '24')})"
 _names = " ".join(f"WHEN '{n}{s}' THEN '{name}'" for (n, s), (name, _) in SERIES.items())
 CTES["x_series"] = f"""SELECT Name, Date, {QUOTE} FROM (SELECT *, CASE CAST(num AS VARCHAR) || status {_names} END AS Name FROM x_lines) WHERE Name IS NOT NULL GROUP BY Name, Date"""
 _rows = ", ".join(f"('{name}', '{group}', {str(name != 'NK225').lower()})" for name, group in SERIES.values())

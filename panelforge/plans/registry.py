@@ -71,8 +71,11 @@ def with_ctes(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in CTES if n in needed]
+    recursive = {n for n in needed if re.search(rf"\b{n}\b", CTES[n])}
+    parts = [f"{n} AS {'' if n in recursive else 'MATERIALIZED '}({CTES[n]})" for n in CTES if n in needed]
     body = body.strip()
+    if recursive and not body.startswith("WITH RECURSIVE "):
+        body = body.replace("WITH ", "WITH RECURSIVE ", 1) if body.startswith("WITH ") else "WITH RECURSIVE x_none AS (SELECT 1)\n" + body
     for opening in ("WITH RECURSIVE ", "WITH "):
         if body.startswith(opening):
             return opening + ",\n".join(parts) + ",\n" + body[len(opening):]
