@@ -53,13 +53,16 @@ def test_latest_row_per_key_is_trimmed_before_the_shuffle(spark):
 def test_days_with_null_features_keep_their_prediction_row(spark):
     import datetime as dt
     import random
-    from types import SimpleNamespace
 
     from panelforge.plans import catalog_learning as CL
+    from panelforge.plans.market import SERIES_NAMES, Market
     rng = random.Random(3)
     days = [dt.date(1999, 10, 1) + dt.timedelta(days=i) for i in range(140)]
     rows = [(d, s, None if s == "A" and d == dt.date(2000, 1, 20) else rng.gauss(0, 0.01), 100.0, 100.0 + rng.gauss(0, 1)) for d in days for s in ("A", "B")]
-    market = SimpleNamespace(index=spark.createDataFrame(rows, "Date date, Sector string, `1d_return` double, Open double, Close double"))
+    market = Market(spark, SF)
+    market.__dict__["index"] = spark.createDataFrame(rows, "Date date, Sector string, `1d_return` double, Open double, Close double")
+    quotes = [(n, d, 100.0 + rng.gauss(0, 1)) for d in days for n in SERIES_NAMES]
+    market.__dict__["series"] = spark.createDataFrame(quotes, "Name string, Date date, Close double")
     keys = {(d, s) for d in days for s in ("A", "B") if d >= dt.date(2000, 1, 1)}
     linear = {(r.Date, r.Sector): r.Pred for r in CL.sector_lasso_predictions(market).collect()}
     trees = {(r.Date, r.Sector): r.Pred for r in CL.boosted_tree_predictions(market).collect()}
