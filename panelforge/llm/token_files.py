@@ -9,11 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.grams import sliced
 from panelforge.llm.wavelet import TokenFile, write_file
 from panelforge.session import shared_folder, stage
 
@@ -21,8 +21,12 @@ from panelforge.session import shared_folder, stage
 END = 1
 #: Ids in a file, at most; a longer document has a file of its own.
 FILE_IDS = 1 << 23
-#: Words and bytes of words whose ids a task remembers, at most.
-KNOWN_WORDS, KNOWN_BYTES = 1 << 18, 1 << 26
+#: Words whose ids a task remembers, at most, and bytes of such a word.
+KNOWN_WORDS, LONGEST_KNOWN = 1 << 19, 64
+#: Bytes of text that are encoded at a time, about.
+TOGETHER = 1 << 24
+#: Stands between words that are encoded together; a boundary that every such vocabulary makes.
+MARK, AFTER_LETTERS = "\x01", r"([a-z])([!-@\[-`{-~])"
 #: Sums of files that pass through the driver, at most.
 GROUPS = 1024
 
@@ -40,42 +44,101 @@ def id_kind(vocabulary: str) -> str:
     return "<u2" if max(_tokenizer(vocabulary).get_vocab_size(), END + 1) <= 1 << 16 else "<u4"
 
 
-def word_encoder(vocabulary: str) -> Callable[[list[bytes]], list[bytes]]:
-    """Encodes texts, given as UTF-8, to ids without added special tokens, as bytes of ``id_kind``.
+@lru_cache(maxsize=1)
+def word_encoder(vocabulary: str) -> Callable[[pa.Array, int | None], tuple[np.ndarray, np.ndarray]]:
+    """Encodes an array of texts to ids without added special tokens, ``end`` after each text if given: all ids, and where each text's end.
 
-    For vocabularies that drop white space and merge only within words: a text's ids are then those of its words, cut at ASCII
-    white space, in order. Each distinct word goes through the tokenizers library once while it is remembered.
+    For vocabularies that drop white space and case, part letters from what follows them, and merge only within a run of letters: a
+    text's ids are then those of its pieces in order, cut at ASCII white space and after an ASCII letter before an ASCII mark or
+    digit. Texts that may hold a special string go through the library whole. A piece goes through it once while it is remembered,
+    many pieces at a time with a mark between them; a Python worker remembers from task to task.
     """
-    tokenizer, kind = _tokenizer(vocabulary), id_kind(vocabulary)
-    known: dict[bytes, bytes] = {}
-    held = 0
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        nonlocal held
-        if len(known) > KNOWN_WORDS or held > KNOWN_BYTES:
+    tokenizer, kind = _tokenizer(vocabulary), np.dtype(id_kind(vocabulary))
+    known: dict[str, bytes] = {"": b""}
+    again: set[str] = set()
+    plain = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    mark = plain([MARK])[0]
+    opening = sorted({t.content[:2] for t in tokenizer.get_added_tokens_decoder().values()})
+
+    def learn(words: list[str]) -> None:
+        safe = [w for w in words if MARK not in w] if len(mark) == 1 else []
+        for at in range(0, len(safe), 256):
+            some = safe[at : at + 256]
+            ids = np.array(plain([f" {MARK} ".join(some)])[0], dtype=kind)
+            ends = np.append(np.flatnonzero(ids == mark[0]), len(ids)) * kind.itemsize
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary does not keep words apart")
+            raw, start = ids.tobytes(), 0
+            for word, stop in zip(some, ends.tolist(), strict=True):
+                known[word] = raw[start:stop]
+                start = stop + kind.itemsize
+        rest = words if len(mark) != 1 else [w for w in words if MARK in w]
+        for word, ids in zip(rest, plain(rest), strict=True):
+            known[word] = np.array(ids, dtype=kind).tobytes()
+
+    def of_words(words: list[str]) -> list[bytes]:
+        nonlocal again
+        if len(known) + len(words) > KNOWN_WORDS:  # words that came in several batches stay
+            kept = {w: known[w] for w in again if len(w) <= LONGEST_KNOWN} if len(again) < KNOWN_WORDS // 2 else {}
             known.clear()
-            held = 0
-        split = [raw.split() for raw in texts]
-        new = sorted(set().union(*split).difference(known))
-        for word, found in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, dtype=kind).tobytes()
-            held += len(word)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            known.update(kept)
+            again = set()
+        new = [w for w in words if w not in known]
+        again.update(set(words).difference(new))
+        learn(new)
+        found = [known[w] for w in words]
+        for word in new:
+            if len(word) > LONGEST_KNOWN:
+                del known[word]
+        return found
+
+    def encode(texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        whole = np.zeros(len(texts), dtype=bool)
+        for o in opening:
+            whole |= pc.match_substring(texts, o).to_numpy(zero_copy_only=False)
+        apart = pc.replace_substring_regex(pc.ascii_lower(pc.if_else(pa.array(whole), "", texts)), AFTER_LETTERS, r"\1 \2")
+        lists = pc.ascii_split_whitespace(apart)
+        coded = lists.flatten().dictionary_encode()
+        parts = of_words(coded.dictionary.to_pylist())
+        special = np.flatnonzero(whole)
+        parts += [np.array(ids, dtype=kind).tobytes() for ids in plain(texts.take(pa.array(special)).to_pylist())]
+        first_special = len(coded.dictionary)
+        parts.append(b"" if end is None else np.array([end], dtype=kind).tobytes())
+        # Word numbers of all texts in order; a text taken whole is one word more, and every text has its end.
+        starts = lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]
+        order = np.insert(coded.indices.to_numpy(), np.concatenate([starts[special], starts]),
+                          np.concatenate([first_special + np.arange(len(special)), np.full(len(starts), len(parts) - 1)]).astype(np.int32))
+        sizes = np.array([len(p) // kind.itemsize for p in parts], dtype=np.int64)
+        table = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(np.frombuffer(b"".join(parts), dtype=kind)))
+        ids = table.take(pa.array(order)).flatten().to_numpy()
+        ends = np.cumsum(sizes[order])[np.flatnonzero(order == len(parts) - 1)] if len(order) else np.zeros(0, dtype=np.int64)
+        return ids, ends
     return encode
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``TOGETHER`` bytes, so that fewer of a batch's words have come before."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= TOGETHER:
+            yield pa.concat_batches(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.concat_batches(held)
+
+
 def encoded(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
     """``doc_id, tie, n, ids`` of every row: the ids and the end as bytes of ``id_kind``; ``tie`` orders rows of one doc_id by their text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind = word_encoder(vocabulary), np.dtype(id_kind(vocabulary))
-        last = np.array([end], dtype=kind).tobytes()
-        for batch in sliced(batches, 64):
-            found = [ids + last for ids in encode([t or b"" for t in batch.column("raw").to_pylist()])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tie"), pa.array([len(f) // kind.itemsize for f in found], pa.int64()), pa.array(found, pa.binary())],
-                ["doc_id", "tie", "n", "ids"])
+        encode, width = word_encoder(vocabulary), np.dtype(id_kind(vocabulary)).itemsize
+        for batch in _gathered(batches):
+            ids, ends = encode(batch.column("text"), end)
+            places = np.concatenate([[0], ends])
+            raw = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer((places * width).tobytes()), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(np.diff(places)), raw], ["doc_id", "tie", "n", "ids"])
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.cast("binary").alias("raw")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(
         run, "doc_id long, tie long, n long, ids binary")
 
 
@@ -148,6 +211,11 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
         "pathGlobFilter", "*.wm").load(folder).select("path")
 
 
+def _one_a_task(files: DataFrame) -> DataFrame:
+    """Files are dealt out anew, as their table is far smaller than what is read from them."""
+    return files.repartition(max(1, min(files.count(), 1 << 16)))
+
+
 def _over_files(files: DataFrame, read: Callable[[TokenFile, dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """What ``read`` makes of every file, given the file and its row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,14 +259,14 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[at : at + some], mask=null[at : at + some]), pa.array(row["first"] + a), pa.array(lengths[at : at + some]), found],
                 ["doc_id", "start", "n_tokens", "ids"])
-    return _over_files(file_starts(spark, folder), read, "doc_id long, start long, n_tokens long, ids binary")
+    return _over_files(_one_a_task(file_starts(spark, folder)), read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def count_tokens(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
     """``token, n``: how often each of a few tokens occurs, by two ranks a plane and file; nothing is decoded."""
     def read(file: TokenFile, row: dict) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([file.rank(t) for t in tokens], pa.int64())], ["token", "n"])
-    return _over_files(_files(spark, folder), read, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return _over_files(_one_a_task(_files(spark, folder)), read, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def find_token(spark: SparkSession, folder: str, token: int) -> DataFrame:
@@ -212,7 +280,7 @@ def find_token(spark: SparkSession, folder: str, token: int) -> DataFrame:
             first = ends[doc] - lengths[doc]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[doc], mask=null[doc]), pa.array(row["first"] + first), pa.array(places - first)], ["doc_id", "start", "position"])
-    return _over_files(file_starts(spark, folder), read, "doc_id long, start long, position long")
+    return _over_files(_one_a_task(file_starts(spark, folder)), read, "doc_id long, start long, position long")
 
 
 def public_word_vocabulary() -> str:

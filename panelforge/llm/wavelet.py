@@ -34,9 +34,9 @@ def planes_of(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     """The bit-planes of ids below ``2**bits``, highest first, as arrays of booleans."""
     found = []
     for b in range(bits - 1, -1, -1):
-        plane = (ids >> ids.dtype.type(b)) & ids.dtype.type(1) != 0
+        plane = (ids & ids.dtype.type(1 << b)).astype(bool)
         found.append(plane)
-        ids = np.concatenate([ids[~plane], ids[plane]])
+        ids = np.concatenate([np.compress(~plane, ids), np.compress(plane, ids)])
     return found
 
 
@@ -174,7 +174,7 @@ class TokenFile:
             raw = np.concatenate([self._bytes(plane, b) for b in range(blocks)]) if blocks else np.zeros(0, dtype=np.uint8)
             bits = np.unpackbits(raw, bitorder="little", count=self.n).view(bool)
             zeros, above = self.n - int(bits.sum()), np.empty(self.n, dtype="<u4")
-            above[~bits] = ids[:zeros]
-            above[bits] = ids[zeros:] | np.uint32(1 << (self.bits - 1 - plane))
+            above[np.flatnonzero(~bits)] = ids[:zeros]
+            above[np.flatnonzero(bits)] = ids[zeros:] | np.uint32(1 << (self.bits - 1 - plane))
             ids = above
         return ids

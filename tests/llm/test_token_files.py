@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,10 +65,12 @@ def test_words_encode_as_whole_texts():
     alphabet = ["a", "B", "'s", "'LL", "é", "é", "́", "ß", "İ", "Σ", "ς", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", " ", "　", "中", "한",
                 "ᄒ", "ᅡ", "1", "²", "…", "<|endoftext|>", "<|startoftext|>", "<|", "_", "🙂", "‍", "\x00"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(4000)] + ["", " ", "x" * 5000]
-    kind = T.id_kind(T.public_word_vocabulary())
-    got = T.word_encoder(T.public_word_vocabulary())([t.encode() for t in texts])
-    for text, ids in zip(texts, got, strict=True):
-        assert np.frombuffer(ids, kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    encode = T.word_encoder(T.public_word_vocabulary())
+    for some in (texts, texts[:1], ["<|endoftext|>"], ["\x01 a\x01b"], [""], []):
+        ids, ends = encode(pa.array(some, pa.string()), T.END)
+        assert len(ends) == len(some)
+        for text, start, end in zip(some, [0, *ends.tolist()], ends.tolist(), strict=False):
+            assert ids[start:end].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, T.END]
 
 
 def table(spark):
