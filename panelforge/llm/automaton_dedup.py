@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from panelforge.llm.columns import put_back, set_aside
 from panelforge.llm.grams import word_hashes, word_spans
 from panelforge.llm.repeats import merged, repeated_spans
 
@@ -131,9 +133,9 @@ def remove_repeated_windows(docs: DataFrame, length: int = LENGTH, trigger: int
     first) or before in the same one; words are separated by ASCII white space and compared unchanged. A null text has no words
     and stays null. Rows equal in doc_id and text are one document and share a result; rows of one doc_id with different texts
     are ordered by the texts' hash. The digest is over the kept words joined by one space; the new text keeps the
-    white space inside each kept stretch. Other columns stay, except that names starting with an underscore are reserved.
+    white space inside each kept stretch. Other columns stay, whatever their names; one that has the name of an output is replaced.
     """
-    plain = docs if with_text else docs.select("doc_id", "text")
+    plain = set_aside(docs, ["doc_id", "text"]) if with_text else docs.select("doc_id", "text")
     spans = repeated_spans(plain.withColumn("_null", F.col("text").isNull()), word_hashes, word_cutter,
                            lambda p, i, s, n, b: settle_words(p, i, s, n, b, length), length, trigger)
     rest = [c for c in plain.columns if c != "text"]
@@ -151,9 +153,10 @@ def remove_repeated_windows(docs: DataFrame, length: int = LENGTH, trigger: int
                 arrays.append(pa.array([None if none else _original(raw, keep).decode() for raw, none, (_, keep) in zip(
                     raws, batch.column("_null").to_pylist(), done, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, [*rest, "n_words", "n_removed", "kept_sha256", *["text"] * with_text])
-    kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + ["n_words long, n_removed long, kept_sha256 string"] + ["text string"] * with_text)
-    return spans.select(*rest, "_raw", "_spans", "_null").mapInArrow(run, schema)
+    added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), *[("text", T.StringType())] * with_text]
+    schema = T.StructType([plain.schema[c] for c in rest] + [T.StructField(*field) for field in added])
+    done = spans.select(*rest, "_raw", "_spans", "_null").mapInArrow(run, schema)
+    return put_back(done, docs.columns, ["doc_id", "text"], ["n_words", "n_removed", "kept_sha256"]) if with_text else done
 
 
 def op6_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelforge.llm.columns import put_back, set_aside
 from panelforge.llm.grams import BASE, mix, rolled, sliced, word_hashes
 from panelforge.llm.repeats import identified
 from panelforge.llm.spread import components, heavy_limit, join_spread
@@ -266,8 +267,7 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, width: int
     shingle and no link. Rows equal in doc_id and text are one document. An empty table gives an empty result. Other columns stay,
     whatever their names; a column that has one of the three names is replaced.
     """
-    docs = docs.drop("_id", "n_shingles", "component")
-    known = identified(docs)
+    known = identified(set_aside(docs, ["doc_id", "text"]))
     texts = known.select(F.col("_id").alias("id"), F.col("text").cast("binary").alias("raw"))
     sets, sketch = set_sizes(texts, width)
     held = sets.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids")).first()
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, width: int
     equal = join_spread(full, first, ["n", "s1", "s2"], held.ids).filter("id <> a").select("a", F.col("id").alias("b"))
     links = equal.unionByName(light_links(listed)).unionByName(heavy_links(listed, sets, texts, least, width))
     wide = sets.join(components(sets, links), "id").select(F.col("id").alias("_of"), F.col("n").alias("n_shingles"), "component")
-    return known.join(wide, known["_id"] == wide["_of"]).drop("_of")
+    return put_back(known.join(wide, known["_id"] == wide["_of"]), docs.columns, ["doc_id", "text"], ["_id", "n_shingles", "component"])
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

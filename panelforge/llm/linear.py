@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelforge.llm.columns import put_back, set_aside
 from panelforge.llm.grams import sliced
 
 
@@ -60,13 +61,16 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[list[np.ndarray], np.ndarray
 
 
 def score_documents(docs: DataFrame, score: Callable[[bytes], float]) -> DataFrame:
-    """Adds ``score`` to every row of ``docs``; a null text is scored as the empty one. The model travels with the function."""
-    plain = docs.withColumn("_raw", F.col("text").cast("binary"))
-    rest = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    """Adds ``score`` to every row of ``docs``; a null text is scored as the empty one. The model travels with the function.
+
+    Other columns stay, whatever their names; a column ``score`` is replaced.
+    """
+    plain = set_aside(docs, ["text"])
+    rest = plain.columns
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            scores = pa.array([score(t or b"") for t in batch.column("_raw").to_pylist()], pa.float64())
+            scores = pa.array([score((t or "").encode()) for t in batch.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [scores], [*rest, "score"])
-    return plain.mapInArrow(run, schema)
+    return put_back(plain.mapInArrow(run, schema), docs.columns, ["text"], ["score"])

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelforge.llm.columns import put_back, set_aside
 from panelforge.session import stage
 
 BLOCKS = 1024
@@ -82,8 +83,11 @@ def temperature_mix(docs: DataFrame, target_entropy: float | None = None, max_re
     ``docs`` has ``doc_id``, ``source`` and ``tokens``. Without a ``budget`` in tokens the smallest one is taken that shows every
     document at least once. Blocks are dealt by the hash of doc_id, so a source's realised tokens are within one block of its
     budget. ``block_rank`` is the block's place in its epoch's permutation. A null source is a source. Documents of sources without
-    tokens weigh nothing and are shown once, with weight 0. Equal rows are dealt alike. An empty table gives an empty mix.
+    tokens weigh nothing and are shown once, with weight 0. Equal rows are dealt alike. An empty table gives an empty mix. Other
+    columns stay, whatever their names; one that has the name of an output is replaced.
     """
+    columns, used = docs.columns, ["doc_id", "source", "tokens"]
+    docs = set_aside(docs, used)
     shares = source_shares(docs)
     totals = shares.agg(F.sum("tokens").alias("t")).first()
     tokens = totals["t"] or 0
@@ -111,7 +115,7 @@ def temperature_mix(docs: DataFrame, target_entropy: float | None = None, max_re
     rest = (F.col("_passes") - F.col("_full")) * F.col("_all")
     plan = plan.filter((F.col("epoch") < F.col("_full")) | (F.col("_before") < rest - 1e-6)).select(
         "source", "_block", "weight", "epoch", "block_rank")
-    return _null_safe(dealt, plan, "_block").drop("_block")
+    return put_back(_null_safe(dealt, plan, "_block"), columns, used, ["weight", "epoch", "block_rank"])
 
 
 def _null_safe(left: DataFrame, right: DataFrame, *also: str) -> DataFrame:

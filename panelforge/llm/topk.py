@@ -43,6 +43,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
+def _whole(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
+
+
 def _distances(rows: np.ndarray, pivots: np.ndarray, longest: float) -> np.ndarray:
     """Distances in the space with the extra coordinate; ``pivots`` have it already."""
     square = (rows**2).sum(axis=1)
@@ -54,18 +58,25 @@ def _distances(rows: np.ndarray, pivots: np.ndarray, longest: float) -> np.ndarr
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row of ``queries`` the k best other rows of ``vectors``, ties to the smaller id.
 
-    Both have ``vec_id`` and an integer array ``v``. Exact: scores are integers, and bounds are widened by more than rounding.
-    Fewer rows than k give fewer results. Repeated rows of ``vectors`` count once each and share their id.
+    Both have ``vec_id`` and an integer array ``v``. Exact: scores are whole numbers, multiplied in 64 bits where a double could round,
+    and bounds are widened by more than rounding. Vectors so long that a score could leave 64 bits are refused, as are vectors of
+    different dimensions. Fewer rows than k give fewer results. Repeated rows of ``vectors`` count once each and share their id; a
+    query of a repeated id counts once, with the smallest vector.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     stats = vectors.agg(
         F.max(F.aggregate("v", F.lit(0).cast("double"), lambda a, c: a + c.cast("double") * c)).alias("longest"),
-        F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"), F.count(F.lit(1)).alias("n")).first()
+        F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"), F.count(F.lit(1)).alias("n"), F.max(
+            F.aggregate("v", F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c.cast("double"))))).alias("most")).first()
     if not stats["n"]:
         return empty
     if stats["low"] != stats["high"]:
         raise ValueError("vectors differ in dimension")
+    largest = stats["high"] * (stats["most"] + 1) ** 2
+    if largest >= 1 << 62:
+        raise ValueError("components are too large for exact 64-bit scores")
+    product = _matrix if largest < 1 << 53 else _whole  # exact in doubles, or in integers
     longest = float(stats["longest"]) + 1.0
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
     base = np.unique(np.array([r.v for r in sample], dtype=np.float64), axis=0)
@@ -94,13 +105,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     parts = {(r.pivot, r.ring): max(1, -(-r.n // BLOCK)) for r in crowd.collect()}  # at most PIVOTS x RINGS rows
     counts = F.create_map(*[F.lit(x) for (p, g), c in sorted(parts.items()) for x in (p * RINGS + g, c)])
     cell = F.col("pivot") * RINGS + F.col("ring")
-    blocks = spread.withColumn("_part", F.pmod(F.xxhash64("vec_id", "d"), F.element_at(counts, cell)).cast("int")).groupBy(cell.alias("cell"), "_part").agg(
-        F.collect_list(F.struct("vec_id", "v")).alias("rows"))
+    blocks = stage(spread.withColumn("_part", F.pmod(F.xxhash64("vec_id", "d"), F.element_at(counts, cell)).cast("int")).groupBy(cell.alias("cell"), "_part").agg(
+        F.collect_list(F.struct("vec_id", "v")).alias("rows")).drop("_part"), "topk-blocks")
 
     def best(frame_queries: pa.Array, frame_rows: pa.Array) -> pd.DataFrame:
         """The k best of one block for one bundle of queries."""
-        qid, q = frame_queries.field("vec_id").to_numpy(), _matrix(frame_queries.field("v"))
-        rid, r = frame_rows.field("vec_id").to_numpy(), _matrix(frame_rows.field("v"))
+        qid, q = frame_queries.field("vec_id").to_numpy(), product(frame_queries.field("v"))
+        rid, r = frame_rows.field("vec_id").to_numpy(), product(frame_rows.field("v"))
         score = (q @ r.T).astype(np.int64)
         score[qid[:, None] == rid[None, :]] = np.iinfo(np.int64).min
         out = []
@@ -130,7 +141,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v")
+    asked = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     per_cell = max(1, -(-asked.count() // BUNDLE))
 
     def nearest_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
