@@ -18,9 +18,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose toxicity is 0.5 or more; null and empty texts stay."""
+    """Drops documents whose toxicity is 0.5 or more; null and empty texts stay, whatever the model says of them.
+
+    Equal rows share their fate; without labels every text stays; an empty table stays empty.
+    """
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity_scores(docs.select(*COLUMNS), model).filter(F.col("score") < 0.5).select(*COLUMNS)
+    if "bias" not in model:
+        return docs.select(*COLUMNS)
+    clean = (F.col("score") < 0.5) | (F.coalesce("text", F.lit("")) == "")
+    return toxicity_scores(docs.select(*COLUMNS), model).filter(clean).select(*COLUMNS)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
