@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import scalar as S
 from panelforge.functions import windows as P
-from panelforge.session import reuse
+from panelforge.operators import prefix as X
+from panelforge.session import reuse, stage
 
 LENDING, STANDARD = "貸借銘柄", "制度信用銘柄"
 NO_ORDERS = "受付不可"
@@ -237,9 +238,10 @@ def size_orders(weights: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def add_running_cost(orders: DataFrame) -> DataFrame:
-    """Cumulative cost per day and side."""
-    w = P.ordered(["Date", "Direction"], ["Sector", F.col("TotalCost").desc(), "Code"]).rowsBetween(Window.unboundedPreceding, 0)
-    return orders.withColumn("CumCost_byLS", F.sum("TotalCost").over(w))
+    """Cumulative cost per day and side, whatever the number of a day's orders."""
+    order = ["Sector", F.col("TotalCost").desc(), "Code"]
+    rows = X.ranged(orders, ["Date", "Direction", *order], "orders-by-cost")
+    return X.running_total(rows, ["Date", "Direction"], order, "TotalCost", "CumCost_byLS").select(*orders.columns, "CumCost_byLS")
 
 
 def net_orders(orders: DataFrame, keys: Sequence[str] = ("Date", "Code")) -> DataFrame:
@@ -265,9 +267,11 @@ def net_orders(orders: DataFrame, keys: Sequence[str] = ("Date", "Code")) -> Dat
 def admit_orders(orders: DataFrame, margin: Column | float, existing: DataFrame | None = None) -> DataFrame:
     """Walk a day's orders in order; one that exceeds the remaining margin is refused, an accepted one uses it up.
 
-    Codes with a standing order are skipped.  Orders larger than the whole margin can
-    never pass and are refused in the JVM; the rest runs per day, because every
-    decision depends on the earlier ones.
+    Codes with a standing order are skipped. The walk goes in phases over all days at once. While more than half of a phase's free
+    margin is left, every order up to half of it passes, so running totals of these tell what is free at each order; the phase ends at
+    the first larger order that still fits, or where half is used up. What lies before the end is settled, orders above the free margin
+    are refused for good, and the free margin has at least halved. Phases are as many as halvings from the margin to the smallest
+    order, and a day's orders need not fit into one task.
     """
     rows = orders.withColumn("_margin", margin if isinstance(margin, Column) else F.lit(float(margin)))
     if existing is not None:
@@ -275,18 +279,27 @@ def admit_orders(orders: DataFrame, margin: Column | float, existing: DataFrame
         rows = rows.join(marks, ["Date", "Code"], "left")
     else:
         rows = rows.withColumn("_dup", F.lit(None).cast("boolean"))
-    status = F.when(F.col("_dup"), "already ordered").when(F.col("UpperLimitTotal") > F.col("_margin"), "refused")
-    rows = rows.withColumn("Status", status).drop("_dup")
-    decided, pending = rows.filter("Status is not null"), rows.filter("Status is null")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["CumCost_byLS", "Direction", "Code"]).reset_index(drop=True)
-        left, out = float(pdf["_margin"].iloc[0]), []
-        for need in pdf["UpperLimitTotal"]:
-            ok = need <= left
-            left -= need if ok else 0.0
-            out.append("accepted" if ok else "refused")
-        return pdf.assign(Status=out)
-
-    walked = _spread(pending, ["Date"]).groupBy("Date").applyInPandas(walk, pending.schema)
-    return decided.unionByName(walked).drop("_margin")
+    need, free = F.col("UpperLimitTotal"), F.col("_free")
+    status = F.when(F.col("_dup"), "already ordered").when(need > F.col("_margin"), "refused")
+    order = ["CumCost_byLS", "Direction", "Code"]
+    pending = X.ranged(rows.withColumn("Status", status).drop("_dup"), ["Date", *order], "orders-in-turn")
+    left = stage(pending.groupBy("Date").agg(F.max("_margin").alias("_free")), "margin-left")  # a row a day
+    decided, pending = [pending.filter("Status is not null")], pending.filter("Status is null")
+    small, here = need * 2 <= free, F.struct(*order)
+    while pending.limit(1).count():
+        now = X.running_total(pending.join(left, "Date"), ["Date"], order, F.when(small, need), "_before", inclusive=False)
+        used = F.col("_before") + need
+        ends = F.when(small, (used * 2 >= free) & (used > 0)).otherwise(used <= free)
+        end = now.filter(ends).groupBy("Date").agg(F.min(F.struct(*order, used.alias("used"))).alias("_end"))
+        last = F.struct(*[F.col("_end")[c].alias(c) for c in order])
+        after = F.col("_end").isNotNull() & (here > last)
+        passed = F.when(small | (F.col("_end").isNotNull() & (here == last)), "accepted").otherwise("refused")
+        verdict = F.when(after & (need <= free - F.col("_end")["used"]), None).when(after, "refused").otherwise(passed)
+        done = stage(now.join(end, "Date", "left").withColumn("Status", verdict).drop("_before", "_end", "_free"), "orders-settled")
+        left = stage(left.join(end, "Date").select("Date", (F.col("_free") - F.col("_end")["used"]).alias("_free")), "margin-left")
+        decided.append(done.filter("Status is not null"))
+        pending = done.filter("Status is null")
+    out = decided[0]
+    for part in decided[1:]:
+        out = out.unionByName(part)
+    return out.select(*orders.columns, "Status")

@@ -171,26 +171,53 @@ def capped_units(m: Market):
     return PO.cap_units(draft(m)).select("Date", "Direction", "Sector", "Code", "Unit", "TotalCost", "isMaxUnit")
 
 
-@query("reduced_units", "L7", """
-    WITH c AS (SELECT *, least(Unit, MaxUnit) AS U, least(Unit, MaxUnit) * EstimatedCost AS T FROM x_draft),
-    s AS (SELECT *, sum(T) OVER (PARTITION BY Date, Direction, Sector) AS spent, ReductionRate >= 1 AND U > 0 AS cand FROM c),
-    f AS (SELECT *, coalesce(sum(EstimatedCost) OVER (PARTITION BY Date, Direction, Sector, cand ORDER BY ReductionRate DESC, Weight DESC, Code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM s)
-    SELECT Date, Direction, Sector, Code, U - CASE WHEN cand AND spent - freed > MaxCost THEN 1 ELSE 0 END AS Unit FROM f""", "Unit:3")
+CTES["x_reduced"] = """WITH c AS (SELECT * REPLACE (least(Unit, MaxUnit) AS Unit), Unit >= MaxUnit AS isMaxUnit FROM x_draft),
+  s AS (SELECT *, sum(Unit * EstimatedCost) OVER (PARTITION BY Date, Direction, Sector) AS spent, ReductionRate >= 1 AND Unit > 0 AS cand FROM c),
+  f AS (SELECT *, coalesce(sum(EstimatedCost) OVER (PARTITION BY Date, Direction, Sector, cand ORDER BY ReductionRate DESC, Weight DESC, Code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM s)
+  SELECT * EXCLUDE (spent, cand, freed) REPLACE (Unit - CASE WHEN cand AND spent - freed > MaxCost THEN 1 ELSE 0 END AS Unit) FROM f"""
+
+
+@query("reduced_units", "L7", "SELECT Date, Direction, Sector, Code, Unit FROM x_reduced", "Unit:3")
 def reduced_units(m: Market):
     return PO.reduce_to_budget(PO.cap_units(draft(m))).select("Date", "Direction", "Sector", "Code", "Unit")
 
 
+# Lots are added one at a time: a group's stocks are lists, a step is a row.
+CTES["x_groups"] = "SELECT Date, Direction, Sector, any_value(MaxCost) - sum(Unit * EstimatedCost) AS free, " + ", ".join(
+    f"list({c} ORDER BY Weight DESC, Code) AS {a}" for c, a in (("Code", "code"), ("EstimatedCost", "cost"), ("IdealCost", "ideal"), ("MaxUnit", "most"), ("Unit", "unit"), ("ReductionRate", "rate"), ("isMaxUnit", "isfull"))) + \
+    " FROM x_reduced GROUP BY Date, Direction, Sector"
+_open = "list_transform(range(1, len(g.cost) + 1), lambda i: CASE WHEN g.cost[i] <= s.free AND NOT s.isfull[i] THEN s.rate[i] END)"
+CTES["x_topups"] = f"""SELECT Date, Direction, Sector, 0 AS step, free, unit, rate, isfull FROM x_groups UNION ALL
+  SELECT Date, Direction, Sector, step + 1, free - cost[k], list_transform(range(1, len(cost) + 1), lambda i: CASE WHEN i = k THEN unit[i] + 1 ELSE unit[i] END),
+    list_transform(range(1, len(cost) + 1), lambda i: CASE WHEN i = k THEN abs(ideal[i] - (unit[i] + 1) * cost[i]) / greatest(abs(ideal[i] - (unit[i] + 2) * cost[i]), 1e-12) ELSE rate[i] END),
+    list_transform(range(1, len(cost) + 1), lambda i: CASE WHEN i = k THEN unit[i] + 1 >= most[i] ELSE isfull[i] END)
+  FROM (SELECT s.*, g.cost, g.ideal, g.most, list_position({_open}, list_min({_open})) AS k, list_min({_open}) AS least FROM x_topups s
+    JOIN x_groups g ON s.Date = g.Date AND s.Direction = g.Direction AND s.Sector = g.Sector) WHERE least IS NOT NULL"""
+UPPER = step_sql("EstimatedCost / 100", S.PRICE_LIMITS, False)
+CTES["x_sized"] = f"""SELECT t.Date, t.Code, CompanyName, t.Sector, CAST(u.Unit AS INTEGER) AS Unit, EstimatedCost, u.Unit * EstimatedCost AS TotalCost, (EstimatedCost / 100 + {UPPER}) * 100 AS UpperLimitCost,
+    (EstimatedCost / 100 + {UPPER}) * 100 * u.Unit AS UpperLimitTotal, t.Direction, isBorrowingStock
+  FROM (SELECT f.Date, f.Direction, f.Sector, unnest(code) AS Code, unnest(f.unit) AS Unit FROM (SELECT * FROM x_topups QUALIFY row_number() OVER (PARTITION BY Date, Direction, Sector ORDER BY step DESC) = 1) f
+    JOIN x_groups g ON f.Date = g.Date AND f.Direction = g.Direction AND f.Sector = g.Sector) u
+  JOIN x_tradable t ON t.Date = u.Date AND t.Direction = u.Direction AND t.Sector = u.Sector AND t.Code = u.Code WHERE u.Unit > 0"""
+
+
 def sized(m: Market):
     chosen = selected(m)
     return PO.size_orders(tradable(m, chosen), PO.sector_budgets(chosen, MARGIN))
 
 
-@query("sized_orders", "L5 L6 L7 L8")
+@query("sized_orders", "L5 L6 L7 L8", "SELECT * FROM x_sized")
 def sized_orders(m: Market):
     return sized(m)
 
 
-@query("admitted_orders", "L10 E31 A6")
+CTES["x_turns"] = """SELECT *, row_number() OVER (PARTITION BY Date ORDER BY CumCost_byLS, Direction, Code) AS n FROM (
+    SELECT *, sum(TotalCost) OVER (PARTITION BY Date, Direction ORDER BY Sector, TotalCost DESC, Code ROWS UNBOUNDED PRECEDING) AS CumCost_byLS FROM x_sized)"""
+CTES["x_walk"] = f"""SELECT Date, CAST(0 AS BIGINT) AS n, CAST({MARGIN / 2} AS DOUBLE) AS free, false AS ok FROM (SELECT DISTINCT Date FROM x_turns) UNION ALL
+  SELECT t.Date, t.n, CASE WHEN UpperLimitTotal <= free THEN free - UpperLimitTotal ELSE free END, UpperLimitTotal <= free FROM x_walk w JOIN x_turns t ON t.Date = w.Date AND t.n = w.n + 1"""
+
+
+@query("admitted_orders", "L10 E31", "SELECT t.* EXCLUDE (n), CASE WHEN ok THEN 'accepted' ELSE 'refused' END AS Status FROM x_turns t JOIN x_walk w ON t.Date = w.Date AND t.n = w.n")
 def admitted_orders(m: Market):
     """Half of the margin, so that a day's later orders run into the limit."""
     return PO.admit_orders(PO.add_running_cost(sized(m)), MARGIN / 2)
