@@ -194,19 +194,3 @@ def attach_listing(labels: DataFrame, listing: DataFrame) -> DataFrame:
     info = ["CompanyName", "MarketCodeName", "Sector33CodeName", "Sector17CodeName", "ScaleCategory", "Listing"]
     extra = [c for c in labels.columns if c != "Code"]
     return labels.join(listing, "Code", "left").select("Code", *info, *extra)
-
-
-def item_coordinates(panel: DataFrame, k: int, value: str = "Target", item: str = "Sector", n_components: int = 3) -> DataFrame:
-    """Items as rows in the space of the leading components of their cross-products over days."""
-    from panelforge.operators.preprocess import dense_matrix
-
-    dense = dense_matrix(panel, value, item)
-    per_day = dense.groupBy("Date").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(item, value))), lambda s: s[value]).alias("_x"))
-    g = L.to_matrix(L.gram(per_day, "_x", k).toPandas(), k)
-    centred = g - g.mean(0) - g.mean(1)[:, None] + g.mean()
-    values, axes = L.principal_axes(centred, n_components)
-    coords = axes * np.sqrt(values[: len(axes)])[:, None]
-    names = [r[0] for r in panel.select(item).distinct().orderBy(item).limit(L.MAX_DIM).collect()]
-    rows = [(n, *[float(v) for v in coords[:, j]]) for j, n in enumerate(names)]
-    return panel.sparkSession.createDataFrame(rows, f"{item} string, " + ", ".join(f"Feature{i} double" for i in range(len(axes))))

@@ -260,15 +260,10 @@ def strategy_correlation(strategies: DataFrame, names: Sequence[str]) -> DataFra
 
 
 def correlation_table(wide: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Long correlation matrix of numeric columns from a single aggregate row."""
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    row = wide.agg(*[correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        cells.append(F.struct(F.lit(a).alias("A"), F.lit(b).alias("B"), F.col(f"c{i}").alias("Corr")))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("A"), F.lit(a).alias("B"), F.col(f"c{i}").alias("Corr")))
-    return row.select(F.inline(F.array(*cells)))
+    """Long correlation matrix of numeric columns over the rows that have both values; null where a side does not vary."""
+    rho = L.pairwise_correlations(wide, list(names))
+    cells = [(a, b, float(rho[i, j]) if np.isfinite(rho[i, j]) else None) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return wide.sparkSession.createDataFrame(cells, "A string, B string, Corr double")
 
 
 def panel_correlation(panel: DataFrame, value: str = "Target", item: str = "Sector") -> DataFrame:

@@ -68,6 +68,60 @@ def gram(df: DataFrame, array_col: str, k: int, by: Sequence[str] = ()) -> DataF
     return rows.mapInArrow(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("value").alias("value"))
 
 
+def masked_grams(df: DataFrame, columns: Sequence[str], groups: Sequence[Sequence[int]], shift: Sequence[float]) -> list[np.ndarray]:
+    """For each group of columns the sum of z zT over the rows in which all of them are known, z being 1 and the moved values.
+
+    One pass for any number of groups; a task sends one upper triangle a group. ``shift`` is taken off each column first.
+    """
+    sizes = [len(g) + 1 for g in groups]
+    check_dim(max(sizes, default=0))
+    if sum(k * k for k in sizes) > HELD:
+        raise ValueError("too many columns in all groups")
+    move, places = np.array(shift, dtype=float), [list(g) for g in groups]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros((k, k)) for k in sizes]
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - move
+                for total, g in zip(totals, places, strict=True):
+                    part = x[:, g]
+                    part = part[~np.isnan(part).any(axis=1)]
+                    z = np.column_stack([np.ones(len(part)), part])
+                    total += z.T @ z
+        at = [np.triu_indices(k) for k in sizes]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([np.full(len(i), n) for n, (i, _) in enumerate(at)] or [np.zeros(0)]), pa.int32()),
+            pa.array(np.concatenate([i for i, _ in at] or [np.zeros(0)]), pa.int32()), pa.array(np.concatenate([j for _, j in at] or [np.zeros(0)]), pa.int32()),
+            pa.array(np.concatenate([t[i, j] for t, (i, j) in zip(totals, at, strict=True)] or [np.zeros(0)]))], ["g", "i", "j", "value"])
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{n}") for n, c in enumerate(columns)])
+    sums = rows.mapInArrow(partial, "g int, i int, j int, value double").groupBy("g", "i", "j").agg(F.sum("value").alias("value")).toPandas()
+    parts = dict(list(sums.groupby("g")))
+    return [to_matrix(parts[n], k) if n in parts else np.zeros((k, k)) for n, k in enumerate(sizes)]
+
+
+def pairwise_correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Pearson correlations over the rows that have both values; NaN where a side does not vary there.
+
+    Presence marks, values and squares of all columns are multiplied in one pass.
+    """
+    k = len(columns)
+    check_dim(3 * k)
+    found = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    mean = [float(found[f"m{i}"] or 0.0) for i in range(k)]
+    scale = [float(found[f"s{i}"] or 0.0) or 1.0 for i in range(k)]
+    x = [(F.col(c).cast("double") - m) / s for c, m, s in zip(columns, mean, scale, strict=True)]
+    zero = F.lit(0.0)
+    z = F.array(*[F.when(v.isNotNull(), 1.0).otherwise(0.0) for v in x], *[F.coalesce(v, zero) for v in x], *[F.coalesce(v * v, zero) for v in x])
+    g = to_matrix(gram(df.select(z.alias("_z")), "_z", 3 * k).toPandas(), 3 * k)
+    n, sx, sxy, sxx = g[:k, :k], g[k : 2 * k, :k], g[k : 2 * k, k : 2 * k], g[2 * k :, :k]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = sxy / n - (sx / n) * (sx.T / n)
+        var = sxx / n - (sx / n) ** 2
+        var = np.where(var > 1e-12 * np.maximum(sxx / n, 1e-300), var, np.nan)
+        return cov / np.sqrt(var * var.T)
+
+
 def to_matrix(rows: pd.DataFrame, k: int) -> np.ndarray:
     """The whole symmetric matrix from its upper triangle."""
     m = np.zeros((k, k))

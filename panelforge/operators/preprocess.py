@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import windows as P
-from panelforge.functions.stats import correlation
 from panelforge.operators import linalg as L
 from panelforge.session import reuse
 
@@ -226,17 +225,32 @@ class PanelPca:
         return df.sparkSession.createDataFrame(rows, f"Component string, {self.item} string, Loading double")
 
 
-def remove_factors(df: DataFrame, k: int, value: str = "value", item: str = "Code") -> DataFrame:
-    """Residuals after the first ``k`` components over a whole panel; ``k`` 0 is the panel itself."""
-    if k <= 0:
-        return df
-    dense = reuse(dense_matrix(df, value, item))
-    return PanelPca(k, value, item).fit(dense).residuals(dense)
+def _fit_each(rows: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], fit_intercept: bool) -> list[tuple[list[str], np.ndarray, float] | None]:
+    """Least squares of each target on its columns over the rows that have them all, in one pass; none where there is no such row."""
+    known = [[c for c in on if c in rows.columns and c != t] if t in rows.columns else [] for t, on in specs]
+    columns = sorted({c for xs in known for c in xs} | {t for (t, _), xs in zip(specs, known, strict=True) if xs})
+    if not columns:
+        return [None] * len(specs)
+    means = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first() if fit_intercept else None
+    shift = [float(means[i] or 0.0) if means else 0.0 for i in range(len(columns))]
+    at = {c: i for i, c in enumerate(columns)}
+    grams = L.masked_grams(rows, columns, [[at[c] for c in (*xs, t)] if xs else [] for (t, _), xs in zip(specs, known, strict=True)], shift)
+    out: list[tuple[list[str], np.ndarray, float] | None] = []
+    for (t, _), xs, m in zip(specs, known, grams, strict=True):
+        if not xs or m[0, 0] == 0:
+            out.append(None)
+            continue
+        mean = m[0, 1:] / m[0, 0] if fit_intercept else np.zeros(len(xs) + 1)
+        inner = m[1:, 1:] - m[0, 0] * np.outer(mean, mean)
+        coef = np.linalg.lstsq(inner[:-1, :-1], inner[:-1, -1], rcond=None)[0]
+        level = mean + np.array([shift[at[c]] for c in (*xs, t)])
+        out.append((xs, coef, float(level[-1] - coef @ level[:-1]) if fit_intercept else 0.0))
+    return out
 
 
 @dataclass
 class NeutraliseOn(Step):
-    """Least-squares residual of each target on the given columns, one target after the other."""
+    """Least-squares residual of each target on the given columns; one pass over the rows fits all targets."""
 
     targets: Sequence[str]
     on: Sequence[str]
@@ -246,33 +260,39 @@ class NeutraliseOn(Step):
     models: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> NeutraliseOn:
-        rows = fit_range(df, self.start, self.end)
-        for t in self.targets:
-            xs = [c for c in self.on if c in df.columns and c != t]
-            if t not in df.columns or not xs:
-                continue
-            cols = [*xs, t]
-            clean = rows.dropna(subset=cols)
-            terms = [F.col(c).cast("double") for c in cols]
-            if self.fit_intercept:
-                means = clean.agg(*[F.avg(c).alias(c) for c in cols]).first()
-                centre = [float(means[c] or 0.0) for c in cols]
-                terms = [c - m for c, m in zip(terms, centre, strict=True)]
-            else:
-                centre = [0.0] * len(cols)
-            m = L.to_matrix(L.gram(clean.select(F.array(*terms).alias("_x")), "_x", len(cols)).toPandas(), len(cols))
-            coef = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
-            intercept = centre[-1] - float(coef @ np.array(centre[:-1])) if self.fit_intercept else 0.0
-            self.models[t] = (xs, coef, intercept)
+        found = _fit_each(fit_range(df, self.start, self.end), [(t, self.on) for t in self.targets], self.fit_intercept)
+        self.models = {t: model for t, model in zip(self.targets, found, strict=True) if model}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         for t, (xs, coef, intercept) in self.models.items():
-            fitted = sum((F.col(c) * float(b) for c, b in zip(xs, coef, strict=True)), F.lit(float(intercept)))
-            df = df.withColumn(t, F.when(fitted.isNotNull(), F.col(t) - fitted).otherwise(F.col(t)))
+            df = df.withColumn(t, _residual(t, xs, coef, intercept))
         return df
 
 
+def _residual(target: str, xs: Sequence[str], coef: np.ndarray, intercept: float):
+    fitted = sum((F.col(c) * float(b) for c, b in zip(xs, coef, strict=True)), F.lit(float(intercept)))
+    return F.when(fitted.isNotNull(), F.col(target) - fitted).otherwise(F.col(target))
+
+
+@dataclass
+class NeutraliseEach(Step):
+    """Several targets, each on columns of its own and into a column of its own, fitted in one pass."""
+
+    specs: Sequence[tuple[str, Sequence[str], str]]
+    fit_intercept: bool = False
+    start: str | None = None
+    end: str | None = None
+    models: list = field(default_factory=list)
+
+    def fit(self, df: DataFrame) -> NeutraliseEach:
+        self.models = _fit_each(fit_range(df, self.start, self.end), [(t, on) for t, on, _ in self.specs], self.fit_intercept)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({out: _residual(t, *model) if model else F.col(t) for (t, _, out), model in zip(self.specs, self.models, strict=True)})
+
+
 @dataclass
 class NeutraliseMutually(Step):
     """Subtract, in column order, correlation times every earlier already-treated column."""
@@ -285,19 +305,18 @@ class NeutraliseMutually(Step):
     def fit(self, df: DataFrame) -> NeutraliseMutually:
         cols = list(self.columns or numeric_columns(df))
         self.columns = cols
-        pairs = [(b, a) for i, b in enumerate(cols) for a in cols[:i]]
-        if pairs:
-            row = fit_range(df, self.start, self.end).agg(*[correlation(a, b).alias(f"{i}") for i, (b, a) in enumerate(pairs)]).first()
-            self.correlations = {p: row[i] for i, p in enumerate(pairs)}
+        if len(cols) > 1:
+            rho = L.pairwise_correlations(fit_range(df, self.start, self.end), cols)
+            self.correlations = {(b, a): float(rho[i, j]) for i, b in enumerate(cols) for j, a in enumerate(cols[:i]) if np.isfinite(rho[i, j])}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         for i, c in enumerate(self.columns):
             out = F.col(c)
             for earlier in self.columns[:i]:
-                rho = self.correlations[(c, earlier)]
-                if rho is not None and rho == rho:
-                    out = out - F.col(earlier) * float(rho)
+                rho = self.correlations.get((c, earlier))
+                if rho is not None:
+                    out = out - F.col(earlier) * rho
             df = df.withColumn(c, out)
         return df
 
@@ -335,12 +354,21 @@ def apply_function(fn: Callable[[DataFrame], DataFrame]) -> Step:
 
 
 def neutralisation_steps(spec: DataFrame | Sequence[tuple[str, str, str]], fit_intercept: bool = False) -> Chain:
-    """Steps from ``(to_neutralize, by, neutralized)`` rows; the result lands in ``neutralized``."""
+    """Steps from ``(to_neutralize, by, neutralized)`` rows; the result lands in ``neutralized``.
+
+    Rows that use no result of an earlier row are one step, so they are fitted in one pass.
+    """
     rows = [tuple(r) for r in spec.collect()] if isinstance(spec, DataFrame) else list(spec)
     steps: list[tuple[str, Step]] = []
+    wave: list[tuple[str, list[str], str]] = []
     for target, by, out in rows:
-        steps.append((f"copy {out}", apply_function(lambda df, t=target, o=out: df.withColumn(o, F.col(t)))))
-        steps.append((f"neutralise {out}", NeutraliseOn([out], [c.strip() for c in by.split(",")], fit_intercept)))
+        on = [c.strip() for c in by.split(",")]
+        if {target, *on, out} & {o for _, _, o in wave}:
+            steps.append((f"neutralise {len(steps)}", NeutraliseEach(wave, fit_intercept)))
+            wave = []
+        wave.append((target, on, out))
+    if wave:
+        steps.append((f"neutralise {len(steps)}", NeutraliseEach(wave, fit_intercept)))
     return Chain(steps)
 
 

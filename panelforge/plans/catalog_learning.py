@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import dataset as D
 from panelforge.operators import ensemble as EN
+from panelforge.operators import factors as FC
 from panelforge.operators import models as MO
 from panelforge.operators import preprocess as PP
 from panelforge.operators import trees as TR
@@ -185,7 +186,24 @@ PALL = _projector("x_pall", "x_cov_all")
 @query("factors_removed", "I10", f"""SELECT c.Date, c.Sector, c.c - f.fit AS Target FROM x_centred_all c
     JOIN (SELECT b.Date, p.i, sum(p.v * b.c) AS fit FROM x_centred_all b JOIN {PALL} p ON p.j = b.Sector GROUP BY 1, 2) f ON f.Date = c.Date AND f.i = c.Sector""", "Target")
 def factors_removed(m: Market):
-    return PP.remove_factors(m.target, 1, "Target", "Sector")
+    return FC.remove_factors(m.target, 1, "Target", "Sector")
+
+
+# Stocks' daytime returns, rounded so that both engines start from the same numbers.
+CTES["x_daytime"] = "SELECT Date, Code, round(Close / nullif(Open, 0) - 1, 6) AS v FROM x_price"
+CTES["x_daytime_full"] = f"""SELECT d.Date, c.Code, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY c.Code ORDER BY d.Date {UP}), first_value(v IGNORE NULLS) OVER (PARTITION BY c.Code ORDER BY d.Date {DOWN})) AS v
+  FROM (SELECT DISTINCT Date FROM x_daytime) d CROSS JOIN (SELECT DISTINCT Code FROM x_daytime) c LEFT JOIN x_daytime t ON t.Date = d.Date AND t.Code = c.Code"""
+CTES["x_daytime_c"] = "SELECT Date, Code, v - avg(v) OVER (PARTITION BY Code) AS c FROM x_daytime_full"
+CTES["x_daytime_cov"] = "SELECT a.Code AS i, b.Code AS j, sum(a.c * b.c) AS v FROM x_daytime_c a JOIN x_daytime_c b ON a.Date = b.Date GROUP BY 1, 2"
+PDAY = _projector("x_pday", "x_daytime_cov", 30)
+
+
+@query("stock_factors_removed", "I10", f"""SELECT c.Date, c.Code, (c.c - f.fit) * 1e3 AS Milli FROM x_daytime_c c
+    JOIN (SELECT b.Date, p.i, sum(p.v * b.c) AS fit FROM x_daytime_c b JOIN {PDAY} p ON p.j = b.Code GROUP BY 1, 2) f ON f.Date = c.Date AND f.i = c.Code""", "Milli:4")
+def stock_factors_removed(m: Market):
+    """Every stock's daytime return without the leading component of all stocks, in thousandths."""
+    rows = m.price.select("Date", "Code", F.round(F.try_divide(F.col("Close"), F.col("Open")) - 1, 6).alias("Milli"))
+    return FC.remove_factors(rows, 1, "Milli", "Code").withColumn("Milli", F.col("Milli") * 1e3)
 
 
 NEXT = "(SELECT max(Date) + 1 FROM x_target)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import scalar as S
 from panelforge.functions import windows as P
 from panelforge.operators import clustering as CL
+from panelforge.operators import factors as FC
 from panelforge.operators import portfolio as PO
 from panelforge.plans.catalog_learning import _projector
 from panelforge.plans.market import Market
@@ -323,11 +324,17 @@ CTES["x_gc"] = "SELECT g.i, g.j, v - avg(v) OVER (PARTITION BY g.i) - avg(v) OVE
 G1 = _projector("x_gp", "x_gc")
 
 
-@query("sector_coordinates", "I11", f"SELECT p.i AS Sector, p.v * (SELECT sum(a.v * b.v) FROM x_gc a JOIN {G1} b ON a.j = b.i AND a.i = b.j) AS Square FROM {G1} p WHERE p.i = p.j", "Square")
+CTES["x_gl1"] = f"SELECT sum(a.v * b.v) AS l FROM x_gc a JOIN {G1} b ON a.j = b.i AND a.i = b.j"
+CTES["x_gc1"] = f"SELECT a.i, a.j, a.v - l * b.v AS v FROM x_gc a JOIN {G1} b ON a.i = b.i AND a.j = b.j, x_gl1"
+G2 = _projector("x_g2", "x_gc1")
+CTES["x_gl2"] = f"SELECT sum(a.v * b.v) AS l FROM x_gc a JOIN {G2} b ON a.j = b.i AND a.i = b.j"
+
+
+@query("sector_coordinates", "I11", f"SELECT p.i AS Sector, p.v * x_gl1.l * 1e4 AS Square0, r.v * x_gl2.l * 1e4 AS Square1 FROM {G1} p JOIN {G2} r ON p.i = r.i AND p.j = r.j, x_gl1, x_gl2 WHERE p.i = p.j", "Square0:5 Square1:5")
 def sector_coordinates(m: Market):
-    names = [r[0] for r in m.definition.select("Sector").distinct().collect()]
-    coords = CL.item_coordinates(reuse(m.target), len(names), n_components=1)
-    return coords.select("Sector", (F.col("Feature0") * F.col("Feature0")).alias("Square"))
+    """Squares of the coordinates, whose signs are a convention, in units of 1e-4."""
+    coords = FC.item_coordinates(m.target, 2)
+    return coords.select("Sector", *[(F.col(f"Feature{i}") * F.col(f"Feature{i}") * 1e4).alias(f"Square{i}") for i in range(2)])
 
 
 @query("peer_moves", "C1 E14", "SELECT Date, Code, Close / nullif(lag(Close) OVER (PARTITION BY Code ORDER BY Date), 0) - 1 AS Move FROM x_traded", "Move")
