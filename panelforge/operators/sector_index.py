@@ -19,10 +19,12 @@ def attach_sector(panel: DataFrame, definition: DataFrame) -> DataFrame:
     return panel.join(definition.select(F.col("Code").cast("string").alias("Code"), "Sector"), "Code", "left")
 
 
-def attach_sector_groups(panel: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Ad-hoc groups; a code may sit in several of them, ungrouped codes drop out."""
-    rows = [(code, sector) for sector, codes in groups.items() for code in codes]
-    return panel.join(panel.sparkSession.createDataFrame(rows, "Code string, Sector string"), "Code")
+def attach_sector_groups(panel: DataFrame, groups: Mapping[str, Sequence[str]] | DataFrame) -> DataFrame:
+    """Ad-hoc groups, as lists of codes or a table ``Code, Sector``; a code may sit in several of them, ungrouped codes drop out."""
+    if not isinstance(groups, DataFrame):
+        rows = [(code, sector) for sector, codes in groups.items() for code in codes]
+        groups = panel.sparkSession.createDataFrame(rows, "Code string, Sector string")
+    return panel.join(groups.select("Code", "Sector"), "Code")
 
 
 def aggregate_index(sector_panel: DataFrame, *also: Column) -> DataFrame:
@@ -60,7 +62,7 @@ def sector_index(
     return aggregate_index(attach_sector(caps, definition)), order_prices(caps)
 
 
-def sector_index_by_groups(caps: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
+def sector_index_by_groups(caps: DataFrame, groups: Mapping[str, Sequence[str]] | DataFrame) -> DataFrame:
     return aggregate_index(attach_sector_groups(caps, groups))
 
 

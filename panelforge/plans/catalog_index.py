@@ -11,7 +11,7 @@ from panelforge.operators import features as FE
 from panelforge.operators import marketcap as MC
 from panelforge.operators import sector_index as SI
 from panelforge.plans.market import SERIES_NAMES, Market
-from panelforge.plans.reference_sql import INDEX_FROM_BASE, avg_rank, band
+from panelforge.plans.reference_sql import CTES, INDEX_FROM_BASE, avg_rank, band
 from panelforge.plans.registry import query
 
 CAPS = "MarketCapOpen MarketCapClose MarketCapHigh MarketCapLow"
@@ -25,16 +25,18 @@ def sector_attach(m: Market):
     return rows.groupBy("Sector").agg(F.count(F.lit(1)).alias("StockDays"), F.sum("Volume").cast("long").alias("Volume"))
 
 
-GROUPS = {"JPY+": ["0001", "0002", "0003", "0005"], "JPY-": ["0003", "0004", "0007"]}
-GROUP_ROWS = ", ".join(f"('{c}', '{g}')" for g, cs in GROUPS.items() for c in cs)
+CTES["x_groups_of"] = "SELECT Code, 'Region ' || MarketCodeName AS Sector FROM x_listing UNION ALL SELECT Code, 'Size ' || ScaleCategory FROM x_listing"
 
 
 @query("sector_index_from_groups", "C2 D1 E12 E13", f"""
     WITH base AS (SELECT Date, Sector, sum(MarketCapOpen) AS MarketCapOpen, sum(MarketCapClose) AS MarketCapClose, sum(MarketCapHigh) AS MarketCapHigh, sum(MarketCapLow) AS MarketCapLow,
-      sum(OutstandingShares) AS OutstandingShares, sum(CorrectionValue) AS CorrectionValue FROM x_caps JOIN (VALUES {GROUP_ROWS}) AS g(Code, Sector) USING (Code) GROUP BY Date, Sector)
+      sum(OutstandingShares) AS OutstandingShares, sum(CorrectionValue) AS CorrectionValue FROM x_caps JOIN x_groups_of USING (Code) GROUP BY Date, Sector)
     SELECT Date, Sector, "1d_return", Close, Open, High, Low FROM ({INDEX_FROM_BASE.format(base='base')})""", "1d_return Close Open High Low")
 def sector_index_from_groups(m: Market):
-    return SI.sector_index_by_groups(m.caps, GROUPS).select("Date", "Sector", "1d_return", "Close", "Open", "High", "Low")
+    """Every stock in the group of its region and in that of its size."""
+    of = lambda label, column: m.listing.select("Code", F.concat(F.lit(label), F.col(column)).alias("Sector"))
+    groups = of("Region ", "MarketCodeName").unionByName(of("Size ", "ScaleCategory"))
+    return SI.sector_index_by_groups(m.caps, groups).select("Date", "Sector", "1d_return", "Close", "Open", "High", "Low")
 
 
 @query("shares_at_period_end", "E4", """
@@ -258,9 +260,13 @@ def merged_features(m: Market):
     return FE.merge_features(wide, FE.momentum(m.index).select("Date", "Sector", "5d_mom"))
 
 
-@query("one_hot_sectors", "H5", "SELECT Date, Sector, CAST(Sector = 'NATION_1' AS INTEGER) AS Sector_NATION_1, CAST(Sector = 'NATION_7' AS INTEGER) AS Sector_NATION_7 FROM x_target")
+# Names of the 25 nations.
+NATIONS = [f"NATION_{i}" for i in range(25)]
+
+
+@query("one_hot_sectors", "H5", "SELECT Date, Sector, " + ", ".join(f"CAST(Sector = '{n}' AS INTEGER) AS Sector_{n}" for n in NATIONS) + " FROM x_target")
 def one_hot_sectors(m: Market):
-    return D.one_hot(m.target.select("Date", "Sector"), m.sectors).select("Date", "Sector", "Sector_NATION_1", "Sector_NATION_7")
+    return D.one_hot(m.target.select("Date", "Sector"), m.sectors)
 
 
 @query("daytime_return", "B15", "SELECT Date, Code, Close / nullif(Open, 0) - 1 AS Target FROM x_traded", "Target")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import scalar as S
 from panelforge.operators import cleaning as C
 from panelforge.operators import quality as Q
-from panelforge.plans.market import Market
+from panelforge.plans.market import TEST, TRAIN, Market
 
 from panelforge.plans.registry import query, scratch
 from panelforge.sources import files as IO
@@ -68,15 +68,36 @@ def vendor_series_normalised(m: Market):
     return IO.normalise_vendor_series(export, keep=["Name"])
 
 
-@query("dataset_bundle_round_trip", "A16",
-       "SELECT 'raw_returns' AS TableName, count(*) AS Rows FROM x_target UNION ALL SELECT 'pred_result', count(*) FROM x_slow")
+def _between(days: tuple[str, str]) -> str:
+    return f"Date BETWEEN DATE '{days[0]}' AND DATE '{days[1]}'"
+
+
+BUNDLE = {
+    "target_train": ("Sector", "Target", f"x_target WHERE {_between(TRAIN)}"), "target_test": ("Sector", "Target", f"x_target WHERE {_between(TEST)}"),
+    "features_train": ("Sector", "Pred", f"x_slow WHERE {_between(TRAIN)}"), "features_test": ("Sector", "Pred", f"x_slow WHERE {_between(TEST)}"),
+    "raw_returns": ("Sector", "Target", "x_target"), "pred_result": ("Sector", "Pred", "x_slow"), "order_price": ("Code", "Close", "x_traded"),
+    "coefficients": ("Sector", "Level", "(SELECT max(Date) AS Date, Sector, max(Target) AS Level FROM x_target GROUP BY Sector)")}
+
+
+@query("dataset_bundle_round_trip", "A16", " UNION ALL ".join(
+    f"SELECT '{n}' AS TableName, Date, {k} AS Key, {v} AS Value FROM {source}" for n, (k, v, source) in BUNDLE.items()), "Value:9")
 def dataset_bundle_round_trip(m: Market):
+    """All eight tables of a data set after saving, with one output replaced, row by row."""
+    from panelforge.sources.readers import between
+    target, pred = m.target.select("Date", "Sector", "Target"), m.slow_predictions
+    levels = target.groupBy("Sector").agg(F.max("Date").alias("Date"), F.max("Target").alias("Level"))
+    tables = {"target_train": between(target, *TRAIN), "target_test": between(target, *TEST), "features_train": between(pred, *TRAIN), "features_test": between(pred, *TEST),
+              "raw_returns": target, "pred_result": m.predictions, "order_price": m.traded.select("Date", "Code", "Close"), "coefficients": levels}
     path = scratch(m.spark) + "/bundle"
-    bundle = DatasetBundle({"raw_returns": m.target, "pred_result": m.predictions}, {"k": 3}).replace(pred_result=m.slow_predictions)
-    bundle.save(m.spark, path)
+    DatasetBundle(tables, {"k": 3}).replace(pred_result=pred).save(m.spark, path)
     back = DatasetBundle.load(m.spark, path)
-    counts = [back[n].agg(F.count(F.lit(1)).alias("Rows")).select(F.lit(n).alias("TableName"), "Rows") for n in ("raw_returns", "pred_result")]
-    return counts[0].unionByName(counts[1])
+    if set(back.tables) != set(BUNDLE) or back.params != {"k": 3}:
+        raise ValueError("the bundle lost a table or its parameters")
+    rows = [back[n].select(F.lit(n).alias("TableName"), "Date", F.col(k).alias("Key"), F.col(v).cast("double").alias("Value")) for n, (k, v, _) in BUNDLE.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query("price_upsert_old_wins", "A7 G1", f"""
@@ -258,9 +279,11 @@ def individual_stock_listing(m: Market):
 
 @query("catalogue_status", "A17", """
     SELECT c.Name, c."Group", c.is_adopted, coalesce(n, 0) AS RecordCount, last AS LastDate, CASE WHEN n IS NULL THEN 'no file' ELSE 'has data' END AS Status
-    FROM x_catalogue c LEFT JOIN (SELECT Name, count(*) AS n, max(Date) AS last FROM x_series WHERE Name <> 'Gold' GROUP BY Name) s ON c.Name = s.Name""")
+    FROM (SELECT * FROM x_catalogue UNION ALL SELECT 'Copper', 'commodity', true) c LEFT JOIN (SELECT Name, count(*) AS n, max(Date) AS last FROM x_series GROUP BY Name) s ON c.Name = s.Name""")
 def catalogue_status(m: Market):
-    return R.catalogue_status(m.catalogue, m.series.filter("Name <> 'Gold'"))
+    """All series, and one more in the catalogue that has no data."""
+    more = m.spark.createDataFrame([("Copper", "commodity", True)], m.catalogue.schema)
+    return R.catalogue_status(m.catalogue.unionByName(more), m.series)
 
 
 @query("daily_ledger_upsert", "A18", """

@@ -10,7 +10,7 @@ from panelforge.operators import trades as TR
 from panelforge.plans.catalog_evaluation import MONTHS, RUN, describe_sql
 from panelforge.plans.market import Market
 from panelforge.plans.reference_sql import CTES
-from panelforge.plans.registry import query
+from panelforge.plans.registry import QUERIES, query
 
 RATES = "Rate RateAfterTax"
 
@@ -175,11 +175,46 @@ def trade_report_levels(m: Market):
     return rows.select("Side", "Sector", "Level", F.coalesce("Date", "Month").alias("Upto"), "AcqAmount", "Profit", "ProfitAfterTax")
 
 
-@query("trade_report_tables", "L14", "SELECT 'daily_leveraged' AS TableName, count(*) AS Rows FROM x_lev UNION ALL SELECT 'daily_summary', 9 UNION ALL SELECT 'total_by_sector', count(*) FROM (SELECT DISTINCT Side, Sector FROM x_ledger)")
+#: The report's tables, the query that states each, and the columns that tell its rows apart.
+REPORT = {
+    "daily": ("daily_profit", "Date"), "daily_summary": ("daily_profit_summary", "Stat"), "daily_by_sector": ("daily_profit_by_sector", "Date Side Sector"),
+    "daily_leveraged": ("daily_leveraged", "Date"), "daily_leveraged_summary": (None, "Stat"), "daily_cumulative": ("daily_cumulative", "Date"),
+    "daily_leveraged_cumulative": ("daily_leveraged_cumulative", "Date"), "monthly": ("monthly_profit", "Date"), "monthly_by_sector": ("monthly_profit_by_sector", "Date Side Sector"),
+    "monthly_leveraged": ("monthly_leveraged", "Date"), "total": ("total_profit", ""), "total_by_sector": ("total_profit_by_sector", "Side Sector"), "total_leveraged": ("total_leveraged", "")}
+_AMOUNTS, _RATES = ("Profit", "ProfitAfterTax"), ("Rate", "RateAfterTax")
+REPORT_COLUMNS = {
+    "daily": ("AcqAmount", "DayTax", *_AMOUNTS, *_RATES), "daily_summary": _RATES, "daily_by_sector": ("AcqAmount", "DayTax", *_AMOUNTS, *_RATES), "daily_leveraged": ("Deposit", *_AMOUNTS, *_RATES),
+    "daily_leveraged_summary": _RATES, "daily_cumulative": ("MeanAcqAmount", *_AMOUNTS, *_RATES), "daily_leveraged_cumulative": ("MeanDeposit", *_AMOUNTS, *_RATES),
+    "monthly": ("MeanAcqAmount", "Days", *_AMOUNTS, *_RATES), "monthly_by_sector": ("MeanAcqAmount", "Days", *_AMOUNTS, *_RATES), "monthly_leveraged": ("MeanDeposit", "Days", *_AMOUNTS, *_RATES),
+    "total": ("MeanAcqAmount", "Days", *_AMOUNTS, "MeanReturn", "MeanReturnAfterTax"), "total_by_sector": ("MeanAcqAmount", "Days", *_AMOUNTS, "MeanReturn", "MeanReturnAfterTax"),
+    "total_leveraged": ("MeanDeposit", "Days", *_AMOUNTS, "TotalReturn", "TotalReturnAfterTax")}
+
+
+def _digits(column: str) -> int:
+    return 6 if "Rate" in column or "Return" in column else 3
+
+
+def _report_sql() -> str:
+    """Every cell of every table as a row."""
+    parts = []
+    for table, (name, keys) in REPORT.items():
+        source = QUERIES[name].sql if name else describe_sql("x_lev", RATES.split(), sharpe=True)
+        key = "'' " + "".join(f" || '|' || CAST({k} AS VARCHAR)" for k in keys.split())
+        parts += [f"SELECT '{table}' AS TableName, {key} AS Key, '{c}' AS Measure, round(CAST({c} AS DOUBLE), {_digits(c)}) + 0.0 AS Value FROM ({source})" for c in REPORT_COLUMNS[table]]
+    return " UNION ALL ".join(parts)
+
+
+@query("trade_report_tables", "L14", _report_sql())
 def trade_report_tables(m: Market):
-    tables = TR.report(m.ledger, m.deposits, m.deposits.select("Date", F.col("Deposit").alias("BuyingPower")))
-    rows = [tables[n].agg(F.count(F.lit(1)).alias("Rows")).select(F.lit(n).alias("TableName"), "Rows") for n in ("daily_leveraged", "daily_summary", "total_by_sector")]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    """All thirteen tables of the report, cell by cell."""
+    tables = TR.report(m.ledger, m.deposits, m.deposits.select("Date", (F.col("Deposit") * 2).alias("BuyingPower")))
+    out = None
+    for name, (_, keys) in REPORT.items():
+        key = F.concat(F.lit(""), *[F.concat(F.lit("|"), F.col(k).cast("string")) for k in keys.split()])
+        cells = F.array(*[F.struct(F.lit(c).alias("Measure"), F.round(F.col(c).cast("double"), _digits(c)).alias("Value")) for c in REPORT_COLUMNS[name]])
+        rows = tables[name].select(F.lit(name).alias("TableName"), key.alias("Key"), F.inline(cells))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("settle_list", "L15", "SELECT DISTINCT Code FROM x_ledger WHERE Code NOT IN (SELECT Code FROM x_ledger WHERE Shares >= 120)")

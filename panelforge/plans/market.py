@@ -24,7 +24,7 @@ from panelforge.operators import marketcap as MC
 from panelforge.operators import preprocess as PP
 from panelforge.operators import sector_index as SI
 from panelforge.operators import walkforward as WF
-from panelforge.session import reuse, tune
+from panelforge.session import reuse, stage, tune
 
 # Names of the cross-asset series, by line number and line status.
 SERIES = {
@@ -179,13 +179,14 @@ class Market:
 
     @cached_property
     def caps(self) -> DataFrame:
-        return MC.market_caps(self.price, self.fin, self.calendar, overrides=())
+        """The stock panel, written once; everything by sector is an aggregate of it."""
+        return stage(MC.market_caps(self.price, self.fin, self.calendar, overrides=()), "stock-panel")
 
     @cached_property
     def _index_and_size(self) -> DataFrame:
-        """One row per sector and day; kept, as target, predictions and features all start from it."""
+        """One row per sector and day, written once, as target, predictions and features all start from it."""
         members = SI.attach_sector(self.caps, self.definition)
-        return reuse(SI.aggregate_index(members, F.avg("MarketCapClose").alias("MarketCapAtClose")))
+        return stage(SI.aggregate_index(members, F.avg("MarketCapClose").alias("MarketCapAtClose")), "sector-panel")
 
     @cached_property
     def index(self) -> DataFrame:
@@ -209,8 +210,8 @@ class Market:
         """Yesterday's return, momentum and volatility of a sector, null where they are not known."""
         from panelforge.operators import dataset as D
         rows = FE.volatility(FE.momentum(self.index.select("Date", "Sector", "1d_return")), [5])
-        return reuse(D.lag_features(rows.select(
-            "Date", "Sector", F.col("1d_return").alias("r1"), F.col("5d_mom").alias("m5"), F.col("21d_mom").alias("m21"), F.col("5d_vola").alias("v5"))))
+        return stage(D.lag_features(rows.select(
+            "Date", "Sector", F.col("1d_return").alias("r1"), F.col("5d_mom").alias("m5"), F.col("21d_mom").alias("m21"), F.col("5d_vola").alias("v5"))), "model-features")
 
     def _walked(self, columns: list[str], months: int | None) -> DataFrame:
         """Predictions of linear models that are refitted every month on the past, on a 1e-7 grid."""
@@ -220,12 +221,13 @@ class Market:
     @cached_property
     def predictions(self) -> DataFrame:
         """The model on return and week's momentum over all of the past, next to what it learns."""
-        return self._walked(["r1", "m5"], None).join(self.model_target, ["Date", "Sector"], "left").select("Date", "Sector", "Target", "Pred")
+        found = self._walked(["r1", "m5"], None).join(self.model_target, ["Date", "Sector"], "left")
+        return stage(found.select("Date", "Sector", "Target", "Pred"), "predictions")
 
     @cached_property
     def slow_predictions(self) -> DataFrame:
         """The model on month's momentum and volatility over the last 24 months."""
-        return self._walked(["m21", "v5"], 24)
+        return stage(self._walked(["m21", "v5"], 24), "predictions")
 
     @cached_property
     def series(self) -> DataFrame:
@@ -247,7 +249,7 @@ class Market:
         wide = FE.widen_series(FE.series_returns(self.series, everything), SERIES_NAMES)
         rows = FE.volatility(FE.momentum(self.index.select("Date", "Sector", "1d_return")), [5])
         rows = rows.select("Date", "Sector", F.col("1d_return").alias("r1"), F.col("5d_mom").alias("m5"), F.col("21d_mom").alias("m21"), F.col("5d_vola").alias("v5"))
-        return reuse(D.lag_features(FE.merge_features(wide.withColumnsRenamed({n + FE.SUFFIX: n for n in SERIES_NAMES}), rows)))
+        return stage(D.lag_features(FE.merge_features(wide.withColumnsRenamed({n + FE.SUFFIX: n for n in SERIES_NAMES}), rows)), "model-candidates")
 
     @cached_property
     def fills(self) -> DataFrame:
@@ -300,7 +302,7 @@ class Market:
     @cached_property
     def features(self) -> DataFrame:
         return FE.price_features(
-            self.index, self._index_and_size.select("Date", "Sector", "MarketCapAtClose"), SI.eps_factor(self.price, self.fin, self.definition))
+            self.index, self._index_and_size.select("Date", "Sector", "MarketCapAtClose"), SI.eps_factor(self.caps, self.fin, self.definition))
 
     @cached_property
     def quotas(self) -> DataFrame:
