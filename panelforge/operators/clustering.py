@@ -157,39 +157,6 @@ def best_clustering(points: DataFrame, candidates: Sequence[int] = (5, 10, 15),
     return best.drop("features"), best_k
 
 
-def recursive_clusters(points: DataFrame, branching: int = 3, depth: int = 2, vec: str = "vector", key: str = "id", seed: int = 42) -> DataFrame:
-    """Cluster, then cluster again inside each cluster; labels per level and a final id.
-
-    A level's parents are at most ``branching ** level``, so the loop runs over a
-    handful of fits, each a distributed job on its part of the points.
-    """
-    data = points.select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
-    for level in range(depth):
-        name = f"Level{level}"
-        above = [f"Level{i}" for i in range(level)]
-        parents = [tuple(r) for r in data.groupBy(*above).count().filter(F.col("count") > branching).drop("count").collect()] if above else [()]
-        parts = []
-        inside = F.lit(False)
-        for p in parents:
-            hit = F.lit(True)
-            for c, v in zip(above, p, strict=True):
-                hit = hit & (F.col(c) == v)
-            inside = inside | hit
-            part = data.filter(hit)
-            parts.append(BisectingKMeans(k=branching, seed=seed, featuresCol="features", predictionCol=name).fit(part).transform(part))
-        rest = data.filter(~inside).withColumn(name, F.lit(-1)) if above else None
-        data = parts[0]
-        for part in parts[1:]:
-            data = data.unionByName(part)
-        if rest is not None:
-            data = data.unionByName(rest)
-        ensure_checkpoint_dir(points.sparkSession)
-        data = data.checkpoint()
-    levels = [f"Level{i}" for i in range(depth)]
-    ids = data.select(*levels).distinct().withColumn("Cluster", F.dense_rank().over(Window.orderBy(*levels)) - 1)
-    return data.drop("features").join(ids, levels)
-
-
 def attach_listing(labels: DataFrame, listing: DataFrame) -> DataFrame:
     info = ["CompanyName", "MarketCodeName", "Sector33CodeName", "Sector17CodeName", "ScaleCategory", "Listing"]
     extra = [c for c in labels.columns if c != "Code"]

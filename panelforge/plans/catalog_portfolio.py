@@ -9,6 +9,7 @@ from panelforge.functions import windows as P
 from panelforge.operators import clustering as CL
 from panelforge.operators import factors as FC
 from panelforge.operators import portfolio as PO
+from panelforge.operators import splitting as SP
 from panelforge.plans.catalog_learning import _projector
 from panelforge.plans.market import Market
 from panelforge.plans.reference_sql import CTES, avg_rank, code4
@@ -309,9 +310,33 @@ def best_cluster_count(m: Market):
     return labelled.groupBy("Cluster").agg(F.count(F.lit(1)).alias("Items")).withColumn("Candidates", F.lit(k))
 
 
-@query("recursive_clusters", "N8")
+# Recursive splits, level by level: a cut at the widest coordinate's mean, six moves of two centres, and the silhouette from sums.
+LEAST_SEPARATION, MOVES, LEVELS = 0.03, 6, 12
+CTES["x_point"] = "SELECT vec_id AS id, CAST(generate_subscripts(embedding, 1) AS INTEGER) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"
+CTES["x_open0"] = "SELECT vec_id AS id, '' AS path FROM embeddings"
+for _l in range(LEVELS):
+    CTES[f"x_cut{_l}"] = f"""SELECT path, d, m FROM (SELECT path, d, avg(x) AS m, avg(x * x) - avg(x) * avg(x) AS v FROM x_open{_l} JOIN x_point USING (id) GROUP BY path, d)
+        QUALIFY row_number() OVER (PARTITION BY path ORDER BY v DESC, d) = 1"""
+    CTES[f"x_side{_l}_0"] = f"SELECT id, path, CAST(x > m AS INTEGER) AS side FROM x_open{_l} JOIN x_cut{_l} USING (path) JOIN x_point USING (id, d)"
+    for _t in range(MOVES):
+        CTES[f"x_side{_l}_{_t + 1}"] = f"""WITH c AS (SELECT path, side, d, avg(x) AS m FROM x_side{_l}_{_t} JOIN x_point USING (id) GROUP BY path, side, d),
+          e AS (SELECT o.id, o.path, c.side, sum((x - m) * (x - m)) AS e FROM x_open{_l} o JOIN c ON o.path = c.path JOIN x_point p ON p.id = o.id AND p.d = c.d GROUP BY o.id, o.path, c.side)
+          SELECT id, path, CASE WHEN coalesce(min(e) FILTER (side = 1), 1e300) < coalesce(min(e) FILTER (side = 0), 1e300) THEN 1 ELSE 0 END AS side FROM e GROUP BY id, path"""
+    _s = f"x_side{_l}_{MOVES}"
+    CTES[f"x_apart{_l}"] = f"""WITH c AS (SELECT path, side, d, avg(x) AS m FROM {_s} JOIN x_point USING (id) GROUP BY path, side, d),
+      n AS (SELECT path, side, count(*) AS n FROM {_s} GROUP BY path, side), q AS (SELECT path, side, sum(x * x) AS q FROM {_s} JOIN x_point USING (id) GROUP BY path, side),
+      e AS (SELECT s.id, s.path, s.side, c.side AS other, sum(x * x) - 2 * sum(x * m) + any_value(q.q / n.n) AS e, any_value(n.n) AS n FROM {_s} s JOIN c ON s.path = c.path JOIN x_point p ON p.id = s.id AND p.d = c.d
+        JOIN n ON n.path = c.path AND n.side = c.side JOIN q ON q.path = c.path AND q.side = c.side GROUP BY s.id, s.path, s.side, c.side),
+      w AS (SELECT id, path, max(CASE WHEN side = other THEN n END) AS n, max(CASE WHEN side = other THEN e * n / greatest(n - 1, 1) END) AS a, max(CASE WHEN side <> other THEN e END) AS b FROM e GROUP BY id, path)
+      SELECT path, avg(CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS s FROM w GROUP BY path HAVING count(b) > 0"""
+    CTES[f"x_open{_l + 1}"] = f"SELECT id, path || CAST(side AS VARCHAR) AS path FROM {_s} JOIN x_apart{_l} USING (path) WHERE s >= {LEAST_SEPARATION}"
+CTES["x_paths"] = "SELECT id, arg_max(path, length(path)) AS path FROM (" + " UNION ALL ".join(f"SELECT id, path FROM x_open{_l}" for _l in range(LEVELS + 1)) + ") GROUP BY id"
+
+
+@query("recursive_clusters", "N8", "SELECT id, path AS Path, dense_rank() OVER (ORDER BY path) - 1 AS Cluster FROM x_paths")
 def recursive_clusters(m: Market):
-    return CL.recursive_clusters(vectors(m), branching=3, depth=2)
+    """Split until nothing splits; the statement goes twelve levels deep."""
+    return SP.recursive_splits(vectors(m), LEAST_SEPARATION, MOVES)
 
 
 @query("labels_with_listing", "N9", "SELECT Code, CompanyName, MarketCodeName, Sector33CodeName, Sector17CodeName, ScaleCategory, Listing, CAST(length(Sector33CodeName) AS INTEGER) AS Cluster FROM x_listing")

@@ -152,15 +152,6 @@ def test_agreement_counts_equal_labels(spark):
     assert got[("a", "b")] == 1 and got[("a", "a")] == 2 and got[("c", "c")] == 1 and got[("a", "c")] == 0
 
 
-def test_recursive_clusters_have_one_id_per_label_path(spark):
-    rng = np.random.default_rng(0)
-    centres = [(0, 0), (10, 0), (0, 10)]
-    rows = [(i, [float(c + e) for c, e in zip(centres[i % 3], rng.normal(size=2) * 0.2, strict=True)]) for i in range(60)]
-    out = CL.recursive_clusters(spark.createDataFrame(rows, "id long, vector array<double>"), 3, 1).collect()
-    assert len(out) == 60 and len({r["Cluster"] for r in out}) == 3
-    assert all(len({r["Level0"] for r in out if r["id"] % 3 == k}) == 1 for k in range(3))
-
-
 def test_csv_with_free_text_in_front(spark, tmp_path):
     body = "一般信用売り銘柄一覧\r\n2020/01/06,作成\r\n\r\nコード,銘柄,売建受注枠\r\n1301,極洋,○\r\n1332,日水,受付不可\r\n"
     (tmp_path / "list.csv").write_bytes(body.encode("shift_jis"))
