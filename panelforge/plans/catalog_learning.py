@@ -466,15 +466,26 @@ def tree_inputs(m: Market):
     return between(m.model_target, *TRAIN).withColumn("Target", F.col("Target") * 100), m.candidates
 
 
-@query("boosted_first_split", "J5", FIRST_SPLIT, "Gain:6 LeftValue:7 RightValue:7 Threshold:6")
-def boosted_first_split(m: Market):
+def first_split(m: Market, categorical):
     """The root of the first tree, grown to two leaves at learning rate 1."""
     target, features = tree_inputs(m)
-    model = TR.fit_leafwise(target, features, CANDIDATES, rounds=1, leaves=2, learning_rate=1.0, bins=BINS)
-    table = TR.split_table(model, m.spark)
-    top, left, right = (table.filter(F.col("Node") == i) for i in range(3))
-    return top.select("Feature", "Threshold", "NullLeft", F.array_join(F.array_sort("Categories"), " ").alias("Categories"), "Gain").crossJoin(
-        left.select(F.col("Rows").alias("LeftRows"), F.col("Value").alias("LeftValue"))).crossJoin(right.select(F.col("Rows").alias("RightRows"), F.col("Value").alias("RightValue")))
+    model = TR.fit_leafwise(target, features, CANDIDATES, categorical, rounds=1, leaves=2, learning_rate=1.0, bins=BINS)
+    nodes = TR.split_table(model, m.spark)
+    at = lambda i, column: F.max(F.when(F.col("Node") == i, F.col(column)))
+    return nodes.groupBy("Tree").agg(
+        *[at(0, c).alias(c) for c in ("Feature", "Threshold", "NullLeft")], F.array_join(F.array_sort(at(0, "Categories")), " ").alias("Categories"), at(0, "Gain").alias("Gain"),
+        at(1, "Rows").alias("LeftRows"), at(1, "Value").alias("LeftValue"), at(2, "Rows").alias("RightRows"), at(2, "Value").alias("RightValue")).drop("Tree")
+
+
+@query("boosted_first_split", "J5", FIRST_SPLIT, "Gain:6 LeftValue:7 RightValue:7 Threshold:6")
+def boosted_first_split(m: Market):
+    return first_split(m, ("Sector",))
+
+
+@query("boosted_first_threshold", "J5", FIRST_SPLIT.replace("WHERE ln >= 20", f"WHERE f < {K} AND ln >= 20"), "Gain:6 LeftValue:7 RightValue:7 Threshold:6")
+def boosted_first_threshold(m: Market):
+    """The best cut among the numbers alone."""
+    return first_split(m, ())
 
 
 @query("boosted_tree_predictions", "J5 J13")
