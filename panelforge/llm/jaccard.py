@@ -177,9 +177,9 @@ def postings(texts: DataFrame, sketch: np.ndarray, light: int, least: tuple[int,
 def light_links(listed: DataFrame) -> DataFrame:
     """``a, b``: every light set with the first partner of its subset; sets that share a subset of the needed size are linked."""
     light = listed.filter("role >= 0")
-    first = light.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("id"))).alias(f"_{r}") for r in range(3)], F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    first = light.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("id"))).alias(f"_{r}") for r in range(3)])
     mate = F.when(F.col("role") == 0, F.col("_1")).when(F.col("role") == 1, F.col("_0")).otherwise(F.col("_2"))
-    return join_spread(light, first, ["key"], light.count()).select(F.col("id").alias("a"), mate.alias("b")).filter("b is not null and a <> b")
+    return light.join(first, "key").select(F.col("id").alias("a"), mate.alias("b")).filter("b is not null and a <> b")
 
 
 def _may_link(n: str, pos: str, m: str, other: str, least: tuple[int, int]) -> Column:
@@ -236,7 +236,7 @@ def heavy_links(listed: DataFrame, sets: DataFrame, texts: DataFrame, least: tup
     up, down = least
     lists = listed.filter("role = -1")
     heads = lists.groupBy("key").agg(F.min(F.struct("pos", "id")).alias("head"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    several = stage(join_spread(lists, heads, ["key"], lists.count()).select("key", "id", "n", "pos", F.col("head.id").alias("hid")), "shared-shingles")
+    several = stage(lists.join(heads, "key").select("key", "id", "n", "pos", F.col("head.id").alias("hid")), "shared-shingles")
     star = several.filter("id <> hid").groupBy("id", "n", "hid").agg(F.count(F.lit(1)).alias("_m"))
     star = star.join(sets.select(F.col("id").alias("hid"), F.col("n").alias("hn")).distinct(), "hid")
     # Of two linked sets one has so many of its rarest members in common with the other.
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, width: int
     first = full.groupBy("n", "s1", "s2").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     equal = join_spread(full, first, ["n", "s1", "s2"], held.ids).filter("id <> a").select("a", F.col("id").alias("b"))
     links = equal.unionByName(light_links(listed)).unionByName(heavy_links(listed, sets, texts, least, width))
-    wide = sets.join(components(sets, links), "id").select(F.col("id").alias("_of"), F.col("n").alias("n_shingles"), "component")
+    wide = stage(sets.join(components(sets, links), "id").select(F.col("id").alias("_of"), F.col("n").alias("n_shingles"), "component"), "near-duplicates")
     return put_back(known.join(wide, known["_id"] == wide["_of"]), docs.columns, ["doc_id", "text"], ["_id", "n_shingles", "component"])
 
 
