@@ -139,8 +139,8 @@ def postings(texts: DataFrame, sketch: np.ndarray, light: int, least: tuple[int,
     Of equal sets in one batch only the first is listed. Sets light enough to match a heavy one are listed in both ways.
     """
     low = -(-least[0] * (light + 1) // least[1])
-    # Eighths of an octave: any order that all sets share will do, and a byte a counter travels lightly.
-    rare = np.minimum(np.round(8 * np.log2(1.0 + sketch)), 255).astype(np.uint8)
+    # In 64 steps an octave, which keeps small counts apart: any order that all sets share will do, and two bytes a counter travel lightly.
+    rare = np.minimum(np.round(64 * np.log2(1.0 + sketch)), 65535).astype(np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +161,7 @@ def postings(texts: DataFrame, sketch: np.ndarray, light: int, least: tuple[int,
                     sizes.append(np.full(len(k), n))
                 if n >= low:
                     p = prefix(n, least)
-                    order = (rare[slots(found)].astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8))
+                    order = (rare[slots(found)].astype(np.uint64) << np.uint64(48)) | (found >> np.uint64(16))
                     first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
                     first = first[np.argsort(order[first], kind="stable")]
                     keys.append(found[first].view(np.int64))
