@@ -17,6 +17,10 @@ from panelforge.operators import linalg as L
 from panelforge.session import ensure_checkpoint_dir, stage
 
 BLOCK_ROWS = 2000
+#: Blocks of rows that are compared with each other: their number, until one holds BLOCK_BYTES as doubles; bytes of a stored piece.
+BLOCKS, BLOCK_BYTES, PIECE_BYTES = 24, 1 << 24, 1 << 18
+#: Tasks of a comparison of blocks, and pairs measured at once.
+MOST_TASKS, PAIRS_AT_ONCE = 4096, 1 << 16
 
 
 def agreement_matrix(labels: DataFrame, items: Sequence[str], run: str = "Run", item: str = "Item", label: str = "Label") -> DataFrame:
@@ -59,52 +63,113 @@ def distinct_vectors(items: DataFrame, vec: str = "vector", key: str = "id") ->
     return items.groupBy(vec).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
 
 
+def _unpacked(rows) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the stored pieces of one block, along the first coordinate; rows that are not finite are near nothing."""
+    ids = np.concatenate([np.asarray(r.ids) for r in rows])
+    v = np.concatenate([np.frombuffer(r.v, r.kind).reshape(len(r.ids), -1).astype(float) for r in rows])
+    whole = np.isfinite(v).all(1)
+    ids, v = ids[whole], v[whole]
+    order = np.argsort(v[:, 0], kind="stable") if v.shape[1] else np.arange(len(v))
+    return ids[order], v[order]
+
+
+def _near(left: list, right: list, limit: float):
+    """Tables ``a, b, distance`` of the pairs of two blocks, or of one where ``right`` is empty.
+
+    With x' = (x, -|x|^2/2, 1) and y' = (y, 1, -|y|^2/2) the product x'y' is -|x - y|^2/2: one matrix product and one
+    comparison a tile, in single precision where its rounding is small beside the limit; what it lets through is
+    measured exactly.  Tiles too far apart along the first coordinate are passed over.
+    """
+    same = not right
+    (ids, x), (jds, y) = _unpacked(left), _unpacked(right or left)
+    if not len(x) or not len(y) or not x.shape[1]:
+        return
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    scale = (x.shape[1] + 8) * (xx.max() + yy.max() + 1)
+    kind = "f4" if scale * 2.0 ** -23 <= 0.01 * limit * limit and scale < 1e30 else "f8"
+    slack = scale * (2.0 ** -23 if kind == "f4" else 2.0 ** -52)
+    xs = np.column_stack([x, -xx / 2, np.ones(len(x))]).astype(kind)
+    ys = np.ascontiguousarray(np.column_stack([y, np.ones(len(y)), -yy / 2]).astype(kind).T)
+    least = -limit * limit / 2 - slack
+    for s in range(0, len(x), 512):
+        part, far = xs[s:s + 512], x[min(s + 512, len(x)) - 1, 0] + limit
+        for t in range(s if same else 0, len(y), 2048):
+            if y[t, 0] > far + slack:
+                break
+            if y[min(t + 2048, len(y)) - 1, 0] < x[s, 0] - limit - slack:
+                continue
+            at, width = np.flatnonzero(part @ ys[:, t:t + 2048] >= least), min(2048, len(y) - t)
+            for k in range(0, len(at), PAIRS_AT_ONCE):
+                i, j = np.divmod(at[k:k + PAIRS_AT_ONCE], width)
+                i, j = i + s, j + t
+                d = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
+                ok = (d <= limit) & ((i < j) if same else True)
+                if ok.any():
+                    a, b = ids[i[ok]], jds[j[ok]]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d[ok]})
+
+
 def pairs_within(items: DataFrame, threshold: float, vec: str = "vector", key: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs of vectors at Euclidean distance up to ``threshold``.
 
-    Spark's range partitioning cuts the rows into blocks of about ``block_rows`` along
-    one coordinate direction.  Two rows within the threshold differ by no more than it
-    in that coordinate, so a block meets the blocks after it only as far as the
-    threshold reaches; the pairs of blocks are a table, found by one pass over the
-    blocks' ends, and nothing of them passes through the driver.  A dense spot means
-    more block pairs, not a larger one.
+    Spark's range partitioning cuts the rows into blocks along one coordinate direction:
+    of about ``block_rows``, but BLOCKS of them at most until a block holds BLOCK_BYTES,
+    as every block is sent once to each block it may meet.  Two rows within the
+    threshold differ by no more than it in that coordinate, so a block meets the blocks
+    after it only as far as the threshold reaches; the pairs of blocks are a table, found
+    by one pass over the blocks' ends, and nothing of them passes through the driver.  A
+    block travels as packed pieces; a pair of blocks is compared in tiles and its pairs
+    leave as they are found.  Where the coordinate separates nothing, the comparisons are
+    as many as the pairs of rows, and what is sent is the rows times the blocks.
     """
-    rows = items.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).withColumn("p", F.get("v", 0))
-    n_blocks = max(1, math.ceil(rows.count() / block_rows))
+    rows = items.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).filter("v is not null").withColumn("p", F.get("v", 0))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    held = max(1, BLOCK_BYTES // (8 * max(1, size.dim or 1)))
+    n_blocks = max(1, min(math.ceil(size.n / block_rows), max(BLOCKS, math.ceil(size.n / held))))
+    kind = dict(rows.dtypes)["id"]
+    piece = max(1, PIECE_BYTES // (8 * max(1, size.dim or 1)))
+
+    def pack(batches):
+        for pdf in batches:
+            for s in range(0, len(pdf), piece):
+                part = pdf.iloc[s:s + piece]
+                v = np.stack([np.asarray(x, dtype=float) for x in part["v"]])
+                with np.errstate(over="ignore"):
+                    short = v.astype("f4")
+                kind = "f4" if np.array_equal(short, v, equal_nan=True) else "f8"
+                yield pd.DataFrame({"b": [part["b"].iloc[0]], "lo": [part["p"].min()], "hi": [part["p"].max()], "kind": [kind],
+                                    "ids": [part["id"].tolist()], "v": [v.astype(kind).tobytes()]})
+
     # Stored, so that every later read sees the same blocks.
-    ranged = stage(rows.repartitionByRange(n_blocks, "p", "id").withColumn("b", F.spark_partition_id()), "distance-blocks")
-    spans = ranged.groupBy("b").agg(F.min("p").alias("lo"), (F.max("p") + F.lit(float(threshold) * (1 + 1e-9) + 1e-9)).alias("hi"))
+    ranged = rows.repartitionByRange(n_blocks, "p", "id").withColumn("b", F.spark_partition_id())
+    ranged = stage(ranged.mapInPandas(pack, f"b int, lo double, hi double, kind string, ids array<{kind}>, v binary"), "distance-blocks")
+    spans = ranged.groupBy("b").agg(F.min("lo").alias("lo"), (F.max("hi") + F.lit(float(threshold) * (1 + 1e-9) + 1e-9)).alias("hi"))
     ends = spans.select(F.inline(F.array(
         F.struct(F.col("lo").alias("at"), F.lit(0).alias("end"), "b"), F.struct(F.col("hi").alias("at"), F.lit(1).alias("end"), "b"))))
-    # Two rows a block: the window is a block_rows-th of the items.
+    # Two rows a block.
     last = F.max(F.when(F.col("end") == 0, F.col("b"))).over(Window.orderBy("at", "end").rowsBetween(Window.unboundedPreceding, 0))
     near = ends.withColumn("last", last).filter("end = 1").select(F.col("b").alias("x"), F.explode(F.sequence("b", "last")).alias("y"))
     near = near.join(spans.select(F.col("b").alias("y")), "y", "left_semi")
     sides = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("b")), F.struct(F.lit(1).alias("side"), F.col("y").alias("b"))))
     plan = near.select("x", "y", F.concat_ws("|", "x", "y").alias("pair"), sides).filter("side = 0 or x <> y").drop("x", "y")
-    routed = ranged.select("id", "v", "b").join(plan, "b")
+    # A task a pair of blocks, on average; which of them are due is dealt as tasks end.
+    tasks = min(MOST_TASKS, n_blocks * (n_blocks + 1) // 2)
+    routed = ranged.select("b", "kind", "ids", "v").join(plan, "b").drop("b").repartition(tasks, "pair").sortWithinPartitions("pair", "side")
     limit = float(threshold)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["side"] == 0]
-        right = pdf[pdf["side"] == 1]
-        same = right.empty
-        right = left if same else right
-        x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        out = []
-        for s in range(0, len(x), 256):
-            part = x[s:s + 256]
-            approx = (part * part).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * part @ y.T
-            i, j = np.nonzero(approx <= limit * limit + 1e-6)
-            i = i + s
-            d = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
-            ok = (d <= limit) & ((i < j) if same else True)
-            a, b = left["id"].to_numpy()[i[ok]], right["id"].to_numpy()[j[ok]]
-            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d[ok]}))
-        return pd.concat(out)
-
-    kind = dict(rows.dtypes)["id"]
-    return routed.groupBy("pair").applyInPandas(compare, f"a {kind}, b {kind}, distance double")
+    def compare(batches):
+        pair, sides = None, ([], [])
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.pair != pair:
+                    if pair is not None:
+                        yield from _near(*sides, limit)
+                    pair, sides = r.pair, ([], [])
+                sides[r.side].append(r)
+        if pair is not None:
+            yield from _near(*sides, limit)
+
+    return routed.mapInPandas(compare, f"a {kind}, b {kind}, distance double")
 
 
 def connected_groups(nodes: DataFrame, edges: DataFrame, key: str = "id", max_rounds: int = 50) -> DataFrame:

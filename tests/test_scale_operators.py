@@ -8,12 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import evaluate as EV
+from panelforge.operators import clustering as CL
 from panelforge.operators import factors as FC
 from panelforge.operators import linalg as L
 from panelforge.operators import portfolio as PO
 from panelforge.operators import prefix as X
 from panelforge.operators import preprocess as PP
 from panelforge.operators import splitting as SP
+from panelforge.session import stage
 
 DAY = dt.date(2024, 1, 1)
 
@@ -154,3 +156,36 @@ def test_splits_end_where_nothing_separates(spark):
     assert sorted(c for _, c in groups) == list(range(6)) and [p for p, _ in sorted(groups)] == [p for p, _ in sorted(groups, key=lambda g: g[1])]
     assert SP.recursive_splits(table.limit(0)).count() == 0
     assert {r.Path for r in SP.recursive_splits(table.filter(F.col("id") >= 1000)).collect()} == {""}
+
+
+def test_pairs_within_sends_a_row_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(CL, "stage", lambda df, name: seen.append(stage(df, name)) or seen[-1])
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 6)) / 3
+    x[::7] = np.round(x[::7], 1)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(900, None), (901, [float("nan")] * 6), (902, [None, 1.0, 0.0, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
+    got = {(r.a, r.b): r.distance for r in CL.pairs_within(table, 0.5, block_rows=5).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {(int(i), int(j)): d[i, j] for i, j in zip(*np.nonzero(np.triu(d <= 0.5, 1)))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert seen[0].select("b").distinct().count() <= CL.BLOCKS
+
+
+@pytest.mark.parametrize("scale, limit", [(1e6, 1.0), (1e-6, 1e-6), (1e20, 1e20)])
+def test_pairs_within_at_any_scale(spark, monkeypatch, scale, limit):
+    monkeypatch.setattr(CL, "BLOCK_BYTES", 1 << 11)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4)) * (scale if limit == scale else 1) + (scale if limit != scale else 0)
+    rows = [(f"k{i:03d}", [float(c) for c in v]) for i, v in enumerate(x)]
+    got = {(r.a, r.b) for r in CL.pairs_within(spark.createDataFrame(rows, "id string, vector array<double>"), limit, block_rows=40).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert got == {(f"k{i:03d}", f"k{j:03d}") for i, j in zip(*np.nonzero(np.triu(d <= limit, 1)))} and got
+
+
+def test_dense_block_leaves_its_pairs_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(CL, "PAIRS_AT_ONCE", 100)
+    table = spark.createDataFrame([(i, [0.001 * i, 1.0]) for i in range(200)], "id long, vector array<double>")
+    got = CL.pairs_within(table, 1.0).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) == 199 * 100 and all(r.a < r.b for r in got)
