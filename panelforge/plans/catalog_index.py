@@ -60,14 +60,14 @@ def price_with_shares(m: Market):
     SELECT Date, Code, OutstandingShares, SharesRate FROM x_vol_events""", "SharesRate:3")
 def share_rate_events(m: Market):
     """Settlement days with the ratio of the settlement day before."""
-    rows = MC.add_share_rates(MC.attach_shares(m.price.repartition("Code"), m.volatile_fin, m.calendar)).filter("isSettlementDay")
+    rows = MC.add_share_rates(MC.attach_shares(m.price.repartition(m.panel_parts, "Code"), m.volatile_fin, m.calendar)).filter("isSettlementDay")
     return rows.select("Date", "Code", "OutstandingShares", P.shift("EventRate", 1, "Code").alias("SharesRate"))
 
 
 @query("share_rates_on_prices", "C5 E7", f"""
     SELECT p.Date, p.Code, coalesce(lead(e.SharesRate) OVER (PARTITION BY p.Code ORDER BY p.Date), 1.0) AS SharesRate FROM x_price p LEFT JOIN x_vol_events e ON p.Date = e.Date AND p.Code = e.Code""", "SharesRate:3")
 def share_rates_on_prices(m: Market):
-    return MC.add_share_rates(MC.attach_shares(m.price.repartition("Code"), m.volatile_fin, m.calendar)).select("Date", "Code", "SharesRate")
+    return MC.add_share_rates(MC.attach_shares(m.price.repartition(m.panel_parts, "Code"), m.volatile_fin, m.calendar)).select("Date", "Code", "SharesRate")
 
 
 @query("share_rate_overrides", "E8", """
@@ -75,14 +75,14 @@ def share_rates_on_prices(m: Market):
       SELECT p.Code, CASE WHEN p.Code IN ('0001', '0003') AND p.Date <= DATE '1999-06-30' THEN 1.0 ELSE coalesce(lead(e.SharesRate) OVER (PARTITION BY p.Code ORDER BY p.Date), 1.0) END AS r
       FROM x_price p LEFT JOIN x_vol_events e ON p.Date = e.Date AND p.Code = e.Code) GROUP BY Code""", "RateSum:3")
 def share_rate_overrides(m: Market):
-    rows = MC.attach_shares(m.price.repartition("Code"), m.volatile_fin, m.calendar)
+    rows = MC.attach_shares(m.price.repartition(m.panel_parts, "Code"), m.volatile_fin, m.calendar)
     rows = MC.add_share_rates(rows, overrides=[("0001", "1999-06-30"), ("0003", "1999-06-30")])
     return rows.groupBy("Code").agg(F.sum("SharesRate").alias("RateSum"), F.count_if(F.col("SharesRate") != 1).alias("Scaled"))
 
 
 @query("adjusted_shares", "E9 E10", "SELECT Date, Code, OutstandingShares FROM x_vol_caps", "OutstandingShares:2")
 def adjusted_shares(m: Market):
-    return MC.market_caps(m.price, m.volatile_fin, m.calendar, overrides=()).select("Date", "Code", "OutstandingShares")
+    return MC.market_caps(m.price, m.volatile_fin, m.calendar, overrides=(), parts=m.panel_parts).select("Date", "Code", "OutstandingShares")
 
 
 @query("stock_market_caps", "B14 E11", f"SELECT Date, Code, {', '.join(CAPS.split())}, CorrectionValue FROM x_caps", " ".join(f"{c}:2" for c in (CAPS + " CorrectionValue").split()))
@@ -97,13 +97,13 @@ def sector_cap_base(m: Market):
 
 @query("sector_index", "C1 D1 E12 E13", 'SELECT Date, Sector, "1d_return", "1d_rate", Open, High, Low, Close FROM x_index', "1d_return 1d_rate Open High Low Close")
 def sector_index(m: Market):
-    index, _ = SI.sector_index(m.price, m.fin, m.definition, m.calendar)
+    index, _ = SI.sector_index(m.price, m.fin, m.definition, m.calendar, m.panel_parts)
     return index.select("Date", "Sector", "1d_return", "1d_rate", "Open", "High", "Low", "Close")
 
 
 @query("order_prices", "A6 E29", "SELECT Date, Code, MarketCapClose, Close, Volume FROM x_caps", "MarketCapClose:2")
 def order_prices(m: Market):
-    _, prices = SI.sector_index(m.price, m.fin, m.definition, m.calendar)
+    _, prices = SI.sector_index(m.price, m.fin, m.definition, m.calendar, m.panel_parts)
     return prices
 
 

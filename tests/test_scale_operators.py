@@ -7,14 +7,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge import session
 from panelforge.operators import evaluate as EV
 from panelforge.operators import clustering as CL
 from panelforge.operators import factors as FC
 from panelforge.operators import linalg as L
+from panelforge.operators import marketcap as MC
 from panelforge.operators import portfolio as PO
 from panelforge.operators import prefix as X
 from panelforge.operators import preprocess as PP
+from panelforge.operators import sector_index as SI
 from panelforge.operators import splitting as SP
+from panelforge.plans.market import Market
 from panelforge.session import stage
 
 DAY = dt.date(2024, 1, 1)
@@ -189,3 +193,35 @@ def test_dense_block_leaves_its_pairs_in_parts(spark, monkeypatch):
     table = spark.createDataFrame([(i, [0.001 * i, 1.0]) for i in range(200)], "id long, vector array<double>")
     got = CL.pairs_within(table, 1.0).collect()
     assert len(got) == len({(r.a, r.b) for r in got}) == 199 * 100 and all(r.a < r.b for r in got)
+
+
+LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+
+
+def test_stock_panel_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "PANEL_ROWS", 100)
+    rows = [(i, 1, i % 40 + 1, i % 7 + 1, float(i % 9 + 1), 10.0 * i, 0.01 * (i % 10), 0.01 * (i % 8), "N", "O", dt.datetime(2024, 1, 1) + dt.timedelta(days=i % 29)) for i in range(400)]
+    spark.createDataFrame(rows, LINE).write.parquet(f"{tmp_path}/lineitem.parquet")
+    m = Market(spark, str(tmp_path))
+    held = [r["count"] for r in m.price.groupBy(F.spark_partition_id()).count().collect()]
+    assert m.panel_parts >= 8 and max(held) <= 4 * 100
+    got = MC.market_caps(m.price, m.fin, m.calendar, overrides=(), parts=m.panel_parts)
+    assert got.rdd.getNumPartitions() == m.panel_parts
+    want = MC.market_caps(m.price, m.fin, m.calendar, overrides=())
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() == sum(held)
+    definition = spark.createDataFrame([(f"{k:04d}", f"s{k % 3}") for k in range(1, 41)], "Code string, Sector string")
+    eps = SI.eps_factor(got, m.fin, definition, m.panel_parts)
+    plain = SI.eps_factor(want, m.fin, definition)
+    assert {(r.Date, r.Sector): r.ForecastEPS for r in eps.collect()} == pytest.approx({(r.Date, r.Sector): r.ForecastEPS for r in plain.collect()})
+
+
+def test_shuffles_grow_with_the_lines(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        session.more_partitions(spark, session.LINE_ROWS)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        session.more_partitions(spark, 50 * session.LINE_ROWS)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert session.panel_partitions(spark, 10) == 1 and session.panel_partitions(spark, 360 * 2_500_000) == 1800
