@@ -47,7 +47,8 @@ def scaled_rows(table: DataFrame, scale: int, label: Column) -> DataFrame:
         F.aggregate("embedding", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))).alias("most")).first()
     if held.high is not None and held.low != held.high:
         raise ValueError("vectors differ in dimension")
-    if held.high and held.high * (scale * held.most + 1) ** 2 >= LARGEST:
+    most = scale * held.most + 1 if held.high else 0
+    if held.high and held.high * most * most >= LARGEST:
         raise ValueError("components are too large for exact 64-bit scores")
     whole = rows.select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x.cast("double") * float(scale)).cast("long")).alias("v"))
     if rows.groupBy("vec_id").count().filter("count > 1").limit(1).count():
