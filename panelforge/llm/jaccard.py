@@ -36,6 +36,8 @@ LEAST = (90, 100)
 SLOTS, BLOCK = 1 << 22, 1 << 14
 #: Places of the filter that keeps texts without a candidate out of the shuffle.
 PLACES = 1 << 20
+#: Rows of the lists that leave a worker together.
+LISTED = 1 << 14
 #: Sets larger than this are never light.
 LARGEST_LIGHT = 40
 
@@ -169,8 +171,9 @@ def postings(texts: DataFrame, sketch: np.ndarray, light: int, least: tuple[int,
                     places.append(np.arange(len(first), dtype=np.int32))
                     ids.append(np.full(len(first), key))
                     sizes.append(np.full(len(first), n))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, ids, sizes, places, roles)], ["key", "id", "n", "pos", "role"])
+            if keys:  # short texts have many subsets a byte
+                found = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, ids, sizes, places, roles)], ["key", "id", "n", "pos", "role"])
+                yield from sliced([found], LISTED)
     return texts.mapInArrow(run, "key long, id long, n long, pos int, role int")
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,24 @@ def test_toxicity_stage_keeps_empty_texts(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert P.without_toxic(spark, docs, f"{tmp_path}/none").count() == len(rows)
     assert P.without_toxic(spark, docs.filter(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_texts_are_read_in_small_batches(spark):
+    """A column of texts is an array of one batch's bytes in every task that reads it."""
+    ship_package(spark)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+
+def test_short_texts_leave_in_small_batches(spark):
+    """Light sets have many subsets a byte: their rows go out in parts, and all of them."""
+    ship_package(spark)
+    sizes = []
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            rows = [" ".join(f"{i}-{j}" for j in range(14)) for i in range(600)]
+            batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array([r.encode() for r in rows], pa.binary())], ["id", "raw"])
+            sizes.extend(b.num_rows for b in run(iter([batch])))
+    jaccard.postings(Texts(), np.zeros(jaccard.SLOTS, dtype=np.uint32), 40, (80, 100))
+    each = len(jaccard.subset_keys(np.arange(12, dtype=np.uint64), 40, (80, 100))[0])
+    assert sum(sizes) == 600 * each and max(sizes) <= jaccard.LISTED < sum(sizes)
