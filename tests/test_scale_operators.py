@@ -225,3 +225,17 @@ def test_shuffles_grow_with_the_lines(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert session.panel_partitions(spark, 10) == 1 and session.panel_partitions(spark, 360 * 2_500_000) == 1800
+
+
+def test_tasks_read_bounded_bytes(spark):
+    """Merged shuffle partitions and parts of files stay at what one task holds, whatever the session allows; smaller settings stay."""
+    assert [session.in_bytes(x) for x in ("64MB", "16m", "512k", "7", "9b", "1g", "2KiB")] == [64 << 20, 16 << 20, 512 << 10, 7, 9, 1 << 30, 2048]
+    before = {key: spark.conf.get(key) for key in session.BYTES_CONF}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+        session.tune(spark)
+        assert [session.in_bytes(spark.conf.get(key)) for key in session.BYTES_CONF] == [session.TASK_BYTES, 256 << 10]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
