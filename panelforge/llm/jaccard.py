@@ -34,8 +34,10 @@ SHINGLE = 3
 LEAST = (90, 100)
 #: Counters of the sketch that orders shingles by frequency, and counters sent together.
 SLOTS, BLOCK = 1 << 22, 1 << 14
-#: Places of the filter that keeps texts without a candidate out of the shuffle.
-PLACES = 1 << 20
+#: Places of the filter that keeps texts without a candidate out of the shuffle; a row of it holds 64, so there are 2**20 rows at most.
+PLACES = 1 << 26
+#: Parities that a set keeps at least; a larger set keeps one a member, rounded up to a power of two.
+MARKS = 512
 #: Rows of the lists that leave a worker together.
 LISTED = 1 << 14
 #: Sets larger than this are never light.
@@ -54,6 +56,22 @@ def slots(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(42)).astype(np.int64)
 
 
+def marks(values: np.ndarray) -> np.ndarray:
+    """Whether the members at each place are odd in number, 64 places to an integer. Where two sets differ in d members, d places do at most."""
+    n = max(MARKS, 1 << max(len(values) - 1, 0).bit_length())
+    odd = np.bincount((values & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def odd_places(left: str, right: str) -> Column:
+    """Places at which two columns of ``marks`` differ; one of twice the length is folded first, null for other lengths."""
+    def folded(x: Column, size: Column) -> Column:
+        return F.when(F.size(x) == size, x).when(F.size(x) == 2 * size, F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda u, v: u.bitwiseXOR(v)))
+    size = F.least(F.size(left), F.size(right))
+    differ = F.zip_with(folded(F.col(left), size), folded(F.col(right), size), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.aggregate(differ, F.lit(0), lambda total, x: total + x)
+
+
 def overlap(a: Column | int, b: Column | int, least: tuple[int, int] = LEAST):
     """Smallest common part of sets of two sizes that are linked: s / (1 + s) of both sizes, rounded up."""
     up, down = least
@@ -102,7 +120,7 @@ def subset_keys(values: np.ndarray, light: int, least: tuple[int, int] = LEAST)
 
 
 def set_sizes(texts: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, np.ndarray]:
-    """``id, n, s1, s2`` (size and digest of the set) of every document, and the sketch of all shingles' frequencies.
+    """``id, n, s1, s2, marks`` (size, digest and parities of the set) of every document, and the sketch of all shingles' frequencies.
 
     The sketch has 2**22 counters whatever the input.
     """
@@ -115,12 +133,12 @@ def set_sizes(texts: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, np.nda
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                 pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], NAMES)
+                 pa.array([marks(s) for s in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], NAMES)
         n = SLOTS // BLOCK
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64())] * 4 + [pa.array(np.arange(n, dtype=np.int32)), pa.array([zlib.compress(c.tobytes(), 1) for c in counts.reshape(n, BLOCK)], pa.binary())], NAMES)
-    NAMES = ["id", "n", "s1", "s2", "block", "counts"]
-    found = stage(texts.mapInArrow(run, "id long, n long, s1 long, s2 long, block int, counts binary"), "shingle-sets")
+            [pa.nulls(n, pa.int64())] * 4 + [pa.nulls(n, pa.list_(pa.int64())), pa.array(np.arange(n, dtype=np.int32)), pa.array([zlib.compress(c.tobytes(), 1) for c in counts.reshape(n, BLOCK)], pa.binary())], NAMES)
+    NAMES = ["id", "n", "s1", "s2", "marks", "block", "counts"]
+    found = stage(texts.mapInArrow(run, "id long, n long, s1 long, s2 long, marks array<long>, block int, counts binary"), "shingle-sets")
 
     def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BLOCK, dtype=np.int64)
@@ -132,7 +150,7 @@ def set_sizes(texts: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, np.nda
     sketch = np.zeros(SLOTS, dtype=np.uint32)
     for b in blocks:
         sketch[b.block * BLOCK : (b.block + 1) * BLOCK] = np.minimum(np.frombuffer(zlib.decompress(b.counts), dtype=np.int64), 2**32 - 1)
-    return found.filter("block is null").select("id", "n", "s1", "s2"), sketch
+    return found.filter("block is null").select("id", "n", "s1", "s2", "marks"), sketch
 
 
 def postings(texts: DataFrame, sketch: np.ndarray, light: int, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:
@@ -179,7 +197,7 @@ def postings(texts: DataFrame, sketch: np.ndarray, light: int, least: tuple[int,
 
 def light_links(listed: DataFrame) -> DataFrame:
     """``a, b``: every light set with the first partner of its subset; sets that share a subset of the needed size are linked."""
-    light = listed.filter("role >= 0")
+    light = listed.filter("role >= 0").select("key", "id", "role").repartition("key")  # one shuffle for the groups and the join
     first = light.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("id"))).alias(f"_{r}") for r in range(3)])
     mate = F.when(F.col("role") == 0, F.col("_1")).when(F.col("role") == 1, F.col("_0")).otherwise(F.col("_2"))
     return light.join(first, "key").select(F.col("id").alias("a"), mate.alias("b")).filter("b is not null and a <> b")
@@ -192,16 +210,43 @@ def _may_link(n: str, pos: str, m: str, other: str, least: tuple[int, int]) -> C
     return (down * F.least(n, m) >= up * F.greatest(n, m)) & (F.least(n - pos, m - other) >= overlap(n, m, least))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar enough; ``pairs`` is a stored table and ``texts`` has one row an id.
+def paired(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``a, b, left, right`` with ``column`` of both documents, ordered by ``a`` in runs; ``table`` has one row an ``id``, ``pairs`` is stored.
+
+    Rows that no pair needs on a side are kept out of its shuffle by the places of the ids needed there, of which there are 2**26; what
+    passes in error is dropped by the joins. The pairs of an ``a`` with many come in parts of a few hundred, each with its row once more.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(PLACES))
+
+    def needed(side: str) -> DataFrame:
+        places = pairs.select(F.col(side).alias("id")).select(F.shiftright(place, 6).alias("_word"), F.pmod(place, F.lit(64)).cast("int").alias("_bit"))
+        words = places.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+        return table.join(F.broadcast(words), F.shiftright(place, 6) == F.col("_word")).filter(
+            F.getbit("_bits", F.pmod(place, F.lit(64)).cast("int")) == 1).select(F.col("id").alias(side), column)
+
+    limit = heavy_limit(pairs.count())
+    hubs = F.broadcast(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)  # 2**12 at most
+                       .select("a", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = needed("a").join(hubs, "a", "left").select("a", F.col(column).alias("left"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    right = needed("b").withColumnRenamed(column, "right")
+    split = pairs.select("a", "b").join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("_part"))
+    return split.join(right, "b").join(left, ["a", "_part"]).select("a", "b", "left", "right")
+
+
+def not_apart(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The pairs whose parities differ at no more places than linked sets may differ in members, and those whose parities do not tell."""
+    both = paired(pairs, sets.select("id", F.struct("n", "marks").alias("held")), "held")
+    n, m = F.col("left.n"), F.col("right.n")
+    return both.filter(F.coalesce(odd_places("left.marks", "right.marks"), F.lit(0)) <= n + m - 2 * overlap(n, m, least)).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets are similar enough; ``pairs`` is a stored table, ``sets`` and ``texts`` have one row an id.
 
-    Texts that no pair needs are kept out of the shuffle by the places of the needed ids, of which there are 2**20; what passes in
-    error is dropped by the joins. The pairs of an ``a`` with many come in parts of a few hundred, each with the text once more. The
-    last join sorts by ``a``, so a set is made once a run.
+    Texts travel only for pairs that are not ruled out by the parities of their sets. The last join sorts by ``a``, so a set is made once a run.
     """
     up, down = least
-    places = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(PLACES)).alias("_place")).distinct()
-    needed = texts.join(F.broadcast(places), F.pmod(F.xxhash64("id"), F.lit(PLACES)) == F.col("_place"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = None, None
@@ -215,15 +260,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST,
                 if down * common >= up * (len(last) + len(other) - common):
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(kept, pa.int64())), batch.column("b").take(pa.array(kept, pa.int64()))], ["a", "b"])
-    limit = heavy_limit(pairs.count())
-    hubs = F.broadcast(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)  # 2**12 at most
-                       .select("a", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
-    parts = F.coalesce("_parts", F.lit(1))
-    left = needed.select(F.col("id").alias("a"), F.col("raw").alias("left")).join(hubs, "a", "left").select(
-        "a", "left", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
-    right = needed.select(F.col("id").alias("b"), F.col("raw").alias("right"))
-    split = pairs.select("a", "b").join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("_part"))
-    return split.join(right, "b").join(left, ["a", "_part"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return paired(stage(not_apart(pairs, sets, least), "near-pairs"), texts, "raw").mapInArrow(run, "a long, b long")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -237,8 +274,9 @@ def _labels(links: DataFrame) -> DataFrame:
 def heavy_links(listed: DataFrame, sets: DataFrame, texts: DataFrame, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:
     """Links ``a, b`` among sets that share a rare shingle; what is left out lies in one component already."""
     up, down = least
-    lists = listed.filter("role = -1")
-    heads = lists.groupBy("key").agg(F.min(F.struct("pos", "id")).alias("head"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    lists = listed.filter("role = -1").select("key", "id", "n", "pos").repartition("key")
+    # Counted by a column of the join below, so that both read the same shuffle.
+    heads = lists.groupBy("key").agg(F.min(F.struct("pos", "id")).alias("head"), F.count("n").alias("_n")).filter("_n > 1")
     several = stage(lists.join(heads, "key").select("key", "id", "n", "pos", F.col("head.id").alias("hid")), "shared-shingles")
     star = several.filter("id <> hid").groupBy("id", "n", "hid").agg(F.count(F.lit(1)).alias("_m"))
     star = star.join(sets.select(F.col("id").alias("hid"), F.col("n").alias("hn")).distinct(), "hid")
@@ -247,7 +285,7 @@ def heavy_links(listed: DataFrame, sets: DataFrame, texts: DataFrame, least: tup
     star = star.filter((down * F.least("n", "hn") >= up * F.greatest("n", "hn")) & (F.col("_m") >= common))
     turn = Window.partitionBy("id").orderBy(F.desc("_m"), "hid")
     star = stage(star.withColumn("_turn", F.row_number().over(turn)).filter("_turn <= 2").select(F.col("hid").alias("a"), F.col("id").alias("b")), "star-pairs")
-    first = stage(verified(star, texts, least, width), "star-links")
+    first = stage(verified(star, sets, texts, least, width), "star-links")
     # What is still in several components is compared without regard to the above.
     marked = several.join(_labels(first), "id", "left").select("key", "id", "n", "pos", F.coalesce("label", "id").alias("label"))
     largest = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_m")).groupBy("key").agg(
@@ -261,7 +299,7 @@ def heavy_links(listed: DataFrame, sets: DataFrame, texts: DataFrame, least: tup
     near = pos < n - F.ceil(2 * up * n / F.lit(up + down)) + 1
     rest = x.join(y, "key").filter((F.col("xl") != F.col("yl")) & ((F.col("yl") == F.col("top")) | (F.col("x") < F.col("y"))))
     rest = rest.filter(_may_link("xn", "xp", "yn", "yp", least) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return first.unionByName(verified(stage(rest, "rest-pairs"), texts, least, width))
+    return first.unionByName(verified(stage(rest, "rest-pairs"), sets, texts, least, width))
 
 
 def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, width: int = SHINGLE) -> DataFrame:

@@ -128,6 +128,46 @@ def test_components_against_brute_force(docs):
     assert len(links) > 8
 
 
+def test_parities_keep_every_link_and_spare_the_texts(spark):
+    """Pairs that only share some shingle are ruled out before their texts travel; no linked pair is, nor one of many pairs of a hub."""
+    rng = np.random.default_rng(3)
+    sets = {}
+    for i in range(40):
+        n = int(rng.choice([3, 60, 480, 510, 530, 1000, 3000]))
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sets[3 * i] = np.unique(base)
+        for j, gone in ((1, n // 25), (2, n // 3)):  # a set that is linked, one that is not
+            other = rng.integers(0, 2**64, gone, dtype=np.uint64)
+            sets[3 * i + j] = np.unique(np.concatenate((base[gone:], other[: gone // 2])))
+    rows = [(k, len(s), jaccard.marks(s).tolist()) for k, s in sets.items()]
+    pairs = [(a, b) for a in sets for b in sets if a < b and 8 * min(len(sets[a]), len(sets[b])) >= len(sets[a])]
+    common = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in pairs}
+    linked = {p for p in pairs if 100 * common[p] >= 90 * (len(sets[p[0]]) + len(sets[p[1]]) - common[p])}
+    table = spark.createDataFrame(rows, "id long, n long, marks array<long>")
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    near = (0.9, 10 / 9)
+    kept = {(r.a, r.b) for r in jaccard.not_apart(asked, table).collect()}
+    alike = {p for p in kept if near[0] <= len(sets[p[0]]) / len(sets[p[1]]) <= near[1] and len(sets[p[0]]) > 3}
+    assert linked <= kept and len(linked) >= 40
+    assert len(alike) <= 1.1 * len(linked)
+    wide = spark.createDataFrame([(0, i) for i in range(1, 3 * jaccard.heavy_limit(0))], "a long, b long")
+    held = spark.range(3 * jaccard.heavy_limit(0) + 9).selectExpr("id", "cast(id as string) as raw")
+    got = jaccard.paired(wide, held, "raw").collect()
+    assert sorted((r.a, r.b, r.left, r.right) for r in got) == [(0, i, "0", str(i)) for i in range(1, 3 * jaccard.heavy_limit(0))]
+
+
+def test_lists_are_dealt_once(spark, tmp_path):
+    """Groups and join of the lists read one shuffle of them."""
+    rows = [(k, 10 * k + i, 5, i, r) for k in range(50) for i in range(3) for r in (-1, 2)]
+    listed = spark.createDataFrame(rows, "key long, id long, n long, pos int, role int")
+    listed.write.parquet(str(tmp_path / "listed"))
+    found = jaccard.light_links(spark.read.parquet(str(tmp_path / "listed")))
+    assert sorted((r.a, r.b) for r in found.collect()) == [(10 * k + i, 10 * k) for k in range(50) for i in (1, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(dealt) == 2 and len({line.split("Repartition")[1].split("[")[0] for line in dealt}) == 1
+
+
 def test_light_sets_meet_every_partner():
     for n in range(1, 41):
         for t, lack in jaccard.partners(n):
