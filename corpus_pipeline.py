@@ -53,9 +53,17 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, **public_vocabulary())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+Step = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(step: Step) -> Step:
+    """The step in a session that has this package and small batches of texts, also where it is called alone and not by ``run``."""
+    return lambda spark, docs, sf_dir: step(ship_package(spark), docs, sf_dir)
+
+
+STAGES: list[tuple[str, Step]] = [(name, _shipped(step)) for name, step in (
     ("toxicity", without_toxic), ("near_duplicates", without_near_duplicates), ("repeated_passages", without_repeated_passages),
-    ("mixing", mixed), ("packing", packed)]
+    ("mixing", mixed), ("packing", packed))]
 #: Trained scores and tokenizer ids are beyond SQL.
 ORACLE_SQL = None
 

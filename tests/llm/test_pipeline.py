@@ -5,11 +5,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from panelforge.llm import packing, quality, toxicity
-from panelforge.session import ship_package
+from panelforge.session import ARROW_CONF, ship_package
 
 SF = "/root/testdata/sf0.01"
 
@@ -58,6 +60,21 @@ def test_stages_on_planted_cases(spark, planted):
     check_packing(packed, {r.doc_id: r.text for r in cut.collect()}, times)
 
 
+@pytest.mark.parametrize("name", [name for name, _ in P.STAGES])
+def test_a_step_alone_has_small_batches(spark, planted, name):
+    """A step that is called by itself, in a session that nobody prepared, gives its workers few texts at a time as well."""
+    other = spark.newSession()
+    for key in ARROW_CONF:
+        other.conf.set(key, 1 << 30 if "Bytes" in key else 100_000)
+    docs = other.read.parquet(f"{planted[0]}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    dict(P.STAGES)[name](other, docs, planted[0])
+    rows = other.range(0, 20_000, 1, 1).withColumn("text", F.repeat(F.lit("word "), 400)).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long")
+    most = rows.agg(F.max("n").alias("n"), F.max("size").alias("size")).first()
+    assert most.n <= 1024 and most.size < 2 << 20
+    assert int(other.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+
 def check_packing(pieces, texts, times):
     """Every copy of every document whole, every sequence gapless and within its capacity."""
     sizes, lengths, places = defaultdict(int), defaultdict(list), defaultdict(list)
