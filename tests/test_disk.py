@@ -4,10 +4,12 @@ import datetime as dt
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import marketcap as MC
+from panelforge.operators import portfolio as PO
 from panelforge.plans.catalog import QUERIES
 
 DAY = dt.date(2020, 1, 1)
@@ -66,3 +68,27 @@ def test_quiet_days_are_not_stored_and_come_back(spark):
     days = F.array(*[F.lit(DAY + dt.timedelta(days=i)) for i in range(8)])
     back = MC.unfold_quiet_days(folded, "DayNumber", days)
     assert sorted(map(repr, back.select(*MC.PANEL).collect())) == sorted(map(repr, panel.select(*MC.PANEL).collect()))
+
+
+def weights_by_code(spark, seed=3, stocks=40):
+    """Weights of two days, both sides, two sectors, some stocks listed twice, stored by code."""
+    from panelforge.session import stage_by
+
+    rng = random.Random(seed)
+    rows = [(DAY + dt.timedelta(days=d), side, sector, f"{sector}{k:02d}", f"Name {k}", rng.choice([10.0, 20.0, 50.0, 70.0]), rng.randint(1, 6), False, rng.randint(1, 9) / 400)
+            for d in range(2) for side in ("Long", "Short") for sector in "ab" for k in range(stocks) for _ in range(1 + (k % 11 == 0))]
+    df = spark.createDataFrame(rows, "Date date, Direction string, Sector string, Code string, CompanyName string, EstimatedCost double, MaxUnit long, isBorrowingStock boolean, Weight double")
+    budgets = spark.createDataFrame([(DAY + dt.timedelta(days=d), side, sector, 4000.0 + 500 * d) for d in range(2) for side in ("Long", "Short") for sector in "ab"],
+                                    "Date date, Direction string, Sector string, MaxCost double")
+    return stage_by(df.repartition(4, "Code"), "weights", "Code", 4), budgets
+
+
+def test_draft_units_moves_no_rows(spark):
+    weights, budgets = weights_by_code(spark)
+    out = PO.draft_units(weights, budgets)
+    assert not by_day(out)
+    got = out.toPandas()
+    ideal = np.trunc(got["Weight"] * got["MaxCost"])
+    low = np.floor(ideal / got["EstimatedCost"]) * got["EstimatedCost"]
+    up = (ideal - low) > (low + got["EstimatedCost"] - ideal)
+    assert (got["Unit"] == low / got["EstimatedCost"] + up).all() and len(got) == weights.count()
