@@ -92,3 +92,12 @@ def test_draft_units_moves_no_rows(spark):
     low = np.floor(ideal / got["EstimatedCost"]) * got["EstimatedCost"]
     up = (ideal - low) > (low + got["EstimatedCost"] - ideal)
     assert (got["Unit"] == low / got["EstimatedCost"] + up).all() and len(got) == weights.count()
+
+
+def test_capped_units_moves_no_rows(spark):
+    weights, budgets = weights_by_code(spark)
+    draft = PO.draft_units(weights, budgets)
+    out = PO.cap_units(draft)
+    assert not by_day(out)
+    got = out.toPandas()
+    assert (got["Unit"] <= got["MaxUnit"]).all() and (got["TotalCost"] == got["Unit"] * got["EstimatedCost"]).all() and got["isMaxUnit"].any()
