@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,14 @@ def weights_by_code(spark, seed=3, stocks=40):
     return stage_by(df.repartition(4, "Code"), "weights", "Code", 4), budgets
 
 
+def same_rows(got: pd.DataFrame, wanted: pd.DataFrame, columns: list[str]):
+    table = lambda x: sorted(map(tuple, x[columns].round(9).itertuples(index=False)))
+    assert table(got) == table(wanted)
+
+
+KEYS = ["Date", "Direction", "Sector", "Code", "Weight", "EstimatedCost"]
+
+
 def test_draft_units_moves_no_rows(spark):
     weights, budgets = weights_by_code(spark)
     out = PO.draft_units(weights, budgets)
@@ -101,3 +110,27 @@ def test_capped_units_moves_no_rows(spark):
     assert not by_day(out)
     got = out.toPandas()
     assert (got["Unit"] <= got["MaxUnit"]).all() and (got["TotalCost"] == got["Unit"] * got["EstimatedCost"]).all() and got["isMaxUnit"].any()
+
+
+def reduced_by_hand(rows: pd.DataFrame) -> pd.DataFrame:
+    parts = []
+    for _, g in rows.groupby(PO.GROUP):
+        g = g.sort_values(["ReductionRate", "Weight", "Code"], ascending=[False, False, True]).reset_index(drop=True)
+        spent, unit = g["TotalCost"].sum(), g["Unit"].to_numpy(copy=True)
+        for i in range(len(g)):
+            if spent > g["MaxCost"][i] and g["ReductionRate"][i] >= 1 and unit[i] > 0:
+                unit[i] -= 1
+                spent -= g["EstimatedCost"][i]
+        parts.append(g.assign(Unit=unit, TotalCost=unit * g["EstimatedCost"]))
+    return pd.concat(parts)
+
+
+def test_reduction_sends_candidates_alone(spark):
+    weights, budgets = weights_by_code(spark)
+    units = PO.cap_units(PO.draft_units(weights, budgets)).withColumn("MaxCost", F.col("MaxCost") * 0.2)
+    out = PO.reduce_to_budget(units)
+    assert not by_day(out)
+    before = units.toPandas()
+    wanted = reduced_by_hand(before)
+    assert wanted["Unit"].sum() < before["Unit"].sum()
+    same_rows(out.toPandas(), wanted, [*KEYS, "Unit", "TotalCost"])
