@@ -134,3 +134,33 @@ def test_reduction_sends_candidates_alone(spark):
     wanted = reduced_by_hand(before)
     assert wanted["Unit"].sum() < before["Unit"].sum()
     same_rows(out.toPandas(), wanted, [*KEYS, "Unit", "TotalCost"])
+
+
+def spent_by_hand(rows: pd.DataFrame) -> pd.DataFrame:
+    parts = []
+    for _, g in rows.groupby(PO.GROUP):
+        g = g.sort_values(["Weight", "Code"], ascending=[False, True]).reset_index(drop=True)
+        free, unit, rate, full = g["MaxCost"][0] - g["TotalCost"].sum(), g["Unit"].to_numpy(copy=True), g["ReductionRate"].to_numpy(copy=True), g["isMaxUnit"].to_numpy(dtype=bool, copy=True)
+        while True:
+            open_rows = [i for i in range(len(g)) if g["EstimatedCost"][i] <= free and not full[i] and rate[i] == rate[i]]
+            if not open_rows:
+                break
+            i = min(open_rows, key=lambda j: rate[j])
+            cost, ideal = g["EstimatedCost"][i], g["IdealCost"][i]
+            unit[i] += 1
+            free -= cost
+            rate[i] = abs(ideal - unit[i] * cost) / max(abs(ideal - (unit[i] + 1) * cost), 1e-12)
+            full[i] = unit[i] >= g["MaxUnit"][i]
+        parts.append(g.assign(Unit=unit, TotalCost=unit * g["EstimatedCost"], isMaxUnit=full))
+    return pd.concat(parts)
+
+
+def test_rest_of_the_budget_is_spent_without_moving_all_rows(spark):
+    weights, budgets = weights_by_code(spark)
+    units = PO.reduce_to_budget(PO.cap_units(PO.draft_units(weights, budgets)))
+    out = PO.spend_budget(units)
+    assert not by_day(out) and "InMemoryTableScan" not in out._jdf.queryExecution().executedPlan().toString()
+    before = units.toPandas()
+    wanted = spent_by_hand(before)
+    assert wanted["Unit"].sum() > before["Unit"].sum()
+    same_rows(out.toPandas(), wanted, [*KEYS, "Unit", "TotalCost", "isMaxUnit"])
