@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import marketcap as MC
 from panelforge.operators import portfolio as PO
+from panelforge.plans import catalog_portfolio as CP
 from panelforge.plans.catalog import QUERIES
 
 DAY = dt.date(2020, 1, 1)
@@ -164,3 +166,20 @@ def test_rest_of_the_budget_is_spent_without_moving_all_rows(spark):
     wanted = spent_by_hand(before)
     assert wanted["Unit"].sum() > before["Unit"].sum()
     same_rows(out.toPandas(), wanted, [*KEYS, "Unit", "TotalCost", "isMaxUnit"])
+
+
+def test_admission_makes_its_orders_once(spark, tmp_path, monkeypatch):
+    rows = [(DAY, f"c{i:02d}", "n", "s", 1, 10.0, 10.0 + i, 12.0, 12.0 + i, "Long", False) for i in range(20)]
+    schema = "Date date, Code string, CompanyName string, Sector string, Unit int, EstimatedCost double, TotalCost double, UpperLimitCost double, UpperLimitTotal double, Direction string, isBorrowingStock boolean"
+    seen = str(tmp_path)
+
+    def note(batches):
+        for b in batches:
+            for code in b["Code"]:
+                open(f"{seen}/{code}-{uuid.uuid4().hex}", "w").close()
+            yield b
+
+    monkeypatch.setattr(CP, "sized", lambda m: spark.createDataFrame(rows, schema).mapInPandas(note, schema))
+    got = QUERIES["admitted_orders"].build(None).collect()
+    assert len(got) == 20 and {r.Status for r in got} == {"accepted"}
+    assert len([*tmp_path.iterdir()]) == 20
